@@ -51,3 +51,14 @@ def let(value: Column, body) -> Column:
 def require(condition: Column, value: Column, message: str) -> Column:
     """``value`` where the condition holds; otherwise the query fails with the message."""
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def pin(value: Column) -> Column:
+    """The same value, marked so that Catalyst computes it exactly where it is written.
+
+    Filters and semi joins on a derived column are otherwise pushed below the
+    projection that derives it, which copies its expression once per use and
+    multiplies through a chain of large expressions. Reading the value out of an
+    array at (partition id * 0) makes it non-deterministic in the optimizer's eyes.
+    """
+    return F.get(F.array(value), F.spark_partition_id() * 0)

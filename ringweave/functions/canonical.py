@@ -30,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ringweave.functions.bits import shl
-from ringweave.functions.matrices import NARROW, Lanes, digit
+from ringweave.functions.matrices import NARROW, Lanes, digits
 
 _BASE = 128
 _PLACES = float(_BASE) ** np.arange(5, -1, -1)
@@ -162,7 +162,7 @@ def _flat(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def canonical_key(m: Column, lanes: Lanes = NARROW) -> Column:
+def canonical_key(m: str, lanes: Lanes = NARROW) -> Column:
     """BINARY canonical key of a reduced, non-null matrix column (k at most 60)."""
 
     @F.arrow_udf("binary")
@@ -172,10 +172,10 @@ def canonical_key(m: Column, lanes: Lanes = NARROW) -> Column:
         numerators = (_unpack(_flat(v, lanes.size), lanes) for v in (a, b))
         return pa.array(canonical_bytes(*numerators, k.to_numpy()), pa.binary())
 
-    return key(m["a"], m["b"], m["k"])
+    return key(*[F.expr(f"{m}.{part}") for part in "abk"])
 
 
-def signature(m: Column, lanes: Lanes = NARROW) -> Column:
+def signature(m: str, lanes: Lanes = NARROW) -> Column:
     """Text invariant of a class from built-in functions only.
 
     Equal classes have equal signatures; the converse does not hold, so this is
@@ -184,7 +184,7 @@ def signature(m: Column, lanes: Lanes = NARROW) -> Column:
     """
 
     def magnitude(r: int, c: int) -> Column:
-        a, b = digit(m["a"], r, c, lanes), digit(m["b"], r, c, lanes)
+        a, b = digits(m, r, c, lanes)
         return F.abs(shl(a, 32) + b)
 
     line = lambda cells: F.array_join(F.array_sort(F.array(*cells)), ",")
@@ -192,11 +192,11 @@ def signature(m: Column, lanes: Lanes = NARROW) -> Column:
         F.array_sort(F.array(*[line([cell(i, j) for j in range(6)]) for i in range(6)])), ";"
     )
     return F.concat_ws(
-        "|", m["k"].cast("string"), lines(magnitude), lines(lambda i, j: magnitude(j, i))
+        "|", F.expr(f"{m}.k").cast("string"), lines(magnitude), lines(lambda i, j: magnitude(j, i))
     )
 
 
-def exhaustive_key(m: Column, lanes: Lanes = NARROW) -> Column:
+def exhaustive_key(m: str, lanes: Lanes = NARROW) -> Column:
     """Canonical columns over all 720*32 candidates with built-in functions only.
 
     A slow cross-check of ``canonical_key``: it induces the same classes. Exact
@@ -204,7 +204,11 @@ def exhaustive_key(m: Column, lanes: Lanes = NARROW) -> Column:
     """
     base = 1 << 10
     places = [base**p for p in range(5, -1, -1)]
-    cell = lambda r, c: digit(m["a"], r, c, lanes) * 20 + digit(m["b"], r, c, lanes)
+
+    def cell(r: int, c: int) -> Column:
+        a, b = digits(m, r, c, lanes)
+        return a * 20 + b
+
     matrix = F.array(*[F.array(*[cell(r, c) for r in range(6)]) for c in range(6)])
     orders = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(6))])
     signs = F.array(*[F.array(*[F.lit(int(x)) for x in s]) for s in _SIGNS])
@@ -225,4 +229,4 @@ def exhaustive_key(m: Column, lanes: Lanes = NARROW) -> Column:
     best = F.array_min(
         F.flatten(F.transform(orders, lambda o: F.transform(signs, lambda s: candidate(o, s))))
     )
-    return F.struct(m["k"].alias("k"), best.alias("columns"))
+    return F.struct(F.expr(f"{m}.k").alias("k"), best.alias("columns"))

@@ -10,19 +10,22 @@ common factor sqrt2; then k is its least denominator exponent.
 Entries and their conjugates lie in [-1, 1], so |A|, |B| <= 2^(k/2). A layout with
 ``width`` bits per lane is therefore exact up to k = 2*width - 3, and anything
 beyond fails the query rather than wrapping.
+
+The functions take column names (or any SQL expression text) and return Columns.
+Expressions over 36 entries are long, and one SQL text reaches the JVM in one call
+where the same tree built from Column calls would take thousands. Names starting
+with ``rw_`` are the lambda variables of these texts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce as fold_left
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ringweave.functions import ring
-from ringweave.functions.bits import let, lit64, require, shl, shr, shru, trailing_zeros
-from ringweave.functions.gates import gate_rows
+from ringweave.functions.gates import FIRST_ROWS, SECOND_ROWS
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,10 @@ class Lanes:
     def max_k(self) -> int:
         return 2 * self.width - 3
 
+    @property
+    def mask(self) -> int:
+        return (1 << self.width) - 1
+
     def spread(self, v: int) -> int:
         """v in every lane."""
         return sum(v << (self.width * i) for i in range(self.columns))
@@ -66,288 +73,298 @@ def lanes_for(max_gates: int) -> Lanes:
     return next(lanes for lanes in (NARROW, MEDIUM, WIDE) if max_gates <= lanes.max_k)
 
 
-def _struct(a: list[Column] | Column, b: list[Column] | Column, k: Column) -> Column:
-    as_array = lambda v: F.array(*v) if isinstance(v, list) else v
-    return F.struct(as_array(a).alias("a"), as_array(b).alias("b"), k.cast("int").alias("k"))
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate a value once per row and bind it to a name inside the body."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _diagonal(row: int, word: int, lanes: Lanes) -> int:
-    lane = row - word * lanes.columns
-    return 1 << (lanes.width * lane) if 0 <= lane < lanes.columns else 0
+def _require(condition: str, value: str, message: str) -> str:
+    return f"if({condition}, {value}, raise_error('{message}'))"
 
 
-def identity(lanes: Lanes = NARROW) -> Column:
-    a = [lit64(_diagonal(r, w, lanes)) for r in range(6) for w in range(lanes.words)]
-    return _struct(a, [lit64(0)] * lanes.size, F.lit(0))
+def _struct(a: list[str], b: list[str], k: str) -> str:
+    return f"named_struct('a', array({', '.join(a)}), 'b', array({', '.join(b)}), 'k', int({k}))"
 
 
-def zero(lanes: Lanes = NARROW) -> Column:
-    return _struct([lit64(0)] * lanes.size, [lit64(0)] * lanes.size, F.lit(0))
+def _at(words: str, i: int | str) -> str:
+    return f"get({words}, {i})"
+
+
+def _identity(lanes: Lanes) -> str:
+    def word(row: int, w: int) -> str:
+        lane = row - w * lanes.columns
+        return f"{1 << (lanes.width * lane) if 0 <= lane < lanes.columns else 0}L"
+
+    a = [word(r, w) for r in range(6) for w in range(lanes.words)]
+    return _struct(a, ["0L"] * lanes.size, "0")
+
 
+def _zero(lanes: Lanes) -> str:
+    return _struct(["0L"] * lanes.size, ["0L"] * lanes.size, "0")
 
-def mix_rows(a: Column, b: Column, gate: Column, lanes: Lanes = NARROW) -> tuple[Column, Column]:
-    """One gate on the numerators, over the next exponent, not reduced.
+
+def _mix_rows(m: str, gate: str, k: str, lanes: Lanes) -> str:
+    """One gate over the next exponent, not reduced.
 
     The gate's rows become their sum and (second - first); over the larger
     exponent every other row is multiplied by sqrt2, i.e. (A, B) -> (2B, A).
     """
-    r1, r2 = gate_rows(gate)
     w = lanes.words
-    partner = lambda v, i, row: F.get(v, row * w + i % w)
-    new_a, new_b = [], []
-    for i in range(lanes.size):
-        first, second = r1 == i // w, r2 == i // w
-        new_a.append(
-            F.when(first, F.get(a, F.lit(i)) + partner(a, i, r2))
-            .when(second, F.get(a, F.lit(i)) - partner(a, i, r1))
-            .otherwise(F.get(b, F.lit(i)) * 2)
-        )
-        new_b.append(
-            F.when(first, F.get(b, F.lit(i)) + partner(b, i, r2))
-            .when(second, F.get(b, F.lit(i)) - partner(b, i, r1))
-            .otherwise(F.get(a, F.lit(i)))
-        )
-    return F.array(*new_a), F.array(*new_b)
+    table = lambda rows: f"get(array({', '.join(map(str, rows))}), int({gate}))"
 
+    def mixed(own: str, other: str) -> list[str]:
+        out = []
+        for i in range(lanes.size):
+            row = i // w
+            partner = lambda r: _at(own, r if w == 1 else f"{r} * {w} + {i % w}")
+            out.append(
+                f"CASE WHEN rw_p.r1 = {row} THEN {_at(own, i)} + {partner('rw_p.r2')}"
+                f" WHEN rw_p.r2 = {row} THEN {_at(own, i)} - {partner('rw_p.r1')}"
+                f" ELSE {other.format(i)} END"
+            )
+        return out
 
-def _lowest_bits(words: Column, lanes: Lanes) -> Column:
-    """Smallest number of trailing zero bits over all lanes of all words."""
-    merged = fold_left(
-        lambda x, y: x.bitwiseOR(y),
-        [F.get(words, F.lit(i)) + lit64(lanes.bias) for i in range(lanes.size)],
+    body = _struct(
+        mixed(f"{m}.a", f"2 * get({m}.b, {{}})"), mixed(f"{m}.b", f"get({m}.a, {{}})"), k
     )
-    return let(
-        merged,
-        lambda m: trailing_zeros(
-            fold_left(
-                lambda x, y: x.bitwiseOR(y),
-                [
-                    shru(m, lanes.width * j).bitwiseAND(lit64((1 << lanes.width) - 1))
-                    for j in range(lanes.columns)
-                ],
-            )
-        ),
+    pair = f"named_struct('r1', {table(FIRST_ROWS)}, 'r2', {table(SECOND_ROWS)})"
+    return _let("rw_p", pair, body)
+
+
+def _lowest_bits(words: str, lanes: Lanes) -> str:
+    """Smallest number of trailing zero bits over all lanes of all words."""
+    merged = " | ".join(f"({_at(words, i)} + {lanes.bias}L)" for i in range(lanes.size))
+    folded = " | ".join(
+        f"(shiftrightunsigned(rw_o, {lanes.width * j}) & {lanes.mask}L)"
+        for j in range(lanes.columns)
     )
+    zeros = _let("rw_d", folded, "bit_count(rw_d ^ (rw_d - 1L)) - 1")
+    return _let("rw_o", merged, zeros)
+
 
+def _reduce(m: str, lanes: Lanes) -> str:
+    """Divide out the common power of sqrt2 of a nonzero matrix, in one step.
 
-def reduce(m: Column, lanes: Lanes = NARROW) -> Column:
-    """Divide out the common power of sqrt2 of a nonzero matrix, in one step."""
-    valuation = F.least(
-        _lowest_bits(m["a"], lanes) * 2, _lowest_bits(m["b"], lanes) * 2 + 1
+    An even power halves both parts; an odd one also swaps them.
+    """
+    valuation = (
+        f"least({_lowest_bits(f'{m}.a', lanes)} * 2, {_lowest_bits(f'{m}.b', lanes)} * 2 + 1)"
+    )
+    shifted = lambda part, i, n: f"shiftright({_at(f'{m}.{part}', i)}, {n})"
+    half = "shiftright(rw_v, 1)"
+    even = _struct(
+        [shifted("a", i, half) for i in range(lanes.size)],
+        [shifted("b", i, half) for i in range(lanes.size)],
+        f"{m}.k - rw_v",
     )
+    odd = _struct(
+        [shifted("b", i, half) for i in range(lanes.size)],
+        [shifted("a", i, f"{half} + 1") for i in range(lanes.size)],
+        f"{m}.k - rw_v",
+    )
+    body = f"CASE WHEN rw_v = 0 THEN {m} WHEN rw_v % 2 = 0 THEN {even} ELSE {odd} END"
+    return _let("rw_v", valuation, body)
+
+
+def _digit(words: str, row: int, col: int, lanes: Lanes) -> str:
+    w, lane = divmod(col, lanes.columns)
+    biased = f"{_at(words, row * lanes.words + w)} + {lanes.bias}L"
+    digit = f"shiftrightunsigned({biased}, {lanes.width * lane}) & {lanes.mask}L"
+    return f"(({digit}) - {1 << (lanes.width - 1)}L)"
 
-    def divided(v: Column) -> Column:
-        even, half = v % 2 == 0, shr(v, 1)
-        a = lambda i: F.get(m["a"], F.lit(i))
-        b = lambda i: F.get(m["b"], F.lit(i))
-        return _struct(
-            [F.when(even, shr(a(i), half)).otherwise(shr(b(i), half)) for i in range(lanes.size)],
-            [F.when(even, shr(b(i), half)).otherwise(shr(a(i), half + 1)) for i in range(lanes.size)],
-            m["k"] - v,
+
+def _pack(digits, lanes: Lanes) -> list[str]:
+    """Words from a function (row, col) -> SQL text of a BIGINT."""
+    return [
+        " + ".join(
+            f"shiftleft({digits(r, w * lanes.columns + i)}, {lanes.width * i})"
+            for i in range(lanes.columns)
         )
+        for r in range(6)
+        for w in range(lanes.words)
+    ]
+
+
+def _from_digits(digits_a, digits_b, k: str, lanes: Lanes) -> str:
+    return _struct(_pack(digits_a, lanes), _pack(digits_b, lanes), k)
+
 
-    return let(valuation, divided)
+def identity(lanes: Lanes = NARROW) -> Column:
+    return F.expr(_identity(lanes))
 
 
-def apply_gate(m: Column, gate: Column, lanes: Lanes = NARROW) -> Column:
+def zero(lanes: Lanes = NARROW) -> Column:
+    return F.expr(_zero(lanes))
+
+
+def apply_gate(m: str, gate: str, lanes: Lanes = NARROW) -> Column:
     """Left-multiply by one gate; reduced when m is."""
-    raised = let(
-        m,
-        lambda x: _struct(
-            *mix_rows(x["a"], x["b"], gate, lanes),
-            require(x["k"] < lanes.max_k, x["k"] + 1, "matrix exponent too large for its lanes"),
-        ),
-    )
-    return let(raised, lambda x: reduce(x, lanes))
+    k = _require(f"{m}.k < {lanes.max_k}", f"{m}.k + 1", "matrix exponent too large for its lanes")
+    known = _require(f"{gate} BETWEEN 0 AND 14", gate, "gate number outside 0..14")
+    return F.expr(_let("rw_m", _mix_rows(m, known, k, lanes), _reduce("rw_m", lanes)))
 
 
-def apply_word(gates: Column, start: Column | None = None, lanes: Lanes = NARROW) -> Column:
+def apply_word(gates: str, start: str | None = None, lanes: Lanes = NARROW) -> Column:
     """Left-multiply ``start`` (default identity) by a word, first gate first; reduced.
 
     The fold itself is linear and never divides; the common factor comes out once.
     """
-    start = identity(lanes) if start is None else start
-
-    def step(acc: Column, gate: Column) -> Column:
-        return _struct(*mix_rows(acc["a"], acc["b"], gate, lanes), acc["k"] + 1)
-
-    fits = F.size(gates) + start["k"] <= lanes.max_k
-    bad = F.exists(gates, lambda g: (g < 0) | (g > 14))
-    checked = require(fits, gates, "word too long for its lanes")
-    checked = require(~bad, checked, "gate number outside 0..14")
-    return F.aggregate(checked, start, step, lambda acc: reduce(acc, lanes))
+    start_k = f"{start}.k" if start else "0"
+    fits = _require(
+        f"size({gates}) + {start_k} <= {lanes.max_k}", gates, "word too long for its lanes"
+    )
+    known = _require(
+        f"forall({gates}, rw_g -> rw_g BETWEEN 0 AND 14)", fits, "gate number outside 0..14"
+    )
+    step = _mix_rows("rw_m", "rw_g", "rw_m.k + 1", lanes)
+    return F.expr(
+        f"aggregate({known}, {start or _identity(lanes)}, "
+        f"(rw_m, rw_g) -> {step}, rw_m -> {_reduce('rw_m', lanes)})"
+    )
 
 
-def digit(words: Column, row: int, col: int, lanes: Lanes = NARROW) -> Column:
-    """Numerator entry (row, col) as BIGINT."""
-    w, lane = divmod(col, lanes.columns)
-    biased = F.get(words, F.lit(row * lanes.words + w)) + lit64(lanes.bias)
-    mask = (1 << lanes.width) - 1
-    return shru(biased, lanes.width * lane).bitwiseAND(lit64(mask)) - lit64(1 << (lanes.width - 1))
+def digits(m: str, row: int, col: int, lanes: Lanes = NARROW) -> tuple[Column, Column]:
+    """Numerator parts of entry (row, col) over the matrix's exponent."""
+    return tuple(F.expr(_digit(f"{m}.{part}", row, col, lanes)) for part in "ab")
 
 
-def entry(m: Column, row: int, col: int, lanes: Lanes = NARROW) -> ring.Element:
+def entry(m: str, row: int, col: int, lanes: Lanes = NARROW) -> ring.Element:
     """Entry (row, col) in lowest terms."""
-    return ring.reduce(
-        ring.Element(digit(m["a"], row, col, lanes), digit(m["b"], row, col, lanes), m["k"])
-    )
+    return ring.reduce(ring.Element(*digits(m, row, col, lanes), F.expr(f"{m}.k")))
 
 
-def entries(m: Column, lanes: Lanes = NARROW) -> Column:
+def entries(m: str, lanes: Lanes = NARROW) -> Column:
     """ARRAY<STRUCT<row, col, a, b, e>> of all 36 entries in lowest terms, column by column."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("row"),
-                F.lit(c).alias("col"),
-                *[v.alias(n) for n, v in zip("abe", entry(m, r, c, lanes))],
-            )
-            for c in range(6)
-            for r in range(6)
-        ]
+    raw = ", ".join(
+        f"named_struct('row', {r}, 'col', {c}, 'a', {_digit(f'{m}.a', r, c, lanes)}, "
+        f"'b', {_digit(f'{m}.b', r, c, lanes)}, 'e', {m}.k)"
+        for c in range(6)
+        for r in range(6)
     )
 
+    def lowest_terms(cell: Column) -> Column:
+        reduced = ring.reduce(ring.Element(cell["a"], cell["b"], cell["e"]))
+        return F.struct(
+            cell["row"].alias("row"),
+            cell["col"].alias("col"),
+            *[v.alias(n) for n, v in zip("abe", reduced)],
+        )
 
-def _pack(digits, lanes: Lanes) -> list[Column]:
-    """Words from a function (row, col) -> BIGINT column."""
-    out = []
-    for r in range(6):
-        for w in range(lanes.words):
-            terms = [
-                shl(digits(r, w * lanes.columns + i), lanes.width * i) for i in range(lanes.columns)
-            ]
-            out.append(fold_left(lambda x, y: x + y, terms))
-    return out
-
-
-def from_digits(digits_a, digits_b, k: Column, lanes: Lanes = NARROW) -> Column:
-    """Matrix from numerator functions (row, col) -> column."""
-    return _struct(_pack(digits_a, lanes), _pack(digits_b, lanes), k)
+    return F.transform(F.expr(f"array({raw})"), lowest_terms)
 
 
-def transpose(m: Column, lanes: Lanes = NARROW) -> Column:
-    return from_digits(
-        lambda r, c: digit(m["a"], c, r, lanes), lambda r, c: digit(m["b"], c, r, lanes), m["k"], lanes
-    )
+def transpose(m: str, lanes: Lanes = NARROW) -> Column:
+    part = lambda p: lambda r, c: _digit(f"{m}.{p}", c, r, lanes)
+    return F.expr(_from_digits(part("a"), part("b"), f"{m}.k", lanes))
 
 
-def permute_rows(m: Column, rows: Column, lanes: Lanes = NARROW) -> Column:
-    """Row r of the result is row rows[r]; ``rows`` is an ARRAY<INT> column."""
+def permute_rows(m: str, rows: str, lanes: Lanes = NARROW) -> Column:
+    """Row r of the result is row rows[r]; ``rows`` is an ARRAY<INT>."""
     w = lanes.words
-    take = lambda v: [F.get(v, F.get(rows, F.lit(i // w)) * w + i % w) for i in range(lanes.size)]
-    return _struct(take(m["a"]), take(m["b"]), m["k"])
+    take = lambda p: [
+        _at(f"{m}.{p}", f"get({rows}, {i // w}) * {w} + {i % w}") for i in range(lanes.size)
+    ]
+    return F.expr(_struct(take("a"), take("b"), f"{m}.k"))
 
 
-def permute_columns(m: Column, cols: Column, lanes: Lanes = NARROW) -> Column:
+def permute_columns(m: str, cols: str, lanes: Lanes = NARROW) -> Column:
     """Column c of the result is column cols[c]."""
 
-    def take(words: Column):
-        return lambda r, c: F.get(
-            F.array(*[digit(words, r, j, lanes) for j in range(6)]), F.get(cols, F.lit(c))
-        )
+    def take(p: str):
+        line = lambda r: f"array({', '.join(_digit(f'{m}.{p}', r, j, lanes) for j in range(6))})"
+        return lambda r, c: f"get({line(r)}, get({cols}, {c}))"
 
-    return from_digits(take(m["a"]), take(m["b"]), m["k"], lanes)
+    return F.expr(_from_digits(take("a"), take("b"), f"{m}.k", lanes))
 
 
-def apply_signs(m: Column, row_signs: Column, col_signs: Column, lanes: Lanes = NARROW) -> Column:
-    """Multiply rows and columns by +1/-1, given as ARRAY<INT> columns."""
-    sign = lambda r, c: (F.get(row_signs, F.lit(r)) * F.get(col_signs, F.lit(c))).cast("bigint")
-    return from_digits(
-        lambda r, c: digit(m["a"], r, c, lanes) * sign(r, c),
-        lambda r, c: digit(m["b"], r, c, lanes) * sign(r, c),
-        m["k"],
-        lanes,
+def apply_signs(m: str, row_signs: str, col_signs: str, lanes: Lanes = NARROW) -> Column:
+    """Multiply rows and columns by +1/-1, given as ARRAY<INT>."""
+    part = lambda p: (
+        lambda r, c: f"{_digit(f'{m}.{p}', r, c, lanes)} * get({row_signs}, {r}) * get({col_signs}, {c})"
     )
+    return F.expr(_from_digits(part("a"), part("b"), f"{m}.k", lanes))
 
 
-def negate_row(m: Column, row: Column, lanes: Lanes = NARROW) -> Column:
+def negate_row(m: str, row: str, lanes: Lanes = NARROW) -> Column:
     w = lanes.words
-    flip = lambda v: [
-        F.when(row == i // w, -F.get(v, F.lit(i))).otherwise(F.get(v, F.lit(i)))
+    flip = lambda p: [
+        f"if({row} = {i // w}, -{_at(f'{m}.{p}', i)}, {_at(f'{m}.{p}', i)})"
         for i in range(lanes.size)
     ]
-    return _struct(flip(m["a"]), flip(m["b"]), m["k"])
+    return F.expr(_struct(flip("a"), flip("b"), f"{m}.k"))
 
 
-def product(left: Column, right: Column, lanes: Lanes = NARROW) -> Column:
+def product(left: str, right: str, lanes: Lanes = NARROW) -> Column:
     """left * right, reduced. Scalars of the left times packed rows of the right."""
-    w = lanes.words
-    row = lambda v, j, i: F.get(v, F.lit(j * w + i))
-    total = lambda terms: fold_left(lambda x, y: x + y, terms)
     a, b = [], []
     for r in range(6):
-        sa = [digit(left["a"], r, j, lanes) for j in range(6)]
-        sb = [digit(left["b"], r, j, lanes) for j in range(6)]
-        for i in range(w):
+        scalars = [
+            (_digit(f"{left}.a", r, j, lanes), _digit(f"{left}.b", r, j, lanes)) for j in range(6)
+        ]
+        for i in range(lanes.words):
+            row = lambda p, j: _at(f"{right}.{p}", j * lanes.words + i)
             a.append(
-                total(
-                    [sa[j] * row(right["a"], j, i) + sb[j] * row(right["b"], j, i) * 2 for j in range(6)]
+                " + ".join(
+                    f"{x} * {row('a', j)} + 2 * {y} * {row('b', j)}"
+                    for j, (x, y) in enumerate(scalars)
                 )
             )
             b.append(
-                total([sa[j] * row(right["b"], j, i) + sb[j] * row(right["a"], j, i) for j in range(6)])
+                " + ".join(
+                    f"{x} * {row('b', j)} + {y} * {row('a', j)}" for j, (x, y) in enumerate(scalars)
+                )
             )
-    k = left["k"] + right["k"]
-    raw = _struct(a, b, require(k <= lanes.max_k, k, "matrix exponent too large for its lanes"))
-    return let(raw, lambda x: reduce(x, lanes))
+    k = f"{left}.k + {right}.k"
+    checked = _require(f"{k} <= {lanes.max_k}", k, "matrix exponent too large for its lanes")
+    return F.expr(_let("rw_m", _struct(a, b, checked), _reduce("rw_m", lanes)))
 
 
-def least_exponent(m: Column) -> Column:
+def least_exponent(m: str) -> Column:
     """Least denominator exponent of a reduced matrix."""
-    return m["k"]
+    return F.expr(f"{m}.k")
 
 
-def _parities(words: Column, lanes: Lanes) -> Column:
+def _parities(words: str, lanes: Lanes) -> str:
     """36-bit plane of entry parities, bit 6*col+row."""
     out = []
     for w in range(lanes.words):
-        stacked = fold_left(
-            lambda x, y: x.bitwiseOR(y),
-            [
-                shl(
-                    (F.get(words, F.lit(r * lanes.words + w)) + lit64(lanes.bias)).bitwiseAND(
-                        lit64(lanes.spread(1))
-                    ),
-                    r,
-                )
-                for r in range(6)
-            ],
+        stacked = " | ".join(
+            f"shiftleft(({_at(words, r * lanes.words + w)} + {lanes.bias}L) & {lanes.spread(1)}L, {r})"
+            for r in range(6)
         )
-        for j in range(lanes.columns):
-            out.append(
-                shl(
-                    shru(stacked, lanes.width * j).bitwiseAND(lit64(63)),
-                    6 * (w * lanes.columns + j),
-                )
-            )
-    return fold_left(lambda x, y: x.bitwiseOR(y), out)
+        gathered = " | ".join(
+            f"shiftleft(shiftrightunsigned(rw_s, {lanes.width * j}) & 63L, {6 * (w * lanes.columns + j)})"
+            for j in range(lanes.columns)
+        )
+        out.append(_let("rw_s", stacked, gathered))
+    return " | ".join(out)
 
 
-def int_plane(m: Column, lanes: Lanes = NARROW) -> Column:
+def int_plane(m: str, lanes: Lanes = NARROW) -> Column:
     """Integer residues of a reduced matrix: the entries at the largest exponent."""
-    return _parities(m["a"], lanes)
+    return F.expr(_parities(f"{m}.a", lanes))
 
 
-def sqrt2_plane(m: Column, lanes: Lanes = NARROW) -> Column:
+def sqrt2_plane(m: str, lanes: Lanes = NARROW) -> Column:
     """sqrt2 residues of a reduced matrix."""
-    return _parities(m["b"], lanes)
+    return F.expr(_parities(f"{m}.b", lanes))
 
 
-def from_planes(ints: Column, roots: Column, lanes: Lanes = NARROW) -> Column:
+def from_planes(ints: str, roots: str, lanes: Lanes = NARROW) -> Column:
     """Matrix with the given residues: (0,1) -> 1, (1,x) -> (1 + x*sqrt2)/sqrt2."""
-    bit = lambda plane: lambda r, c: shru(plane, 6 * c + r).bitwiseAND(lit64(1))
-    raw = from_digits(bit(ints), bit(roots), F.lit(1), lanes)
-    return F.when(ints.bitwiseOR(roots) == 0, zero(lanes)).otherwise(let(raw, lambda x: reduce(x, lanes)))
+    bit = lambda plane: lambda r, c: f"(shiftrightunsigned({plane}, {6 * c + r}) & 1L)"
+    raw = _from_digits(bit(ints), bit(roots), "1", lanes)
+    return F.expr(
+        f"if(({ints} | {roots}) = 0, {_zero(lanes)}, {_let('rw_m', raw, _reduce('rw_m', lanes))})"
+    )
 
 
-def text(m: Column, lanes: Lanes = NARROW) -> Column:
+def text(m: str, lanes: Lanes = NARROW) -> Column:
     """Six lines, entries in ``a,bee`` form separated by blanks."""
-    return F.array_join(
-        F.array(
-            *[
-                F.concat_ws(" ", *[ring.text(entry(m, r, c, lanes)) for c in range(6)])
-                for r in range(6)
-            ]
-        ),
-        "\n",
+    cells = F.transform(
+        entries(m, lanes), lambda x: F.format_string("%d,%de%d", x["a"], x["b"], x["e"])
+    )
+    row = lambda r: F.array_join(
+        F.filter(cells, lambda x, i: i % 6 == r), " "
     )
+    return F.array_join(F.array(*[row(r) for r in range(6)]), "\n")

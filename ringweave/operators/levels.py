@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import canonical, gates, matrices
+from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 
 
 def expand(level: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """Every row times each of the fifteen gates (a bounded explode, not a join).
 
-    Needs ``gates`` and ``m``; the other columns are carried along.
+    Takes ``gates`` and ``m`` and returns ``gates``, ``m`` and the ``gate`` applied.
     """
-    step = level.withColumn("gate", F.explode(gates.all_gates()))
-    return (
-        step.withColumn("m", matrices.apply_gate(F.col("m"), F.col("gate"), lanes))
-        .withColumn("gates", gates.append(F.col("gates"), F.col("gate")))
-        .drop("gate")
+    step = level.select("gates", "m", F.explode(gates.all_gates()).alias("gate"))
+    return step.select(
+        gates.append(F.col("gates"), F.col("gate")).alias("gates"),
+        pin(matrices.apply_gate("m", "gate", lanes)).alias("m"),
+        "gate",
     )
 
 
 def with_key(df: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """Adds ``canon_key``, the exact canonical key of column ``m``."""
-    return df.withColumn("canon_key", canonical.canonical_key(F.col("m"), lanes))
+    return df.withColumn("canon_key", canonical.canonical_key("m", lanes))
 
 
 def one_per_class(df: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_seen(df: DataFrame, *seen: DataFrame) -> DataFrame:
 
 def next_level(current: DataFrame, *seen: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """The classes one gate away from ``current`` that are in no ``seen`` level."""
-    candidates = with_key(expand(current, lanes), lanes)
+    candidates = with_key(expand(current, lanes).drop("gate"), lanes)
     return drop_seen(one_per_class(candidates), *seen)
 
 
@@ -63,5 +64,5 @@ def coset_generators(
     keep = (last != 0) & (last != 10) if legacy_suffix else last != 0
     return level.where(keep).select(
         gates.append(F.col("gates"), F.lit(0)).alias("gates"),
-        matrices.apply_gate(F.col("m"), F.lit(0), lanes).alias("m"),
+        pin(matrices.apply_gate("m", "0", lanes)).alias("m"),
     )

@@ -9,7 +9,7 @@ from ringweave.functions import matrices, ring, signs
 from ringweave.functions.matrices import NARROW, Lanes
 
 
-def line_counts(m: Column, line: int, by_row: bool, lanes: Lanes = NARROW) -> Column:
+def line_counts(m: str, line: int, by_row: bool, lanes: Lanes = NARROW) -> Column:
     """Text key of one line: its absolute entries in (a, b, e) order."""
     cells = []
     for i in range(6):
@@ -28,7 +28,7 @@ def equivalence_classes(df: DataFrame, key: str, by_row: bool, lanes: Lanes = NA
     """
     lines = F.array(
         *[
-            F.struct(line_counts(F.col("m"), i, by_row, lanes).alias("entries"), F.lit(i).alias("line"))
+            F.struct(line_counts("m", i, by_row, lanes).alias("entries"), F.lit(i).alias("line"))
             for i in range(6)
         ]
     )
@@ -45,7 +45,7 @@ def equivalence_classes(df: DataFrame, key: str, by_row: bool, lanes: Lanes = NA
     return keyed.select(key, F.explode(classes).alias("c")).select(key, "c.*")
 
 
-def first_row_column_mask(m: Column, lanes: Lanes = NARROW) -> Column:
+def first_row_column_mask(m: str, lanes: Lanes = NARROW) -> Column:
     """Column signs implied by a positive row 0: the sign of its entry, unset where zero."""
     mask = F.lit(0)
     for c in range(6):
@@ -64,7 +64,7 @@ def majority_votes(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
     without one the row stays unset. Each matrix has six rows and columns, so this
     too is decided inside the row.
     """
-    m, mask = F.col("m"), F.col("col_mask")
+    m, mask = "m", F.col("col_mask")
     columns = F.array(
         *[
             F.struct(
@@ -98,7 +98,7 @@ def majority_votes(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
     )
 
 
-def line_class_order(m: Column, col: int, lanes: Lanes = NARROW) -> Column:
+def line_class_order(m: str, col: int, lanes: Lanes = NARROW) -> Column:
     """Orderable key of a column's entry multiset: (value, count) pairs in value order."""
     cells = F.array_sort(
         F.array(*[ring.absolute(matrices.entry(m, r, col, lanes)).struct() for r in range(6)])

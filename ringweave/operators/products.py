@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import matrices, ring
+from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 
 # A generator trie of at most this many edges is broadcast.
@@ -15,7 +16,7 @@ BROADCAST_EDGES = 200_000
 def to_long(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
     """(key, row, col, a, b, e) with zero entries left out."""
     return (
-        df.select(key, F.explode(matrices.entries(F.col("m"), lanes)).alias("cell"))
+        df.select(key, F.explode(matrices.entries("m", lanes)).alias("cell"))
         .select(key, "cell.*")
         .where("a <> 0")
     )
@@ -104,7 +105,7 @@ def free_multiply(
     for _ in range(length):
         rows = rows.join(edges, "node").select(
             F.array_append("gates", F.col("gate")).alias("gates"),
-            matrices.apply_gate(F.col("m"), F.col("gate"), lanes).alias("m"),
+            pin(matrices.apply_gate("m", "gate", lanes)).alias("m"),
             F.col("child").alias("node"),
         )
     return rows.drop("node")

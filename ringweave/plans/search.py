@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.functions import gates, matrices
+from ringweave.functions.bits import pin
 from ringweave.functions.matrices import Lanes, lanes_for
 from ringweave.operators import levels, products, targets as target_ops
 from ringweave.operators.words import with_pattern
@@ -48,7 +49,7 @@ def root_level(spark: SparkSession, circuit: str, lanes: Lanes) -> DataFrame:
     words = spark.createDataFrame([(circuit,)], "value string").select(
         gates.parse_word(F.col("value")).alias("gates")
     )
-    rows = words.withColumn("m", matrices.apply_word(F.col("gates"), lanes=lanes))
+    rows = words.withColumn("m", matrices.apply_word("gates", lanes=lanes))
     return levels.with_key(rows, lanes)
 
 
@@ -87,7 +88,7 @@ def search(
         nonlocal open_targets
         if open_targets is None:
             return
-        hits = target_ops.matching(with_pattern(rows, lanes), open_targets, config.match)
+        hits = target_ops.matching(rows, open_targets, config.match)
         level_found = materialise(target_ops.witnesses(hits, t), f"{run}/found={t}")
         open_targets = materialise(
             target_ops.delete_matched(open_targets, level_found, config.match), f"{run}/targets={t}"
@@ -113,7 +114,8 @@ def search(
         started = time.time()
         seen = [d for d in (prior, None if single_root else current) if d is not None]
         level = materialise(
-            levels.next_level(current, *seen, lanes=lanes), f"{run}/level={t}"
+            with_pattern(levels.next_level(current, *seen, lanes=lanes), lanes),
+            f"{run}/level={t}",
         )
         record(level, t)
         if config.beyond == PRODUCT and t <= config.generating_sets:
@@ -132,7 +134,7 @@ def search(
         if offset == 0:
             rows = current.select(
                 gates.append(F.col("gates"), F.lit(0)).alias("gates"),
-                matrices.apply_gate(F.col("m"), F.lit(0), lanes).alias("m"),
+                pin(matrices.apply_gate("m", "0", lanes)).alias("m"),
             )
         elif config.beyond == PRODUCT and offset - 1 in generators:
             rows = products.free_multiply(
@@ -141,7 +143,7 @@ def search(
         else:
             break
         if config.record_beyond:
-            record(rows, t)
+            record(with_pattern(rows, lanes), t)
         done = report(t, started, None)
 
     if found:
