@@ -172,19 +172,17 @@ def mod_row(p: Pattern, row: Column) -> Pattern:
     return mod_rows(p, shl(lit64(1), row))
 
 
-def _permute_plane(plane: Column, order) -> Column:
-    first = lit64(ROW_MASKS[0])
-    out = None
-    for r in range(6):
-        term = shl(shru(plane, order(r)).bitwiseAND(first), r)
-        out = term if out is None else out.bitwiseOR(term)
-    return out
+def permute_rows(p: Pattern, order: str) -> Pattern:
+    """Row r of the result is row order[r]; ``order`` names an ARRAY<INT> column."""
 
+    def moved(plane: Column) -> Column:
+        out = None
+        for r in range(6):
+            term = shl(shru(plane, F.get(order, F.lit(r))).bitwiseAND(lit64(ROW_MASKS[0])), r)
+            out = term if out is None else out.bitwiseOR(term)
+        return out
 
-def permute_rows(p: Pattern, order: Column) -> Pattern:
-    """Row r of the result is row order[r]; ``order`` is an ARRAY<INT> column."""
-    pick = lambda r: F.get(order, F.lit(r))
-    return Pattern(_permute_plane(p.ints, pick), _permute_plane(p.roots, pick))
+    return Pattern(moved(p.ints), moved(p.roots))
 
 
 def transpose(p: Pattern) -> Pattern:
@@ -249,23 +247,26 @@ def orbit_size(p: Pattern, all_mods: bool = False) -> Column:
     return F.when(distinct_rows, all_members - mods + 1).otherwise(all_members)
 
 
-def orbit_members(p: Pattern, all_mods: bool = False) -> Column:
-    """The orbit as ARRAY<pattern struct>, for exploding; bounded by 46,080 members.
+def least_mods(p: Pattern) -> Pattern:
+    """Every row replaced by the lesser of itself and its mod.
 
-    ``all_mods`` as in ``orbit_size``.
+    A row's cells sit six bits apart in a plane, in column order, so masked planes
+    compare like the rows themselves.
     """
-    orders = F.array(*[F.lit(sum(v << (4 * i) for i, v in enumerate(o))) for o in ROW_ORDERS])
-    nibble = lambda order, r: F.call_function("shiftright", order, F.lit(4 * r)).bitwiseAND(F.lit(7))
-
-    def members(order: Column) -> Column:
-        pick = lambda r: nibble(order, r)
-        moved = Pattern(_permute_plane(p.ints, pick), _permute_plane(p.roots, pick))
-        masks = F.sequence(F.lit(0), F.lit(63))
-        if not all_mods:
-            masks = F.when(order == orders[0], F.array(F.lit(0))).otherwise(masks)
-        return F.transform(masks, lambda bits: mod_rows(moved, bits).struct())
-
-    return F.array_distinct(F.flatten(F.transform(orders, members)))
+    roots = None
+    for mask in ROW_MASKS:
+        row, flipped = p.roots.bitwiseAND(lit64(mask)), mod_all(p).roots.bitwiseAND(lit64(mask))
+        least = F.least(row, flipped)
+        roots = least if roots is None else roots.bitwiseOR(least)
+    return Pattern(p.ints, roots)
+
+
+def live_rows(p: Pattern) -> Column:
+    """Six bits: which rows have an integer bit, i.e. are changed by their mod."""
+    bits = F.lit(0)
+    for r, mask in enumerate(ROW_MASKS):
+        bits = bits.bitwiseOR(F.when(p.ints.bitwiseAND(lit64(mask)) != 0, 1 << r).otherwise(0))
+    return bits
 
 
 def text(p: Pattern) -> Column:
