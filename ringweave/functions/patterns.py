@@ -186,31 +186,31 @@ def permute_rows(p: Pattern, order: str) -> Pattern:
 
 
 def transpose(p: Pattern) -> Pattern:
+    """Each cell (r, c) moves by 5*(r - c) bits, so whole diagonals move together."""
+
     def flipped(plane: Column) -> Column:
-        out = None
-        for r in range(6):
-            for c in range(6):
-                term = shl(shru(plane, 6 * c + r).bitwiseAND(lit64(1)), 6 * r + c)
-                out = term if out is None else out.bitwiseOR(term)
+        out = plane.bitwiseAND(lit64(IDENTITY_PLANE))
+        for d in range(1, 6):
+            above = lit64(sum(1 << (6 * (i + d) + i) for i in range(6 - d)))
+            below = lit64(sum(1 << (6 * i + i + d) for i in range(6 - d)))
+            out = out.bitwiseOR(shru(plane.bitwiseAND(above), 5 * d))
+            out = out.bitwiseOR(shl(plane.bitwiseAND(below), 5 * d))
         return out
 
     return Pattern(flipped(p.ints), flipped(p.roots))
 
 
 def _row_codes(p: Pattern) -> Column:
-    """Per row, (int bits, sqrt2 bits) as one number, the lesser of the row and its mod."""
-
-    def line(plane: Column, r: int) -> Column:
-        out = None
-        for c in range(6):
-            term = shl(shru(plane, 6 * c + r).bitwiseAND(lit64(1)), c)
-            out = term if out is None else out.bitwiseOR(term)
-        return out
+    """Per row, (int bits, sqrt2 bits) as one number, the lesser of the row and its mod.
 
+    The cells of a row sit six bits apart in a plane; a shift and a mask bring any
+    row to the place of row 0, whose mask is 31 bits wide.
+    """
+    line = lambda plane, r: shru(plane, r).bitwiseAND(lit64(ROW_MASKS[0]))
     codes = []
     for r in range(6):
         i, s = line(p.ints, r), line(p.roots, r)
-        codes.append(shl(i, 6).bitwiseOR(F.least(s, s.bitwiseXOR(i))))
+        codes.append(shl(i, 31).bitwiseOR(F.least(s, s.bitwiseXOR(i))))
     return F.array(*codes)
 
 
@@ -238,7 +238,7 @@ def orbit_size(p: Pattern, all_mods: bool = False) -> Column:
             "div", acc, F.factorial(F.size(F.filter(key, lambda c: c == code)))
         ).cast("int"),
     )
-    live_rows = F.size(F.filter(key, lambda c: c >= 64))
+    live_rows = F.size(F.filter(key, lambda c: c >= 1 << 31))
     mods = F.call_function("shiftleft", F.lit(1), live_rows)
     all_members = arrangements * mods
     if all_mods:
@@ -271,8 +271,7 @@ def live_rows(p: Pattern) -> Column:
 
 def text(p: Pattern) -> Column:
     """Six lines of ``int,sqrt2`` cells."""
-    rows = []
-    for r in range(6):
-        cells = [F.format_string("%d,%d", *get_bits(p, r, c)) for c in range(6)]
-        rows.append(F.concat_ws(" ", *cells))
-    return F.concat_ws("\n", *rows)
+    six = F.sequence(F.lit(0), F.lit(5))
+    cell = lambda r, c: F.concat_ws(",", *[b.cast("string") for b in get_bits(p, r, c)])
+    row = lambda r: F.array_join(F.transform(six, lambda c: cell(r, c)), " ")
+    return F.array_join(F.transform(six, row), "\n")

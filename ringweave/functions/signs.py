@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ringweave.functions.bits import let
+
 # The four codes of a position.
 UNSET, POSITIVE, NEGATIVE, CONFLICT = 0b00, 0b01, 0b10, 0b11
 ALL_POSITIVE = sum(POSITIVE << (2 * i) for i in range(6))
@@ -65,15 +67,17 @@ def line_order_key(cells: Column, signs: Column) -> Column:
     the key negates the cells and leads with a zero flag; plain array comparison
     of keys is the order.
     """
-    signed = F.zip_with(cells, signs, lambda c, s: F.struct((c["a"] * s).alias("a"), (c["b"] * s).alias("b"), c["e"].alias("e")))
-    lead = F.coalesce(F.get(F.filter(signed, lambda c: c["a"] != 0), F.lit(0))["a"], F.lit(1).cast("bigint"))
-    flip = F.when(lead < 0, -1).otherwise(1)
-    return F.transform(
-        signed,
-        lambda c: F.struct(
-            (c["a"] == 0).cast("int").alias("z"),
-            (-c["a"] * flip).alias("a"),
-            (-c["b"] * flip).alias("b"),
-            (-c["e"]).alias("e"),
-        ),
+    times = lambda c, s: F.struct((c["a"] * s).alias("a"), (c["b"] * s).alias("b"), c["e"].alias("e"))
+    lead = lambda line: F.coalesce(
+        F.signum(F.get(F.filter(line, lambda c: c["a"] != 0), F.lit(0))["a"]), F.lit(1.0)
+    ).cast("int")
+    ordered = lambda c, flip: F.struct(
+        (c["a"] == 0).cast("int").alias("z"),
+        (-c["a"] * flip).alias("a"),
+        (-c["b"] * flip).alias("b"),
+        (-c["e"]).alias("e"),
+    )
+    return let(
+        F.zip_with(cells, signs, times),
+        lambda line: let(lead(line), lambda flip: F.transform(line, lambda c: ordered(c, flip))),
     )

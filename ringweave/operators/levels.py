@@ -48,7 +48,12 @@ def drop_seen(df: DataFrame, *seen: DataFrame) -> DataFrame:
 
 def next_level(current: DataFrame, *seen: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """The classes one gate away from ``current`` that are in no ``seen`` level."""
-    candidates = with_key(expand(current, lanes).drop("gate"), lanes)
+    # Level rows are small but each costs fifteen canonical keys, so they are spread
+    # by core count before the fan-out rather than by bytes.
+    spread = current.sparkSession.sparkContext.defaultParallelism
+    candidates = with_key(
+        expand(current.repartition(spread), lanes).drop("gate"), lanes
+    )
     return drop_seen(one_per_class(candidates), *seen)
 
 

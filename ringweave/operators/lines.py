@@ -1,109 +1,102 @@
-"""Row and column classes of matrices, and sign votes over them."""
+"""Row and column classes of matrices, and sign votes over them.
+
+All functions work on ``cells``, the 36 entries of ``matrices.entries`` in column
+order. A matrix has six rows and six columns, so its grouping happens inside its
+own row of the table: nothing is shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringweave.functions import matrices, ring, signs
+from ringweave.functions import matrices, signs
+from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 
+_SIX = "sequence(0, 5)"
+
+
+def with_cells(df: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
+    """Adds ``cells``, the entries of ``m`` in lowest terms."""
+    return df.withColumn("cells", pin(matrices.entries("m", lanes)))
+
+
+def lines(cells: str, by_row: bool) -> Column:
+    """ARRAY of six lines, each an ARRAY<STRUCT<a, b, e>>."""
+    at = "6 * j + i" if by_row else "6 * i + j"
+    cell = f"get({cells}, {at})"
+    return F.expr(
+        f"transform({_SIX}, i -> transform({_SIX}, j -> "
+        f"named_struct('a', {cell}.a, 'b', {cell}.b, 'e', {cell}.e)))"
+    )
+
 
-def line_counts(m: str, line: int, by_row: bool, lanes: Lanes = NARROW) -> Column:
-    """Text key of one line: its absolute entries in (a, b, e) order."""
-    cells = []
-    for i in range(6):
-        r, c = (line, i) if by_row else (i, line)
-        cells.append(ring.absolute(matrices.entry(m, r, c, lanes)).struct())
-    ordered = F.array_sort(F.array(*cells))
-    return F.array_join(
-        F.transform(ordered, lambda x: F.format_string("%d,%de%d", x["a"], x["b"], x["e"])), " "
+def magnitudes(line: str) -> str:
+    """SQL text: the sorted absolute entries of a line."""
+    return (
+        f"array_sort(transform({line}, x -> "
+        "if(x.a < 0, named_struct('a', -x.a, 'b', -x.b, 'e', x.e), x)))"
     )
 
 
-def equivalence_classes(df: DataFrame, key: str, by_row: bool, lanes: Lanes = NARROW) -> DataFrame:
-    """(key, entries, lines): the lines of each matrix grouped by their entry multiset.
+def equivalence_classes(df: DataFrame, key: str, by_row: bool) -> DataFrame:
+    """(key, entries, members): the lines of each matrix grouped by their entry multiset.
 
-    A matrix has six lines, so the grouping happens inside its row: no shuffle.
+    Needs ``cells``. ``entries`` is the text of the sorted absolute entries.
     """
-    lines = F.array(
-        *[
-            F.struct(line_counts("m", i, by_row, lanes).alias("entries"), F.lit(i).alias("line"))
-            for i in range(6)
-        ]
+    text = f"array_join(transform({magnitudes('l')}, x -> concat(x.a, ',', x.b, 'e', x.e)), ' ')"
+    keyed = df.select(key, lines("cells", by_row).alias("lines")).select(
+        key, pin(F.expr(f"transform(lines, l -> {text})")).alias("texts")
     )
-    keyed = df.select(key, lines.alias("lines"))
-    classes = F.transform(
-        F.array_distinct(F.transform("lines", lambda x: x["entries"])),
-        lambda k: F.struct(
-            k.alias("entries"),
-            F.transform(
-                F.filter("lines", lambda x: x["entries"] == k), lambda x: x["line"]
-            ).alias("lines"),
-        ),
+    classes = (
+        "transform(array_distinct(texts), t -> named_struct('entries', t, 'members', "
+        f"filter({_SIX}, i -> get(texts, i) = t)))"
     )
-    return keyed.select(key, F.explode(classes).alias("c")).select(key, "c.*")
+    return keyed.select(key, F.explode(F.expr(classes)).alias("c")).select(key, "c.*")
 
 
-def first_row_column_mask(m: str, lanes: Lanes = NARROW) -> Column:
+def first_row_column_mask(cells: str) -> Column:
     """Column signs implied by a positive row 0: the sign of its entry, unset where zero."""
-    mask = F.lit(0)
-    for c in range(6):
-        a = matrices.entry(m, 0, c, lanes).a
-        code = F.when(a > 0, signs.POSITIVE << (2 * c)).when(a < 0, signs.NEGATIVE << (2 * c)).otherwise(0)
-        mask = mask.bitwiseOR(code)
-    return mask
+    code = (
+        f"CASE sign(get({cells}, 6 * c).a) WHEN 1 THEN {signs.POSITIVE} "
+        f"WHEN -1 THEN {signs.NEGATIVE} ELSE {signs.UNSET} END"
+    )
+    return F.expr(f"aggregate({_SIX}, 0, (acc, c) -> acc | shiftleft({code}, 2 * c))")
 
 
-def majority_votes(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
+def majority_votes(df: DataFrame, key: str) -> DataFrame:
     """(key, row, sign): the sign most entries of a row vote for.
 
-    Needs ``m`` and ``col_mask``. An entry votes + when its sign agrees with its
+    Needs ``cells`` and ``col_mask``. An entry votes + when its sign agrees with its
     column's, - otherwise; unset and conflicting columns and zeros do not vote.
-    Column classes vote in order and the first with a nonzero balance decides;
-    without one the row stays unset. Each matrix has six rows and columns, so this
-    too is decided inside the row.
+    Column classes vote in the order of their (value, count) lists and the first with
+    a nonzero balance decides; without one the row stays unset.
     """
-    m, mask = "m", F.col("col_mask")
-    columns = F.array(
-        *[
-            F.struct(
-                line_class_order(m, c, lanes).alias("cls"),
-                signs.mask_at(mask, c).alias("code"),
-                F.array(*[F.signum(matrices.entry(m, r, c, lanes).a).cast("int") for r in range(6)]).alias("s"),
-            )
-            for c in range(6)
-        ]
+    counted = (
+        f"transform(array_distinct({magnitudes('l')}), v -> "
+        f"named_struct('v', v, 'n', size(filter({magnitudes('l')}, x -> x = v))))"
+    )
+    staged = (
+        df.select(key, "col_mask", "cells", lines("cells", by_row=False).alias("lines"))
+        .select(key, "col_mask", "cells", pin(F.expr(f"transform(lines, l -> {counted})")).alias("cls"))
+        .withColumn("row", F.explode(F.expr(_SIX)))
     )
-    staged = df.select(key, columns.alias("cols")).select(
-        key, "cols", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("row")
+    factor = (
+        f"CASE shiftright(col_mask, 2 * c) & 3 WHEN {signs.POSITIVE} THEN 1 "
+        f"WHEN {signs.NEGATIVE} THEN -1 ELSE 0 END"
     )
-    vote = lambda c: F.when(c["code"] == signs.POSITIVE, F.get(c["s"], F.col("row"))).when(
-        c["code"] == signs.NEGATIVE, -F.get(c["s"], F.col("row"))
-    ).otherwise(0)
-    balances = F.transform(
-        F.array_sort(F.array_distinct(F.transform("cols", lambda c: c["cls"]))),
-        lambda k: F.aggregate(
-            F.filter("cols", lambda c: c["cls"] == k), F.lit(0), lambda acc, c: acc + vote(c)
-        ),
+    vote = f"if(get(cls, c) = k, int(sign(get(cells, 6 * c + row).a)) * {factor}, 0)"
+    balances = (
+        "transform(array_sort(array_distinct(cls)), k -> "
+        f"aggregate({_SIX}, 0, (acc, c) -> acc + {vote}))"
     )
-    decisive = F.get(F.filter(balances, lambda b: b != 0), F.lit(0))
-    return staged.select(
+    decisive = F.expr(f"get(filter({balances}, b -> b <> 0), 0)")
+    return staged.select(key, "row", pin(decisive).alias("decisive")).select(
         key,
         "row",
-        F.when(decisive > 0, signs.POSITIVE)
-        .when(decisive < 0, signs.NEGATIVE)
+        F.when(F.col("decisive") > 0, signs.POSITIVE)
+        .when(F.col("decisive") < 0, signs.NEGATIVE)
         .otherwise(signs.UNSET)
         .alias("sign"),
     )
-
-
-def line_class_order(m: str, col: int, lanes: Lanes = NARROW) -> Column:
-    """Orderable key of a column's entry multiset: (value, count) pairs in value order."""
-    cells = F.array_sort(
-        F.array(*[ring.absolute(matrices.entry(m, r, col, lanes)).struct() for r in range(6)])
-    )
-    return F.transform(
-        F.array_distinct(cells),
-        lambda v: F.struct(v.alias("v"), F.size(F.filter(cells, lambda c: c == v)).alias("n")),
-    )

@@ -29,7 +29,7 @@ def orbit(df: DataFrame, key: str, all_mods: bool = False) -> DataFrame:
         pin(base.roots).alias("s0"),
         pin(F.size(F.array_distinct(patterns.orbit_key(Pattern.field()))) == 6).alias("all_differ"),
     )
-    orders = F.array(*[F.array(*map(F.lit, o)) for o in patterns.ROW_ORDERS])
+    orders = F.expr(f"array({', '.join(f'array{o}' for o in patterns.ROW_ORDERS)})")
     moved = patterns.permute_rows(Pattern(F.col("i0"), F.col("s0")), "order")
     arranged = (
         start.select("*", F.explode(orders).alias("order"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import matrices, ring
 from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
+from ringweave.session import materialise
 
 # A generator trie of at most this many edges is broadcast.
 BROADCAST_EDGES = 200_000
@@ -95,13 +98,15 @@ def free_multiply(
     ``generators`` holds words of ``length`` gates. Each step extends every row
     along the at most fifteen edges leaving its node, so shared prefixes are
     multiplied once and no pairing of the two sets is ever joined as such. The
-    edge table is broadcast only when it is counted and small; beyond that the
-    join on the node is left to adaptive execution.
+    edge table is written once, counted, and broadcast only when small; beyond
+    that the join on the node is left to adaptive execution.
     """
-    edges = generator_edges(generators)
-    small = edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
-    edges = F.broadcast(edges) if small else edges
-    rows = stored.select("gates", "m", F.lit("").alias("node"))
+    edges = materialise(generator_edges(generators), f"edges-{uuid.uuid4().hex}")
+    edges = F.broadcast(edges) if edges.count() <= BROADCAST_EDGES else edges
+    # Few bytes per row but much work on each: spread by core count before the fan-out.
+    spread = stored.sparkSession.sparkContext.defaultParallelism
+    # Pinned, or the literal node turns the first step into a join without a key.
+    rows = stored.select("gates", "m").repartition(spread).withColumn("node", pin(F.lit("")))
     for _ in range(length):
         rows = rows.join(edges, "node").select(
             F.array_append("gates", F.col("gate")).alias("gates"),

@@ -109,8 +109,15 @@ def ring_reduce(spark, sf):
 
 def ring_add_sub(spark, sf):
     x, y = Element.of(*X), Element.of(*Y)
-    return ring_inputs(spark, sf).select(
-        *KEYS, *_parts("s", ring.add(x, y)), *_parts("d", ring.sub(x, y))
+    sums = ring_inputs(spark, sf).select(
+        *KEYS,
+        ring.add_unreduced(x, y).struct().alias("s"),
+        ring.sub_unreduced(x, y).struct().alias("d"),
+    )
+    return sums.select(
+        *KEYS,
+        *_parts("s", ring.reduce(Element.field("s"))),
+        *_parts("d", ring.reduce(Element.field("d"))),
     )
 
 
@@ -126,13 +133,17 @@ def ring_multiply(spark, sf):
 
 def ring_divide(spark, sf):
     x, y = Element.of(*X), Element.of(*Y)
-    products_ = ring_inputs(spark, sf).select(
-        "*", *[v.alias(n) for n, v in zip(("pa", "pb", "pe"), ring.mul(x, y))]
+    rows = ring_inputs(spark, sf).select(
+        *KEYS,
+        ring.reduce(x).struct().alias("x"),
+        ring.reduce(y).struct().alias("y"),
+        ring.mul(x, y).struct().alias("xy"),
     )
-    return products_.select(
+    reduced = rows.withColumn("xy", ring.reduce(Element.field("xy")).struct())
+    return reduced.select(
         *KEYS,
-        *_parts("q", ring.divide(x, y)),
-        *_parts("back", ring.divide(Element.of("pa", "pb", "pe"), y)),
+        *_parts("q", ring.divide(Element.field("x"), Element.field("y"))),
+        *_parts("back", ring.divide(Element.field("xy"), Element.field("y"))),
     )
 
 
@@ -154,8 +165,28 @@ def ring_order(spark, sf):
 
 def ring_marked(spark, sf):
     x, y = Element.of(*X), Element.of(*Y)
-    return ring_inputs(spark, sf).select(
-        *KEYS, *_parts("m", ring.marked_multiply(x, y)), *_parts("u", ring.marked_divide(x, y))
+    rows = ring_inputs(spark, sf).select(
+        *KEYS,
+        x.struct().alias("x"),
+        "ya",
+        ring.reduce(x).struct().alias("rx"),
+        ring.reduce(y).struct().alias("ry"),
+        *_parts("m", ring.marked_multiply(x, y)),
+    )
+    # The mark is taken off x as given; only the quotient needs lowest terms.
+    plain, x, y = Element.field("x"), Element.field("rx"), Element.field("ry")
+    marked = ring.marked_divide(plain, ring.zero())
+    return rows.select(
+        *KEYS,
+        "ma",
+        "mb",
+        "me",
+        *_parts(
+            "u",
+            Element(
+                *(F.when(F.col("ya") == 0, m).otherwise(q) for m, q in zip(marked, ring.divide(x, y)))
+            ),
+        ),
     )
 
 
@@ -538,7 +569,7 @@ def matrix_from_pattern(spark, sf):
 
 def line_classes(spark, sf):
     """Rows and columns of the customer matrices grouped by their absolute entries."""
-    rows = customer_matrices(spark, sf)
+    rows = lines.with_cells(customer_matrices(spark, sf))
     out = []
     for by_row, kind in ((True, "row"), (False, "column")):
         out.append(
@@ -546,7 +577,7 @@ def line_classes(spark, sf):
                 "o_custkey",
                 F.lit(kind).alias("kind"),
                 "entries",
-                F.array_join(F.col("lines").cast("array<string>"), " ").alias("members"),
+                F.array_join(F.col("members").cast("array<string>"), " ").alias("members"),
             )
         )
     return out[0].unionByName(out[1])
@@ -554,26 +585,22 @@ def line_classes(spark, sf):
 
 def column_order(spark, sf):
     """Column numbers of each customer matrix in signed order under all-positive rows."""
-    column = lambda c: F.array(*[matrices.entry("m", r, c).struct() for r in range(6)])
-    keyed = F.array(
-        *[
-            F.struct(
-                signs.line_order_key(column(c), signs.factors(F.lit(signs.ALL_POSITIVE))).alias("key"),
-                F.lit(c).alias("c"),
-            )
-            for c in range(6)
-        ]
+    rows = lines.with_cells(customer_matrices(spark, sf)).select(
+        "o_custkey", pin(lines.lines("cells", by_row=False)).alias("columns")
     )
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["c"].cast("string"))
-    return customer_matrices(spark, sf).select(
-        "o_custkey", F.array_join(ordered, " ").alias("columns")
+    factors = signs.factors(F.lit(signs.ALL_POSITIVE))
+    keyed = F.transform(
+        "columns",
+        lambda col, i: F.struct(signs.line_order_key(col, factors).alias("key"), i.alias("c")),
     )
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["c"].cast("string"))
+    return rows.select("o_custkey", F.array_join(ordered, " ").alias("columns"))
 
 
 def sign_masks(spark, sf):
     """Column signs implied by a positive row 0, and the mask operations on them."""
-    rows = customer_matrices(spark, sf).select(
-        "o_custkey", pin(lines.first_row_column_mask("m")).alias("mask")
+    rows = lines.with_cells(customer_matrices(spark, sf)).select(
+        "o_custkey", pin(lines.first_row_column_mask("cells")).alias("mask")
     )
     at = (F.col("o_custkey") % 6).cast("int")
     changed = signs.set_sign(F.col("mask"), at, (F.col("o_custkey") % 4).cast("int"))
@@ -586,8 +613,8 @@ def sign_masks(spark, sf):
 
 
 def majority_votes(spark, sf):
-    rows = customer_matrices(spark, sf).withColumn(
-        "col_mask", pin(lines.first_row_column_mask("m"))
+    rows = lines.with_cells(customer_matrices(spark, sf)).withColumn(
+        "col_mask", pin(lines.first_row_column_mask("cells"))
     )
     return lines.majority_votes(rows, "o_custkey").select(
         "o_custkey", *_long(row=F.col("row"), sign=F.col("sign"))

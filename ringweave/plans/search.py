@@ -90,9 +90,7 @@ def search(
             return
         hits = target_ops.matching(rows, open_targets, config.match)
         level_found = materialise(target_ops.witnesses(hits, t), f"{run}/found={t}")
-        open_targets = materialise(
-            target_ops.delete_matched(open_targets, level_found, config.match), f"{run}/targets={t}"
-        )
+        open_targets = target_ops.delete_matched(open_targets, level_found, config.match)
         found.append(level_found)
         if config.out_path:
             write_witnesses(level_found, config.out_path, t)
