@@ -49,9 +49,10 @@ def parse_word(text: Column, strict: bool = True) -> Column:
     A token that is not a gate number fails the query, or makes the word null
     when ``strict`` is false.
     """
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    good = F.forall(tokens, lambda t: t.rlike(r"^(\d|1[0-4])$"))
-    word = F.when(good, tokens).cast("array<tinyint>")
+    # What remains without gate numbers and white space is what should not be there.
+    good = F.regexp_replace(text, r"\b(\d|1[0-4])\b|\s", "") == ""
+    tokens = F.split(F.when(good, text), r"\s+")
+    word = F.filter(tokens, lambda t: t != "").cast("array<tinyint>")
     if strict:
         return require(good, word, "a circuit line holds something other than gates 0..14")
     return word
@@ -61,22 +62,24 @@ def append(gates: Column, gate: Column) -> Column:
     return F.array_append(gates, gate.cast("tinyint"))
 
 
+# Codes 1..15 of the gates as hexadecimal digits.
+_DIGITS = "123456789ABCDEF"
+_SWAP_PAIRS = ("(.)(.)", "$2$1")
+
+
 def pack_word(gates: Column) -> Column:
     """BINARY with two gates per byte, each stored as gate+1, earlier gate in the low half."""
-    code = lambda i: F.coalesce(F.get(gates, i).cast("int") + 1, F.lit(0))
-    n_bytes = F.call_function("div", F.size(gates) + 1, F.lit(2)).cast("int")
-    digits = F.transform(
-        F.slice(F.sequence(F.lit(0), n_bytes), F.lit(1), n_bytes),
-        lambda i: F.lpad(F.hex((code(i * 2) + code(i * 2 + 1) * 16).cast("bigint")), 2, "0"),
+    codes = F.array_join(
+        F.transform(gates, lambda g: F.substring(F.lit(_DIGITS), g.cast("int") + 1, F.lit(1))), ""
     )
-    return F.unhex(F.array_join(digits, ""))
+    padded = F.concat(codes, F.when(F.size(gates) % 2 == 1, "0").otherwise(""))
+    return F.unhex(F.regexp_replace(padded, *_SWAP_PAIRS))
 
 
 def unpack_word(packed: Column) -> Column:
     """Inverse of ``pack_word``."""
-    codes = F.transform(
-        F.regexp_extract_all(F.hex(packed), F.lit("([0-9A-F]{2})"), F.lit(1)),
-        lambda h: F.array(F.conv(F.right(h, F.lit(1)), 16, 10), F.conv(F.left(h, F.lit(1)), 16, 10)),
+    codes = F.split(F.regexp_replace(F.hex(packed), *_SWAP_PAIRS), "")
+    return F.transform(
+        F.filter(codes, lambda c: (c != "0") & (c != "")),
+        lambda c: (F.instr(F.lit(_DIGITS), c) - 1).cast("tinyint"),
     )
-    gates = F.filter(F.flatten(codes).cast("array<int>"), lambda c: c > 0)
-    return F.transform(gates, lambda c: (c - 1).cast("tinyint"))

@@ -6,13 +6,15 @@ Bit 6*col + row of ``int_plane`` is the integer residue of a cell, the same bit
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
+from operator import add, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ringweave.functions.bits import lit64, shl, shru
+from ringweave.functions.bits import let, lit64, shl, shru
 
 COLUMN_MASKS = [0b111111 << (6 * c) for c in range(6)]
 ROW_MASKS = [sum(1 << (6 * c + r) for c in range(6)) for r in range(6)]
@@ -120,21 +122,27 @@ def case_num(p: Pattern) -> Column:
     when, among the first four columns or among the first four rows, one has weight 4
     or more than two are empty, else 5. Every other weight is case 0.
     """
-    cols = F.array(*[column_weight(p, i) for i in range(4)])
-    rows = F.array(*[row_weight(p, i) for i in range(4)])
-    first3 = lambda lines: F.slice(lines, 1, 3)
-    has = F.array_contains
-    empties = lambda lines: F.size(F.array_remove(lines, 0)) < 2
+    lines = [column_weight(p, i) for i in range(4)] + [row_weight(p, i) for i in range(4)]
+    either = lambda conditions: reduce(or_, conditions)
+
+    def decide(weights: Column) -> Column:
+        cols = [F.get(weights, F.lit(i)) for i in range(4)]
+        rows = [F.get(weights, F.lit(4 + i)) for i in range(4)]
+        empty = lambda four: reduce(add, [(x == 0).cast("int") for x in four]) > 2
+        six = either([x == 2 for x in cols[:3] + rows[:3]])
+        four = either([(x == 4) | (x == 0) for x in cols[:3]])
+        two = either([x == 4 for x in cols + rows]) | empty(cols) | empty(rows)
+        return (
+            F.when(w == 16, F.when(six, 6).otherwise(3))
+            .when(w == 12, F.when(four, 4).otherwise(7))
+            .otherwise(F.when(two, 2).otherwise(5))
+        )
+
     w = weight(p)
     return (
         F.when(w == 4, 1)
         .when(w == 24, 8)
-        .when(w == 16, F.when(has(first3(cols), 2) | has(first3(rows), 2), 6).otherwise(3))
-        .when(w == 12, F.when(has(first3(cols), 4) | has(first3(cols), 0), 4).otherwise(7))
-        .when(
-            w == 8,
-            F.when(has(cols, 4) | has(rows, 4) | empties(cols) | empties(rows), 2).otherwise(5),
-        )
+        .when(w.isin(8, 12, 16), let(F.array(*lines), decide))
         .otherwise(0)
     )
 

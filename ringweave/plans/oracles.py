@@ -817,40 +817,49 @@ sigs AS (SELECT k, {_sorted_lines("6 * c + r")} AS rows, {_sorted_lines("6 * r +
     "SELECT k AS lde, count(*) AS n_words, count(DISTINCT (rows, cols)) AS n_signatures FROM sigs GROUP BY 1",
 )
 
-# A column is one integer over base 256, entries coded as 16*A + B (exact for k <= 5).
-_CODED = ", ".join(f"16 * A[{j + 1}] + B[{j + 1}] AS c{j}" for j in range(36))
-_WEIGHTS = [256 ** (5 - i) for i in range(6)]
-_COLUMN_VALUES = ", ".join(
-    "abs(" + " + ".join(f"w{r} * c{6 * c + r}" for r in range(6)) + ")" for c in range(6)
-)
-_SIGNED_ORDERS = f"""
-orders6(o0, o1, o2, o3, o4, o5) AS (VALUES {_ORDERS}),
-signs6(s1, s2, s3, s4, s5) AS (VALUES {", ".join(str(s) for s in product((1, -1), repeat=5))}),
-weights AS (
-  SELECT {", ".join(f"(1::BIGINT << (40 - 8 * o{r})){'' if r == 0 else f' * s{r}'} AS w{r}" for r in range(6))}
-  FROM orders6 CROSS JOIN signs6)
+
+
+def classes(source: str, out: str) -> str:
+    """CTE ``out``: id columns k, A, B of the distinct matrices of a source plus their class key.
+
+    A column is one integer over base 1024 with entries coded as 32*A + B (exact for
+    k <= 7). Candidates are all row orders that keep the rows sorted by their multiset
+    of absolute entries, times all row signs; the least sorted list of absolute column
+    values is the key.
+    """
+    code = "list_transform(range(36), lambda j: 32 * A[j + 1] + B[j + 1])"
+    row = "list_sort(list_transform(range(6), lambda c: abs(coded[6 * c + r + 1])))"
+    ascending = " AND ".join(f"L[o{i} + 1] <= L[o{i + 1} + 1]" for i in range(5))
+    value = "abs(" + " + ".join(
+        f"coded[6 * c + o{p} + 1] * {'' if p == 0 else f's{p} * '}{1024 ** (5 - p)}" for p in range(6)
+    ) + ")"
+    signs = ", ".join(str(s) for s in product((1, -1), repeat=5))
+    return f"""
+{out}_d AS (SELECT k, A, B, {code} AS coded FROM (SELECT DISTINCT k, A, B FROM {source})),
+{out}_l AS (
+  SELECT row_number() OVER () AS id, *, list_transform(range(6), lambda r: {row}) AS L FROM {out}_d),
+{out}_o(o0, o1, o2, o3, o4, o5) AS (VALUES {_ORDERS}),
+{out}_s(s1, s2, s3, s4, s5) AS (VALUES {signs}),
+{out}_c AS (SELECT id, coded, o0, o1, o2, o3, o4, o5 FROM {out}_l CROSS JOIN {out}_o WHERE {ascending}),
+{out}_k AS (
+  SELECT id, min(list_sort(list_transform(range(6), lambda c: {value}))) AS key
+  FROM {out}_c CROSS JOIN {out}_s GROUP BY id),
+{out} AS (SELECT k, A, B, key FROM {out}_l JOIN {out}_k USING (id))
 """
+
+
 ORACLES["canonical_classes"] = query(
-    CUSTOMERS_P
-    + f""",
-shapes AS (
-  SELECT gates, any_value(k) AS k, any_value(case_num) AS case_num, any_value(A) AS A, any_value(B) AS B
-  FROM cp GROUP BY gates),
-distinct_m AS (SELECT row_number() OVER () AS id, k, A, B FROM (SELECT DISTINCT k, A, B FROM shapes)),
-coded AS (SELECT id, {_CODED} FROM distinct_m),
-{_SIGNED_ORDERS},
-keys AS (
-  SELECT id, min(list_sort([{_COLUMN_VALUES}])) AS key FROM coded CROSS JOIN weights GROUP BY id),
-keyed AS (
-  SELECT o_custkey, cp.k, case_num, key
-  FROM cp JOIN distinct_m d ON cp.k = d.k AND cp.A = d.A AND cp.B = d.B JOIN keys USING (id))
-""",
+    CUSTOMERS_P + ", " + classes("cp", "cc"),
     "SELECT min(o_custkey) AS first_custkey, count(*) AS members, k AS lde, min(case_num) AS low_case,"
-    " max(case_num) AS high_case FROM keyed GROUP BY k, key",
+    " max(case_num) AS high_case FROM cp JOIN cc USING (k, A, B) GROUP BY k, key",
+)
+ORACLES["level_distinct"] = query(
+    ORDERS_P + ", " + classes("op", "oc"),
+    """SELECT lde, case_num, count(*) AS n_classes FROM (
+  SELECT DISTINCT k AS lde, case_num, key FROM op JOIN oc USING (k, A, B)) GROUP BY 1, 2""",
 )
 
-ORACLES["level_expand"] = query(
-    patterned(
+_STEPPED = patterned(
         "stepped",
         CUSTOMER_WORDS
         + """, stepped AS (
@@ -858,11 +867,25 @@ ORACLES["level_expand"] = query(
   FROM customer_words CROSS JOIN (SELECT range AS g FROM range(15)))""",
         "o_custkey, gate",
         "sp",
-    ),
+    )
+ORACLES["level_expand"] = query(
+    _STEPPED,
     f"""SELECT gate, CAST({R1}[gate + 1] AS BIGINT) AS r1, CAST({R2}[gate + 1] AS BIGINT) AS r2,
   k AS lde, case_num, count(*) AS n FROM sp GROUP BY 1, 2, 3, 4, 5""",
 )
 
+# Both levels go through one class CTE, so that their keys compare.
+ORACLES["level_anti_prior"] = query(
+    _STEPPED
+    + ","
+    + fold("customer_words", "o_custkey", "cm")
+    + ", both_levels AS (SELECT k, A, B FROM sp UNION ALL SELECT k, A, B FROM cm), "
+    + classes("both_levels", "bc"),
+    """SELECT lde, case_num, count(*) AS n_classes FROM (
+  SELECT DISTINCT k AS lde, case_num, key FROM sp JOIN bc USING (k, A, B)
+  WHERE (k, key) NOT IN (SELECT (k, key) FROM cm JOIN bc USING (k, A, B))) GROUP BY 1, 2""",
+)
+
 # --- targets, sets, products ------------------------------------------------
 
 _CUSTOMER_TARGETS = """
