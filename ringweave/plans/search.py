@@ -16,9 +16,9 @@ from ringweave.functions.matrices import Lanes, lanes_for
 from ringweave.operators import levels, products, targets as target_ops
 from ringweave.operators.words import with_pattern
 from ringweave.plans.config import EXPAND, PRODUCT, SearchConfig, parse_args
-from ringweave.session import local_session, materialise, prepare
+from ringweave.session import discard, local_session, materialise, prepare
 from ringweave.sources.lines import read_patterns
-from ringweave.sources.sinks import duration_text, write_witnesses
+from ringweave.sources.sinks import duration_text, observed, write_witnesses
 
 
 @dataclass
@@ -39,6 +39,11 @@ class SearchResult:
     reports: list[LevelReport] = field(default_factory=list)
     witnesses: DataFrame | None = None
     open_targets: DataFrame | None = None
+    run: str = ""
+
+    def discard(self, spark: SparkSession) -> None:
+        """Delete the run's tables from the checkpoint folder; its DataFrames end with them."""
+        discard(spark, self.run)
 
 
 def root_level(spark: SparkSession, circuit: str, lanes: Lanes) -> DataFrame:
@@ -75,31 +80,38 @@ def search(
         current, lanes = roots, lanes_for(config.target + 7)
     run = f"search-{uuid.uuid4().hex}"
     current = materialise(current, f"{run}/level=0")
-    result = SearchResult({0: current})
+    result = SearchResult({0: current}, run=run)
 
-    open_targets = None
+    open_targets, n_open = None, 0
     if targets is not None:
         open_targets = materialise(
             target_ops.build_targets(targets, config.match), f"{run}/targets=0"
         )
+        n_open = open_targets.count()
     found: list[DataFrame] = []
 
     def record(rows: DataFrame, t: int) -> None:
-        nonlocal open_targets
+        nonlocal open_targets, n_open
         if open_targets is None:
             return
+        if n_open == 0:
+            if config.out_path:
+                nothing = spark.createDataFrame([], "circuit string")
+                write_witnesses(nothing, config.out_path, t)
+            return
         hits = target_ops.matching(rows, open_targets, config.match)
         level_found = materialise(target_ops.witnesses(hits, t), f"{run}/found={t}")
         open_targets = target_ops.delete_matched(open_targets, level_found, config.match)
+        # One row per deleted target, counted from the file footers.
+        n_open -= level_found.count()
         found.append(level_found)
         if config.out_path:
             write_witnesses(level_found, config.out_path, t)
 
     def report(t: int, started: float, new_classes: int | None) -> bool:
-        remaining = 0 if open_targets is None else open_targets.count()
         elapsed = int((time.time() - started) * 1000)
-        result.reports.append(LevelReport(t, new_classes, remaining, elapsed))
-        return config.stop_when_done and open_targets is not None and remaining == 0
+        result.reports.append(LevelReport(t, new_classes, n_open, elapsed))
+        return config.stop_when_done and targets is not None and n_open == 0
 
     generators: dict[int, DataFrame] = {}
     expanded = config.target if config.beyond == EXPAND else config.stored
@@ -111,16 +123,16 @@ def search(
     for t in range(1, expanded + 1):
         started = time.time()
         seen = [d for d in (prior, None if single_root else current) if d is not None]
-        level = materialise(
-            with_pattern(levels.next_level(current, *seen, lanes=lanes), lanes),
-            f"{run}/level={t}",
+        fresh, seen_rows = observed(
+            with_pattern(levels.next_level(current, *seen, lanes=lanes), lanes), f"level {t}"
         )
+        level = materialise(fresh, f"{run}/level={t}")
         record(level, t)
         if config.beyond == PRODUCT and t <= config.generating_sets:
             generators[t - 1] = levels.coset_generators(level, lanes, config.legacy_suffix)
         prior, current = current, level
         result.levels[t] = level
-        done = report(t, started, level.count())
+        done = report(t, started, seen_rows.get["rows"])
         if done:
             break
 

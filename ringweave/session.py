@@ -52,16 +52,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+    )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before searching")
-    fallback = os.path.join(tempfile.gettempdir(), f"ringweave-{spark.sparkContext.applicationId}")
+    fallback = os.path.join(tempfile.gettempdir(), f"ringweave-{context.applicationId}")
     os.makedirs(fallback, exist_ok=True)
     return fallback
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete what ``materialise`` wrote under a name prefix folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table under the checkpoint folder and read it back.
 

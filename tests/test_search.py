@@ -124,3 +124,28 @@ def test_command_line():
     c = parse_args(["-t", "6", "-s", "4", "-f", "p.txt", "-r", "0 1", "-c", "-n", "max"])
     assert (c.target, c.stored, c.pattern_path, c.root, c.record_beyond) == (6, 4, "p.txt", "0 1", False)
     assert parse_args([]).target == 8 and parse_args([]).beyond == EXPAND
+
+
+def test_several_roots_against_enumeration(spark):
+    """Two roots of different parity against all words of up to two more gates."""
+    from ringweave.operators import levels
+
+    roots = [[0], [0, 9]]
+    words = [(0, r) for r in roots]
+    words += [(1, r + [g]) for r in roots for g in range(15)]
+    words += [(2, r + [g, h]) for r in roots for g in range(15) for h in range(15)]
+    rows = with_matrix(spark.createDataFrame(words, "t int, gates array<tinyint>"))
+    first = (
+        levels.with_key(rows)
+        .groupBy("canon_key")
+        .agg(F.min("t").alias("t"))
+        .groupBy("t")
+        .count()
+    )
+    expected = {r.t: r["count"] for r in first.collect()}
+    start = with_matrix(spark.createDataFrame([(r,) for r in roots], "gates array<tinyint>"))
+    result = search(
+        spark, SearchConfig(target=2, stored=2), roots=levels.with_key(start)
+    )
+    assert {t: level.count() for t, level in result.levels.items()} == expected
+    result.discard(spark)
