@@ -166,6 +166,24 @@ def _reduce(m: str, lanes: Lanes) -> str:
     return _let("rw_v", valuation, body)
 
 
+def _reduce_after_gate(m: str, lanes: Lanes) -> str:
+    """``_reduce`` for a reduced matrix times one gate, given over the next exponent.
+
+    A gate changes the least exponent by at most one, so at most two factors come
+    out, and parities alone tell how many.
+    """
+    words = range(lanes.size)
+    odd = lambda p: (
+        "(" + " | ".join(f"({_at(f'{m}.{p}', i)} + {lanes.bias}L)" for i in words)
+        + f") & {lanes.spread(1)}L <> 0L"
+    )
+    plain = lambda p: [_at(f"{m}.{p}", i) for i in words]
+    halved = lambda p: [f"shiftright({_at(f'{m}.{p}', i)}, 1)" for i in words]
+    once = _struct(plain("b"), halved("a"), f"{m}.k - 1")
+    twice = _struct(halved("a"), halved("b"), f"{m}.k - 2")
+    return f"CASE WHEN {odd('a')} THEN {m} WHEN {odd('b')} THEN {once} ELSE {twice} END"
+
+
 def _digit(words: str, row: int, col: int, lanes: Lanes) -> str:
     w, lane = divmod(col, lanes.columns)
     biased = f"{_at(words, row * lanes.words + w)} + {lanes.bias}L"
@@ -198,10 +216,10 @@ def zero(lanes: Lanes = NARROW) -> Column:
 
 
 def apply_gate(m: str, gate: str, lanes: Lanes = NARROW) -> Column:
-    """Left-multiply by one gate; reduced when m is."""
+    """Left-multiply a reduced matrix by one gate; the result is reduced again."""
     k = _require(f"{m}.k < {lanes.max_k}", f"{m}.k + 1", "matrix exponent too large for its lanes")
     known = _require(f"{gate} BETWEEN 0 AND 14", gate, "gate number outside 0..14")
-    return F.expr(_let("rw_m", _mix_rows(m, known, k, lanes), _reduce("rw_m", lanes)))
+    return F.expr(_let("rw_m", _mix_rows(m, known, k, lanes), _reduce_after_gate("rw_m", lanes)))
 
 
 def apply_word(gates: str, start: str | None = None, lanes: Lanes = NARROW) -> Column:
