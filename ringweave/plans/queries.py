@@ -7,6 +7,8 @@ in SQL and computes the same results another way.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ringweave.operators import levels, lines, orbits, products, sets, targets
 from ringweave.operators.words import with_matrix, with_pattern
 from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
-from ringweave.session import prepare
+from ringweave.session import materialise, prepare
 from ringweave.sources.lines import csv_pattern_lines, pattern_lines
 from ringweave.sources.tables import customer_words, order_words, table, user_month_words
 
@@ -688,7 +690,9 @@ def level_anti_prior(spark, sf):
     """Classes one gate away from a customer class that no customer has."""
     prepare(spark)
     words = customer_words(spark, sf).select("gates").distinct()
-    current = levels.one_per_class(levels.with_key(with_matrix(words)))
+    classes = levels.one_per_class(levels.with_key(with_matrix(words)))
+    # Used twice, and too costly to key twice.
+    current = materialise(classes, f"customer-classes-{uuid.uuid4().hex}")
     fresh = with_pattern(levels.next_level(current, current))
     return fresh.groupBy("lde", "case_num").agg(F.count(F.lit(1)).alias("n")).select(
         *_long(lde=F.col("lde"), case_num=F.col("case_num"), n_classes=F.col("n"))

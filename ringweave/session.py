@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,28 @@ def local_session(cpus: int | str = 8, memory: str = "16g") -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers (once per application)."""
+    """Make this package importable in Python workers (once per application).
+
+    The package goes as one zip file into the checkpoint folder, which every node
+    reaches, and from there to the workers.
+    """
     context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        base = Path(tempfile.mkdtemp(prefix="ringweave-"))
-        package = Path(__file__).resolve().parent
-        archive = shutil.make_archive(
-            str(base / "ringweave"), "zip", root_dir=package.parent, base_dir=package.name
-        )
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+    if context.applicationId in _shipped:
+        return spark
+    package = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_dir(spark)}/ringweave-{context.applicationId}.zip"
+    )
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path, True)
+    out.write(content.getvalue())
+    out.close()
+    context.addPyFile(files.makeQualified(path).toString())
+    _shipped.add(context.applicationId)
     return spark
 
 
@@ -61,7 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before searching")
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for level tables")
     fallback = os.path.join(tempfile.gettempdir(), f"ringweave-{context.applicationId}")
     os.makedirs(fallback, exist_ok=True)
     return fallback
