@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import mixing, packing, topk
+from ringweave.llm import langid, mixing, packing, simhash, topk, toxicity
+from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
 
@@ -18,6 +19,30 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _remainder(by: int):
+    """crc32 of the document id as text, modulo ``by``; an id that is null counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
+
+
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's toxicity, learned without the held-out fifth."""
+    docs = table(prepare(spark), sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
+    return toxicity.score(docs, toxicity.train(docs, labels)).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's SimHash and the least document its links reach."""
+    fps = stage(simhash.fingerprints(table(prepare(spark), sf, "documents")), "fingerprints")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return simhash.near_duplicates(fps).select("doc_id", digits, "component_id")
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048."""
     return packing.pack_documents(table(prepare(spark), sf, "documents"), _tokenizer())
@@ -30,13 +55,25 @@ def op6_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(rows, asked, 10)
 
 
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's language, learned without the held-out third."""
+    docs = table(prepare(spark), sf, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(_remainder(3) != 1))
+    return langid.predict(docs, model).select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """What a mix of the sources at weights 1, 2, 3, ... takes of every document."""
     return mixing.mix(table(spark, sf, "documents")).drop("before", "shuffle")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_exact_topk": op6_exact_topk,
+    "op7_language_id": op7_language_id,
     "op9_mixing": op9_mixing,
 }
