@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,3 +63,23 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], bucket: Column, val
         .withColumn("before", F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_value", "_local", "_offset")
     )
+
+
+def contiguous(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The groups of rows sorted by their first ``n_keys`` integer columns, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[:, start])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import langid, mixing, packing, simhash, topk, toxicity
+from ringweave.llm import langid, mixing, packing, simhash, topk, toxicity, vectors
 from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
@@ -64,6 +64,11 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's number of near duplicates and their component."""
+    return vectors.near_duplicates(table(prepare(spark), sf, "embeddings"), 0.95)
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """What a mix of the sources at weights 1, 2, 3, ... takes of every document."""
     return mixing.mix(table(spark, sf, "documents")).drop("before", "shuffle")
@@ -75,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_exact_topk": op6_exact_topk,
     "op7_language_id": op7_language_id,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
 }
