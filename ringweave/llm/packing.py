@@ -13,8 +13,11 @@ null doc_id is kept; an empty table gives no pieces; further columns are not rea
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from ringweave.llm.common import prefix_sums, stage
 #: Pieces of one length and bucket that a ranking task sorts, about.
 BUCKET_ROWS = 256
 #: Entries after which the table of encoded chunks is emptied; it bounds a worker's memory.
-CHUNKS = 300_000
+CHUNKS = 600_000
 
 
 class _Chunks(dict):
@@ -54,14 +57,28 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        import public_tokenizers
+        from tiktoken import Encoding
+        from tokenizers import pre_tokenizers
+
+        # A byte-level vocabulary numbers its tokens in the order of their merges, so that
+        # its ids are ranks, and short chunks are merged several times faster by rank.
+        printable = sorted(pre_tokenizers.ByteLevel.alphabet(), key=ord)
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in visible]
+        byte = dict(zip(printable, visible + hidden, strict=True))
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if byte.keys() >= set(t)}
+        special = "<|endoftext|>"
+        ranks = {t: i for t, i in ranks.items() if t != special.encode()}
+        self.encode = Encoding(
+            "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
         self.chunks = _Chunks(self.ids)
 
     def ids(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encode(chunk)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -84,6 +101,12 @@ class ChunkEncoder:
         yield " ".join(held)
 
 
+@cache
+def encoder(path: str) -> ChunkEncoder:
+    """One per worker process, so that its chunks serve all of the worker's tasks."""
+    return ChunkEncoder(path)
+
+
 def tokenized_pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -98,7 +121,7 @@ def tokenized_pieces(
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", ids binary" * keep_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(5 + keep_ids)]
