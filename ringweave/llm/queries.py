@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import langid, mixing, packing, simhash, topk, toxicity, vectors
+from ringweave.llm import langid, mixing, packing, simhash, suffixes, topk, toxicity, vectors
 from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
@@ -74,6 +74,12 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).drop("before", "shuffle")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without byte strings of 200 that start elsewhere too."""
+    docs = table(prepare(spark), sf, "documents").select("doc_id", "text")
+    return suffixes.cut(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
