@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import langid, mixing, packing, simhash, suffixes, topk, toxicity, vectors
+from ringweave.llm import langid, mixing, packing, simhash, substrings, suffixes, topk, toxicity, vectors
 from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
@@ -43,6 +43,12 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(fps).select("doc_id", digits, "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without 50-word windows that a smaller document has."""
+    docs = table(prepare(spark), sf, "documents").select("doc_id", "text")
+    return substrings.cut(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048."""
     return packing.pack_documents(table(prepare(spark), sf, "documents"), _tokenizer())
@@ -83,6 +89,7 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op6_exact_topk": op6_exact_topk,
     "op7_language_id": op7_language_id,
