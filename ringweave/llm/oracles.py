@@ -1,5 +1,44 @@
 """DuckDB twins of the queries that SQL can express."""
 
+OP3 = """
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS phrase
+  FROM words, LATERAL (SELECT unnest(range(len(w) - 49)) AS i) WHERE len(w) >= 50
+), firsts AS (
+  SELECT phrase, min(doc_id) AS least FROM windows GROUP BY phrase
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i + 1, i + 51)) AS at
+  FROM windows JOIN firsts USING (phrase) WHERE least < doc_id
+), kept AS (
+  SELECT p.doc_id, count(g.at) AS n_removed,
+    coalesce(string_agg(p.word, ' ' ORDER BY p.at) FILTER (g.at IS NULL), '') AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM words) p
+  LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+OP4 = """
+WITH records AS (
+  SELECT page_id, 'pages-' || floor(page_id / 1000)::BIGINT AS file,
+    strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, ''))) + 4 + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM records
+)
+SELECT file, page_id, CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'resized' END AS kind,
+  "offset", length::BIGINT AS length
+FROM placed WHERE page_id % 211 = 5 OR page_id % 97 = 13 OR page_id % 131 = 7
+"""
+
 OP6 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
@@ -49,4 +88,4 @@ SELECT doc_id, size, source_size, target,
 FROM queued
 """
 
-ORACLES = {"op6_exact_topk": OP6, "op9_mixing": OP9}
+ORACLES = {"op3_substring_dedup": OP3, "op4_warc_fixity": OP4, "op6_exact_topk": OP6, "op9_mixing": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import langid, mixing, packing, simhash, substrings, suffixes, topk, toxicity, vectors
+from ringweave.llm import langid, mixing, packing, simhash, substrings, suffixes, topk, toxicity, vectors, warc
 from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
@@ -49,6 +49,31 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.cut(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: Page ids of one archive file.
+FILE_PAGES = 1000
+
+
+def replicas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The pages as WARC records, and a replica of them with a few records damaged by rule."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    file = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / FILE_PAGES).cast("string")).alias("file")
+    content = warc.response_record(F.col("page_id"), F.col("url"), F.col("html"))
+    records = pages.select(file, F.col("page_id").alias("record_id"), content.alias("content"))
+    rotten = F.concat(F.lit("X"), F.expr("substring(content, 2)"))
+    short = F.expr("substring(content, 1, char_length(content) - 10)")
+    damaged = (
+        F.when(F.col("record_id") % 97 == 13, rotten).when(F.col("record_id") % 131 == 7, short).otherwise(F.col("content"))
+    )
+    kept = F.coalesce(F.col("record_id") % 211 != 5, F.lit(True))
+    return records, records.where(kept).withColumn("content", damaged)
+
+
+def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a damaged replica of the page archive differs from the archive."""
+    found = warc.audit(*replicas(prepare(spark), sf))
+    return found.select("file", F.col("record_id").alias("page_id"), "kind", "offset", "length")
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048."""
     return packing.pack_documents(table(prepare(spark), sf, "documents"), _tokenizer())
@@ -90,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc_fixity": op4_warc_fixity,
     "op5_packing": op5_packing,
     "op6_exact_topk": op6_exact_topk,
     "op7_language_id": op7_language_id,
