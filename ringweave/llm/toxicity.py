@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct hashes of its words, pairs of neighbours and pairs
-with one word between. Training runs in shards of a bounded sample of labelled texts;
-each coordinate has its own learning rate, and L1 keeps only the weights that matter, so
-that what is averaged over the shards and shipped to every scoring task is small: at most
-``2 ** BITS`` numbers, whatever the corpus.
+with one word between. Training takes a bounded sample of labelled texts; each coordinate
+has its own learning rate, and L1 keeps only the weights that matter, so that what is
+shipped to every scoring task is a few hundred numbers, ``2 ** BITS`` at most whatever the
+corpus. A part of the sample that training does not see calibrates the score.
 
 Defined cases: null and empty texts have no feature and score by the bias alone; labels
 that are null, or of documents that are not in the table, teach nothing; a document with
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 BITS = 20
 #: Labelled documents that training uses at most, chosen by hash of their id.
 MAX_TRAIN = 20_000
-#: Documents of a training shard, about, and the most shards.
-SHARD_DOCS, MAX_SHARDS = 5000, 4
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 #: Words whose hashes a worker keeps.
@@ -61,7 +60,7 @@ def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0)))
 
 
-def train_shard(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def train_rows(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, weights) that are not zero after ``EPOCHS`` passes of FTRL-proximal."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
 
@@ -81,50 +80,100 @@ def train_shard(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[n
     return every[w != 0], w[w != 0]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from (doc_id, text) and (doc_id, toxic). The sample of labels is broadcast to
-    the documents; it has ``max_train`` rows at most."""
+def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through held-back margins, by Newton steps; a
+    unit prior keeps them near (1, 0) where there are few labels."""
+    x = np.array([margins, np.ones(len(margins))])
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(at @ x, -30, 30)))
+        gradient = x @ (p - labels) + (at - [1.0, 0.0])
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.eye(2), gradient)
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(at[0]), 1e-3), float(at[1])
+
+
+class Model(NamedTuple):
+    at: np.ndarray  # numbers of the features kept
+    weights: np.ndarray
+    slope: float
+    shift: float
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """A model from (doc_id, text) and (doc_id, toxic).
+
+    The sample of labels, ``max_train`` rows at most, is broadcast to the documents, whose
+    features are made where they lie. One task learns from four fifths of the sample, so
+    the bound also bounds its memory; the rest calibrates the score.
+    """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()
     if not sample:
-        return np.zeros(0, np.int64), np.zeros(0)
-    shards = min(MAX_SHARDS, max(1, len(sample) // SHARD_DOCS))
+        return Model(np.zeros(0, np.int64), np.zeros(0), 1.0, 0.0)
     chosen = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in sample], "doc_id bigint, toxic int")
-    taught = docs.join(F.broadcast(chosen), "doc_id").select(
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "toxic"
-    )
+    taught = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    held_back = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0
 
-    def shard(rows: pa.Table) -> pa.Table:
-        ordered = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        order = np.random.default_rng(7).permutation(ordered.num_rows)
-        texts, toxic = ordered["text"], ordered["toxic"]
-        at, w = train_shard([(features(texts[int(i)].as_py()), toxic[int(i)].as_py()) for i in order])
-        return pa.Table.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
-
-    learned = (
-        taught.groupBy("shard")
-        .applyInArrow(shard, "at bigint, w double")
-        .groupBy("at")
-        .agg(F.avg("w").alias("w"))  # over the shards that kept the feature
-        .collect()
-    )
-    learned.sort(key=lambda r: r["at"])
-    return np.array([r["at"] for r in learned], np.int64), np.array([r["w"] for r in learned], float)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "found"]
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+        rows.sort()
+        order = np.random.default_rng(7).permutation(len(rows))
+        at, w = train_rows([(np.frombuffer(rows[i][2], "<i4"), rows[i][1]) for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
+
+    described = taught.where(~held_back).mapInArrow(describe, "doc_id bigint, toxic int, found binary")
+    learned = described.repartition(1).mapInArrow(learn, "at bigint, w double").collect()
+    raw = Model(np.array([r["at"] for r in learned], np.int64), np.array([r["w"] for r in learned], float), 1.0, 0.0)
+    checked = margins(taught.where(held_back), raw, "toxic").collect()
+    seen = np.array([[r["margin"], r["toxic"]] for r in checked], float).reshape(-1, 2)
+    slope, shift = calibrate(seen[:, 0], np.minimum(seen[:, 1], 1.0))
+    return raw._replace(slope=slope, shift=shift)
 
 
 class Scorer:
-    def __init__(self, model: tuple[np.ndarray, np.ndarray], bits: int = BITS):
+    def __init__(self, model: Model, bits: int = BITS):
         self.dense = np.zeros(1 << bits, np.float32)
-        self.dense[model[0]] = model[1]
-        self.empty = not len(model[0])
+        self.dense[model.at] = model.weights
+        self.model = model
+
+    def margin(self, text: str | None) -> float:
+        return float(self.dense[features(text)].sum(dtype=np.float64))
 
     def __call__(self, text: str | None) -> float:
-        return 0.0 if self.empty else float(_sigmoid(float(self.dense[features(text)].sum(dtype=np.float64))))
+        if not len(self.model.at):
+            return 0.0
+        return float(_sigmoid(self.model.slope * self.margin(text) + self.model.shift))
+
+
+def margins(docs: DataFrame, model: Model, label_col: str) -> DataFrame:
+    """(margin, label) of (text, label) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = [scorer.margin(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["margin", label_col])
+
+    return docs.select("text", F.col(label_col).cast("int").alias(label_col)).mapInArrow(
+        run, f"margin double, {label_col} int"
+    )
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) per row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +185,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], below: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all their columns, whose ``text`` scores below ``below``."""
     at = docs.columns.index("text")
 
