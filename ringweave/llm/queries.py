@@ -13,7 +13,7 @@ from ringweave.session import prepare
 from ringweave.sources.tables import table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -76,7 +76,7 @@ def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048."""
-    return packing.pack_documents(table(prepare(spark), sf, "documents"), _tokenizer())
+    return packing.pack_documents(table(prepare(spark), sf, "documents"), tokenizer_path())
 
 
 def op6_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
