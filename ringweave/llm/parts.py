@@ -21,15 +21,20 @@ from ringweave.llm.common import partitions
 from ringweave.session import checkpoint_dir
 
 
+#: Rows of a part at most: what one task holds at a time.
+PART_ROWS = 2048
+
+
 def parted(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_part``, the task that read a row, and ``_at``, its place.
+    """``docs`` with the columns ``_part``, rows that one task read, and ``_at``, a row's place.
 
     A bucketed table under the checkpoint folder; no shuffle, one file a task.
     """
     spark = docs.sparkSession
     name = f"parts_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}"
-    rows = docs.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    at = F.monotonically_increasing_id()  # the task above 33 bits of the row's number
+    rows = docs.select("*", F.floor(at / PART_ROWS).alias("_part"), at.alias("_at"))
     writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(partitions(spark), "_part").saveAsTable(name)
     return spark.table(name)
@@ -62,7 +67,7 @@ def _whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordB
     yield from by_range.values()
 
 
-ASKED = "range int, _part int, keys binary, several binary"
+ASKED = "range int, _part bigint, keys binary, several binary"
 
 
 def ask_repeated(part: int, keys: np.ndarray, n: int) -> pa.Table:
@@ -73,7 +78,7 @@ def ask_repeated(part: int, keys: np.ndarray, n: int) -> pa.Table:
     return pa.Table.from_arrays(
         [
             pa.array([i for i, _, _ in spans], pa.int32()),
-            pa.array([part] * len(spans), pa.int32()),
+            pa.array([part] * len(spans), pa.int64()),
             pa.array([unique[a:b].astype("<u8").tobytes() for _, a, b in spans], pa.binary()),
             pa.array([np.packbits(counts[a:b] > 1).tobytes() for _, a, b in spans], pa.binary()),
         ],
@@ -107,7 +112,7 @@ def answer_repeated(asked: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([parts, kinds, pa.array(told, pa.binary())], ["_part", "kind", "keys"])
 
     dealt = asked.repartitionById(n, F.col("range"))
-    return dealt.mapInArrow(judge, "_part int, kind int, keys binary")
+    return dealt.mapInArrow(judge, "_part bigint, kind int, keys binary")
 
 
 def told_keys(told: pa.Table, kind: int) -> np.ndarray:

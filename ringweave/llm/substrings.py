@@ -230,7 +230,7 @@ def _windows(texts: list[bytes | None], ids: np.ndarray, shared: np.ndarray, siz
     return Windows(row, start, number, k[first], c[first], least)
 
 
-ASKED_LEAST = "range int, _part int, keys binary, checks binary, least binary"
+ASKED_LEAST = "range int, _part bigint, keys binary, checks binary, least binary"
 
 
 def _ask_least(part: int, w: Windows, n: int) -> pa.Table:
@@ -238,7 +238,7 @@ def _ask_least(part: int, w: Windows, n: int) -> pa.Table:
     spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
     blobs = [[x[a:b].tobytes() for _, a, b in spans] for x in (w.key, w.check, w.least)]
     return pa.Table.from_arrays(
-        [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([part] * len(spans), pa.int32())]
+        [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([part] * len(spans), pa.int64())]
         + [pa.array(b, pa.binary()) for b in blobs],
         ["range", "_part", "keys", "checks", "least"],
     )
@@ -314,7 +314,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     def verify(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows or not told.num_rows:
             return pa.Table.from_arrays(
-                [pa.array([], pa.int32())] * 2 + [pa.array([], pa.binary())] * 3,
+                [pa.array([], pa.int32()), pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 3,
                 ["range", "_part", "keys", "checks", "least"],
             )
         w = _windows(texts(rows), ids(rows), told_keys(told, 1), size)
@@ -322,7 +322,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
 
     asked = per_part(narrow, verify, ASKED_LEAST, shared)
     least = stage(
-        asked.repartitionById(n, F.col("range")).mapInArrow(_answer_least, "_part int, kind int, keys binary"), "least"
+        asked.repartitionById(n, F.col("range")).mapInArrow(_answer_least, "_part bigint, kind int, keys binary"), "least"
     )
     columns = docs.columns
     text_at = columns.index(text_col)

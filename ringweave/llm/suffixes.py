@@ -358,7 +358,7 @@ def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes]
             values = (int(part[i]), None, digest, int(whole.row[i]), int(whole.at[i]) - o)
             for column, value in zip(rows, values, strict=False):
                 column.append(value)
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], ["_part", "spans", "window", "row", "start"]
         )
@@ -420,11 +420,11 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
         kinds = [0] * len(blobs) + [1] * bool(spans.size) + [2] * len(sample)
         values = blobs + [_spans(*spans)] * bool(spans.size) + sample
         return pa.Table.from_arrays(
-            [pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())],
+            [pa.array([part] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())],
             ["_part", "kind", "value"],
         )
 
-    made = stage(per_part(narrow, runs, "_part int, kind int, value binary", told), "runs")
+    made = stage(per_part(narrow, runs, "_part bigint, kind int, value binary", told), "runs")
     # A fixed number of sampled suffixes per part, thinned to a bound that follows the number of ranges.
     some = made.where("kind = 2").orderBy(F.xxhash64("value")).limit(SAMPLES * n * 10).select("value").collect()
     sample = sorted(bytes(r["value"]) for r in some)
@@ -442,7 +442,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
                     if b > a:
                         for column, value in zip(out, (number, part, encode(run, a, b)), strict=True):
                             column.append(value)
-            kinds = [pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "_part", "run"]
             )
@@ -450,13 +450,13 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
     dealt = (
         made.where("kind = 0")
         .select("_part", "value")
-        .mapInArrow(slices, "range int, _part int, run binary")
+        .mapInArrow(slices, "range int, _part bigint, run binary")
         .repartitionById(n, F.col("range"))
     )
     found = stage(
         dealt.mapInArrow(
             lambda batches: _merged(batches, size, splitters),
-            "_part int, spans binary, window binary, row bigint, start bigint",
+            "_part bigint, spans binary, window binary, row bigint, start bigint",
         ),
         "spans",
     )
