@@ -47,7 +47,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], bucket: Column, val
 
     Rows are ordered by (bucket, order). Sums per bucket are made map side, added up over
     the small table of buckets, and joined back, so that a window holds one bucket of a
-    group and never a whole group. ``group`` must not be null.
+    group and never a whole group. Neither ``group`` nor ``bucket`` may be null.
     """
     keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

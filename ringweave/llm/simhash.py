@@ -83,6 +83,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _grouped_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """Equal parts of the 64 bits; each starts with the bit that goes most with the rest."""
+    if not len(sample):
+        sample = np.zeros(1, np.uint64)
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
     bits -= bits.mean(axis=0)
     bits /= np.maximum(bits.std(axis=0), 1e-9)
@@ -151,11 +153,17 @@ def _entries(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """(part, value, fp, own): each fingerprint under its values and, not own, their variants."""
 
     def entry(part: int, bits: list[int], flip: int) -> Column:
-        value = F.col("fp").bitwiseAND(F.lit(_signed(_mask(bits)))).bitwiseXOR(F.lit(_signed(flip)))
-        return F.struct(F.lit(part).alias("part"), value.alias("value"), F.lit(flip == 0).alias("own"))
-
-    all_entries = [entry(i, b, f) for i, (b, t) in enumerate(plan) for f in [0, *_flips(b, t)]]
-    return fps.select("fp", F.explode(F.array(*all_entries)).alias("e")).select("e.part", "e.value", "fp", "e.own")
+        return F.struct(
+            F.lit(part).alias("part"),
+            F.lit(_signed(_mask(bits))).cast("bigint").alias("mask"),
+            F.lit(_signed(flip)).cast("bigint").alias("flip"),
+        )
+
+    all_entries = F.array(*(entry(i, b, f) for i, (b, t) in enumerate(plan) for f in [0, *_flips(b, t)]))
+    value = F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip"))
+    return fps.select("fp", F.explode(all_entries).alias("e")).select(
+        "e.part", value.alias("value"), "fp", (F.col("e.flip") == 0).alias("own")
+    )
 
 
 def _verify(most: int):
@@ -180,7 +188,7 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     ``most`` (0 to 2) bits, directly or over others in the table."""
     if not 0 <= most <= 2:
         raise ValueError("at most two differing bits")
-    n = fps.count()
+    n = max(1, fps.count())
     some = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(1, n // SAMPLE))) == 0)
     sample = np.array([r.fp for r in some.collect()], np.int64).view(np.uint64)
     entries = _entries(fps, split(sample, n, most))

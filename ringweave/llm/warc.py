@@ -57,7 +57,7 @@ def leaves(records: DataFrame) -> DataFrame:
 
 def manifest(records: DataFrame) -> DataFrame:
     """Staged leaves of the reference replica, with ``seq`` and ``offset`` in their file."""
-    bucket = F.floor(F.col("record_id") / BUCKET_IDS)
+    bucket = F.coalesce(F.floor(F.col("record_id") / BUCKET_IDS), F.lit(-(1 << 62)))
     order = ["record_id", "copy"]
     numbered = prefix_sums(stage(leaves(records), "leaves"), "file", order, bucket, F.lit(1).cast("bigint"))
     numbered = numbered.withColumnRenamed("before", "seq")
