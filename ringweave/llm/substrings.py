@@ -15,7 +15,7 @@ verified by a 96-bit hash of their words, for which the least document id is loo
 Defined cases: null text has no words; texts with fewer words than a window lose nothing;
 a null doc_id counts as larger than all others; repeated rows with one doc_id do not
 remove each other's words; an empty table gives no rows; further columns are passed
-through by ``cut`` whatever their names, but ``_part``, ``_at`` and the names it adds.
+through by ``cut``; those named ``_part``, ``_at`` or like what it adds are replaced.
 """
 
 from __future__ import annotations
@@ -289,6 +289,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     words kept are joined by one space in ``text_col``; n_words, n_removed and kept_sha256
     are added."""
     n = partitions(docs.sparkSession)
+    docs = docs.drop("_part", "_at", "n_words", "n_removed", "kept_sha256")
     parts = parted(docs)
     narrow = parts.select("_part", "_at", id_col, text_col)
 

@@ -20,7 +20,7 @@ as the window reaches, and were not found equal within their range, are compared
 Defined cases: null text is empty; texts shorter than a window lose nothing; texts of any
 length are worked through in overlapping pieces; repeated rows and ids are separate
 documents and repeat each other; an empty table gives no rows; further columns are passed
-through by ``cut`` whatever their names, but ``_part``, ``_at`` and the names it adds.
+through by ``cut``; those named ``_part``, ``_at`` or like what it adds are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +44,7 @@ from ringweave.llm.parts import (
     parted,
     per_part,
     sliding_min,
+    split_keys,
     told_keys,
 )
 
@@ -157,7 +157,7 @@ class Run(NamedTuple):
 
 def encode(run: Run, start: int, end: int) -> bytes:
     """Front-coded slice of a run; its first suffix is whole."""
-    common = [0, *run.common[start + 1 : end]]
+    common = [0, *run.common[start + 1 : end]][: end - start]
     suffix, before = run.suffix[start:end], run.before[start:end]
     parts = [
         np.array([end - start], "<u4").tobytes(),
@@ -312,7 +312,7 @@ def _repeats(run: Run, size: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
     return equal, left_open & ~equal
 
 
-def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
     """Merges the runs of each range; returns spans per part and open windows."""
     by_range: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
@@ -346,24 +346,46 @@ def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes]
         most = equal.shape[1] - 1
         start = whole.at[item] - (most - first)
         end = whole.at[item] - (most - last + 1) + size
-        rows: list[list] = [[], [], [], [], [], [], []]
+        rows: list[tuple] = []
         for p in np.unique(part[item]).tolist():
             mine = part[item] == p
-            blob = _spans(whole.row[item[mine]], start[mine], end[mine])
-            for column, value in zip(rows, (p, blob, None, None, None, None), strict=False):
-                column.append(value)
-        for i, o in zip(*(x.tolist() for x in np.nonzero(left_open)), strict=True):
-            window = whole.before[i][:o][::-1] + whole.suffix[i][: size - o]
-            digest = hashlib.blake2b(window, digest_size=16).digest()
-            values = (int(part[i]), None, digest, int(whole.row[i]), int(whole.at[i]) - o)
-            for column, value in zip(rows, values, strict=False):
-                column.append(value)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            rows.append((p, _spans(whole.row[item[mine]], start[mine], end[mine]), None, None))
+        item, offset = np.nonzero(left_open)
+        digests = b"".join(
+            hashlib.blake2b(whole.before[i][:o][::-1] + whole.suffix[i][: size - o], digest_size=16).digest()
+            for i, o in zip(item.tolist(), offset.tolist(), strict=True)
+        )
+        open_windows = np.empty((len(item), 5), "<i8")
+        open_windows[:, :2] = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        open_windows[:, 2:] = np.array([part[item], whole.row[item], whole.at[item] - offset]).T
+        keys = open_windows[:, 0].view("<u8")
+        open_windows = open_windows[np.argsort(keys)]
+        cuts = split_keys(open_windows[:, 0].view("<u8"), ranges)
+        rows += [
+            (None, None, i, open_windows[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
+        ]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], ["_part", "spans", "window", "row", "start"]
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+            ["_part", "spans", "range", "windows"],
         )
 
 
+def _close(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Spans per part of the open windows that several ranges sent, by equal digests."""
+    blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+    found = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 5)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    same = (found[1:, :2] == found[:-1, :2]).all(axis=1)
+    twice = np.zeros(len(found), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    found = found[twice]
+    parts = np.unique(found[:, 2])
+    spans = [_spans(mine[:, 3], mine[:, 4], mine[:, 4] + size) for mine in (found[found[:, 2] == p] for p in parts)]
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(spans, pa.binary())], ["_part", "spans"])
+
+
 def _covered(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     depth = np.zeros(length + 1, np.int64)
     np.add.at(depth, start, 1)
@@ -379,6 +401,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
         raise ValueError(f"windows need more than {GRAM} bytes")
     spark = docs.sparkSession
     n = partitions(spark)
+    docs = docs.drop("_part", "_at", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     parts = parted(docs)
 
     def texts(rows: pa.Table) -> list[bytes | None]:
@@ -455,21 +478,22 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
     )
     found = stage(
         dealt.mapInArrow(
-            lambda batches: _merged(batches, size, splitters),
-            "_part bigint, spans binary, window binary, row bigint, start bigint",
+            lambda batches: _merged(batches, size, splitters, n),
+            "_part bigint, spans binary, range int, windows binary",
         ),
         "spans",
     )
-    windows = found.where("window is not null")
-    shared = windows.groupBy("window").agg(F.collect_list(F.struct("_part", "row", "start")).alias("all")).where(
-        "size(all) > 1"
+    late = (
+        found.where("windows is not null")
+        .select("range", "windows")
+        .repartitionById(n, F.col("range"))
+        .mapInArrow(lambda batches: _close(batches, size), "_part bigint, spans binary")
     )
-    late = shared.select(F.explode("all").alias("w")).select("w._part", "w.row", "w.start")
     spans = (
         found.where("spans is not null")
-        .select("_part", "spans", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("bigint").alias("start"))
-        .union(made.where("kind = 1").select("_part", "value", F.lit(None), F.lit(None)))
-        .union(late.select("_part", F.lit(None), "row", "start"))
+        .select("_part", "spans")
+        .union(made.where("kind = 1").select("_part", "value"))
+        .union(late)
     )
     columns = docs.columns
     text_at = columns.index(text_col)
@@ -480,11 +504,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
             return pa.Table.from_pylist([], schema=empty)
         held = [np.zeros((3, 0), np.int64)]
         if answers.num_rows:
-            blobs = [b for b in answers["spans"].to_pylist() if b is not None]
-            held += [np.frombuffer(b, "<i8").reshape(3, -1) for b in blobs]
-            lone = answers.filter(pa.compute.is_valid(answers["start"]))
-            row, start = lone["row"].to_numpy(), lone["start"].to_numpy()
-            held.append(np.array([row, start, start + size], np.int64))
+            held += [np.frombuffer(b, "<i8").reshape(3, -1) for b in answers["spans"].to_pylist()]
         row, start, end = np.concatenate(held, axis=1)
         order = np.argsort(row, kind="stable")
         row, start, end = row[order], start[order], end[order]
