@@ -21,7 +21,7 @@ through by ``cut``; those named ``_part``, ``_at`` or like what it adds are repl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructType
-from xxhash import xxh64_intdigest
 
 from ringweave.llm.common import partitions, stage
 from ringweave.llm.parts import (
@@ -50,22 +49,46 @@ from ringweave.llm.parts import (
 ROUNDS = 4
 #: Words of one piece of work; longer texts are worked through in overlapping pieces.
 PIECE = 1 << 17
-#: Words whose hashes a worker keeps.
-KNOWN = 500_000
+#: Bytes that one step of hashing takes, about.
+BLOCK = 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SALTS = np.arange(ROUNDS + 1, dtype=np.uint64) * _B
 _NO_ID = np.iinfo(np.int64).max
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word, 1)
-        return found
-
-
-_hashes = _Hashes()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    up, down = np.full(n, _A, np.uint64), np.full(n, pow(int(_A), -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_UP, _DOWN = _powers(2 * BLOCK)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a text."""
+    raw = np.frombuffer(text, np.uint8)
+    blank = _BLANK[raw]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    starts = np.flatnonzero(first)
+    out, at = [], 0
+    while at < len(starts):
+        # Whole words of about BLOCK bytes, so that the powers needed are bounded but for longer words.
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, low + BLOCK)))
+        high = starts[to] if to < len(starts) else len(raw)
+        n = int(high - low)
+        up, down = (_UP, _DOWN) if n <= len(_UP) else _powers(n)
+        values = (raw[low:high] + np.uint64(1)) * up[:n]
+        values[blank[low:high]] = 0
+        own = starts[at:to] - low
+        out.append(mixed(np.add.reduceat(values, own) * down[own]))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 class Chunk(NamedTuple):
@@ -92,11 +115,8 @@ def chunks(texts: list[bytes | None], size: int) -> Iterator[Chunk]:
         )
 
     for row, text in enumerate(texts):
-        words = (text or b"").split()
-        if len(words) < size:
-            continue
-        hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-        for base in range(0, len(words) - size + 1, PIECE):
+        hashed = word_hashes(text or b"")
+        for base in range(0, len(hashed) - size + 1, PIECE):
             piece = hashed[base : base + PIECE + size - 1]
             if held and total + len(piece) > PIECE + size:
                 yield flush()
@@ -149,35 +169,43 @@ def _range_min(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
+def window_starts(piece: np.ndarray, size: int) -> np.ndarray:
+    start = np.arange(max(0, len(piece) - size + 1))
+    return start[piece[start] == piece[start + size - 1]]
+
+
 def witnesses(words: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, their witnesses' names)."""
-    n = len(words)
-    start = np.arange(max(0, n - size + 1))
-    start = start[piece[start] == piece[start + size - 1]] if len(start) else start
+    start = window_starts(piece, size)
     names = np.zeros(len(start), np.uint64)
     low, high = start, start + size - 1  # the symbols that the window determines
     alive = np.arange(len(start))
     symbols, places = words, piece
     for level in range(ROUNDS + 1):
-        if len(alive):
-            # Every level overrides the one before wherever it still has a symbol.
-            names[alive] = _range_min(mixed(symbols + _SALTS[level]), low, high)
-        if level == ROUNDS or not len(alive):
-            break
-        # The first and last run may be longer than what the window shows of it.
-        shorter, into = _runs(symbols, places)
-        places = places[np.flatnonzero(np.diff(into, prepend=-1))]
-        low, high = into[low] + 1, into[high] - 1
-        some = low <= high
-        low, high, alive = low[some], high[some], alive[some]
-        # A right symbol in front may join what precedes it, a left one at the end what follows.
-        right = _is_right(shorter, level)
-        low, high = low + right[low], high - ~right[high]
-        some = low <= high
-        low, high, alive = low[some], high[some], alive[some]
-        symbols, into = _pairs(shorter, places, level)
-        places = places[np.flatnonzero(np.diff(into, prepend=-1))]
-        low, high = into[low], into[high]
+        own, first, last = alive, low, high
+        keys = symbols
+        if level < ROUNDS:
+            # The first and last run may be longer than what the window shows of it.
+            shorter, into = _runs(symbols, places)
+            places = places[np.flatnonzero(np.diff(into, prepend=-1))]
+            low, high = into[low] + 1, into[high] - 1
+            # A right symbol in front may join what precedes it, a left one at the end what follows.
+            right = _is_right(shorter, level)
+            some = low <= high
+            low, high, alive = low[some], high[some], alive[some]
+            low, high = low + right[low], high - ~right[high]
+            some = low <= high
+            low, high, alive = low[some], high[some], alive[some]
+            symbols, into = _pairs(shorter, places, level)
+            places = places[np.flatnonzero(np.diff(into, prepend=-1))]
+            low, high = into[low], into[high]
+            # A window's witness is of the highest level that leaves it a symbol.
+            ends = np.ones(len(start), bool)
+            ends[alive] = False
+            stays = ends[own]
+            own, first, last = own[stays], first[stays], last[stays]
+        if len(own):
+            names[own] = _range_min(mixed(keys + _SALTS[level]), first, last)
     return start, names
 
 
@@ -207,11 +235,33 @@ class Windows(NamedTuple):
     least: np.ndarray
 
 
-def _windows(texts: list[bytes | None], ids: np.ndarray, shared: np.ndarray, size: int) -> Windows:
+def _shared(shared: np.ndarray, size: int) -> Callable[[Chunk], np.ndarray]:
+    """Which windows of a chunk have a shared witness?"""
+    return lambda c: among(witnesses(c.words, c.piece, size)[1], shared)
+
+
+def _as_noted(bits: np.ndarray, size: int) -> Callable[[Chunk], np.ndarray]:
+    """The same, from the answers of an earlier pass put end to end."""
+    at = 0
+
+    def pick(c: Chunk) -> np.ndarray:
+        nonlocal at
+        n = len(window_starts(c.piece, size))
+        at += n
+        return bits[at - n : at]
+
+    return pick
+
+
+def _windows(
+    texts: list[bytes | None], ids: np.ndarray, pick: Callable[[Chunk], np.ndarray], size: int
+) -> tuple[Windows, np.ndarray]:
+    """The windows of a part that ``pick`` takes, and its answers."""
     rows, starts, keys, checks = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.uint64, np.uint32))
-    for c in chunks(texts, size) if len(shared) else ():
-        start, names = witnesses(c.words, c.piece, size)
-        start = start[among(names, shared)]
+    picked = [np.zeros(0, bool)]
+    for c in chunks(texts, size):
+        picked.append(pick(c))
+        start = window_starts(c.piece, size)[picked[-1]]
         key, check = window_hashes(c.words, start, size)
         piece = c.piece[start]
         rows.append(c.row[piece])
@@ -227,18 +277,20 @@ def _windows(texts: list[bytes | None], ids: np.ndarray, shared: np.ndarray, siz
     number[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(ids[row[order]], first) if len(first) else np.zeros(0, np.int64)
-    return Windows(row, start, number, k[first], c[first], least)
+    return Windows(row, start, number, k[first], c[first], least), np.concatenate(picked)
 
 
 ASKED_LEAST = "range int, _part bigint, keys binary, checks binary, least binary"
 
 
-def _ask_least(part: int, w: Windows, n: int) -> pa.Table:
+def _ask_least(part: int, w: Windows, picked: np.ndarray, n: int) -> pa.Table:
+    """Questions of a part, and a note to itself of the windows they are about."""
     cuts = split_keys(w.key, n)
     spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
     blobs = [[x[a:b].tobytes() for _, a, b in spans] for x in (w.key, w.check, w.least)]
+    blobs = [blobs[0] + [np.packbits(picked).tobytes()], blobs[1] + [None], blobs[2] + [None]]
     return pa.Table.from_arrays(
-        [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([part] * len(spans), pa.int64())]
+        [pa.array([i for i, _, _ in spans] + [part % n], pa.int32()), pa.array([part] * (len(spans) + 1), pa.int64())]
         + [pa.array(b, pa.binary()) for b in blobs],
         ["range", "_part", "keys", "checks", "least"],
     )
@@ -247,7 +299,14 @@ def _ask_least(part: int, w: Windows, n: int) -> pa.Table:
 def _answer_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per part and range: for each of its windows, does a smaller document hold it elsewhere?"""
     for rows in _whole_ranges(batches):
-        table = pa.Table.from_batches(rows)
+        every = pa.Table.from_batches(rows)
+        notes = every.filter(every["least"].is_null())
+        yield pa.RecordBatch.from_arrays(
+            [notes[c].combine_chunks() for c in ("_part", "range", "keys")], ["_part", "kind", "keys"]
+        ).set_column(1, "kind", pa.array([0] * notes.num_rows, pa.int32()))
+        table = every.filter(every["least"].is_valid())
+        if not table.num_rows:
+            continue
         keys, checks, least = (
             np.concatenate([np.frombuffer(b, kind) for b in table[c].to_pylist()])
             for c, kind in (("keys", "<u8"), ("checks", "<u4"), ("least", "<i8"))
@@ -318,8 +377,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
                 [pa.array([], pa.int32()), pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 3,
                 ["range", "_part", "keys", "checks", "least"],
             )
-        w = _windows(texts(rows), ids(rows), told_keys(told, 1), size)
-        return _ask_least(rows["_part"][0].as_py(), w, n)
+        w, picked = _windows(texts(rows), ids(rows), _shared(told_keys(told, 1), size), size)
+        return _ask_least(rows["_part"][0].as_py(), w, picked, n)
 
     asked = per_part(narrow, verify, ASKED_LEAST, shared)
     least = stage(
@@ -335,13 +394,13 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
         if not rows.num_rows:
             return pa.Table.from_pylist([], schema=empty)
         own, own_ids = texts(rows), ids(rows)
-        shared_names = told_keys(told, 1) if told.num_rows else np.zeros(0, np.uint64)
-        w = _windows(own, own_ids, shared_names, size)
+        row = start = np.zeros(0, np.int64)
         if told.num_rows:
+            note = next(v for k, v in zip(told["kind"].to_pylist(), told["keys"].to_pylist(), strict=True) if k == 0)
+            bits = np.unpackbits(np.frombuffer(note, "u1")).astype(bool)
+            w, _ = _windows(own, own_ids, _as_noted(bits, size), size)
             gone = _smaller(told, w, n)[w.number] | (w.least[w.number] < own_ids[w.row])
-        else:
-            gone = np.zeros(0, bool)
-        row, start = w.row[gone], w.start[gone]
+            row, start = w.row[gone], w.start[gone]
         order = np.argsort(row, kind="stable")
         row, start = row[order], start[order]
         edges = np.searchsorted(row, np.arange(rows.num_rows + 1))
@@ -365,4 +424,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
             out = out.append_column(name, pa.array([f[k] for f in facts], kind))
         return out
 
-    return per_part(parts, finish, schema, shared.union(least))
+    return per_part(parts, finish, schema, least)

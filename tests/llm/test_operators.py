@@ -153,6 +153,17 @@ def test_substring_cut_of_runs_and_null_ids(spark):
     assert out[None] == 300 and out[1] == 0
 
 
+def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
+    text = b"  a bb\ta\x0bbb\x0cccc\r\n" + b"x" * 5000 + "é\u00a0é".encode() + b" a"
+    words = text.split()
+    for block in (4, 64, 1 << 17):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        hashed = substrings.word_hashes(text).tolist()
+        assert len(hashed) == len(words)
+        assert len(set(zip(words, hashed, strict=True))) == len(set(words)) == len(set(hashed))
+    assert not len(substrings.word_hashes(b"")) and not len(substrings.word_hashes(b" \n"))
+
+
 def test_equal_windows_have_equal_witnesses():
     rng = random.Random(4)
     words = np.array([rng.randrange(5) for _ in range(3000)] * 2, np.uint64)
