@@ -169,6 +169,8 @@ def canonical_key(m: str, lanes: Lanes = NARROW) -> Column:
     def key(a: pa.Array, b: pa.Array, k: pa.Array) -> pa.Array:
         if len(k) == 0:
             return pa.array([], pa.binary())
+        if k.to_numpy().max() > 60:
+            raise ValueError("canonical keys are exact up to exponent 60 only")
         numerators = (_unpack(_flat(v, lanes.size), lanes) for v in (a, b))
         return pa.array(canonical_bytes(*numerators, k.to_numpy()), pa.binary())
 

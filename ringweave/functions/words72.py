@@ -211,11 +211,11 @@ def parse_pattern_text(text: Column, strict: bool = True) -> Word72:
 
 def csv_to_pattern_text(line: Column, strict: bool = True) -> Column:
     """36 comma-separated values 0..3 to the 72-character form (two digits each)."""
-    pairs = F.transform(
-        F.split(line, ","), lambda v: F.lpad(F.bin(F.trim(v).cast("bigint").bitwiseAND(lit64(3))), 2, "0")
-    )
+    values = F.transform(F.split(line, ","), lambda v: F.trim(v))
+    digit = lambda v: F.coalesce(v.isin("0", "1", "2", "3"), F.lit(False))
+    whole = F.coalesce((F.size(values) == LIMB_BITS) & F.forall(values, digit), F.lit(False))
+    pairs = F.transform(values, lambda v: F.lpad(F.bin(F.try_to_number(v, F.lit("9"))), 2, "0"))
     text = F.array_join(pairs, "")
-    whole = F.length(text) == 2 * LIMB_BITS
     if strict:
-        return require(whole, text, "a CSV pattern line needs exactly 36 values")
+        return require(whole, text, "a CSV pattern line needs exactly 36 values from 0 to 3")
     return F.when(whole, text)

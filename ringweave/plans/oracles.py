@@ -11,6 +11,7 @@ from __future__ import annotations
 from itertools import combinations, permutations, product
 
 FULL = (1 << 36) - 1
+K = 1 << 20  # range of a key before it is multiplied
 PAIRS = list(combinations(range(6), 2))
 R1 = "[" + ", ".join(str(p) for p, _ in PAIRS) + "]"
 R2 = "[" + ", ".join(str(q) for _, q in PAIRS) + "]"
@@ -37,10 +38,10 @@ ring_in AS (
 WORDS = f"""
 words_in AS (
   SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-         (l_orderkey * 2654435761 + l_partkey * 104729) & {FULL} AS xhi,
-         (l_partkey * 2246822519 + l_suppkey * 15485863) & {FULL} AS xlo,
-         (l_suppkey * 3266489917 + l_orderkey * 32452843) & {FULL} AS yhi,
-         (l_partkey * 668265263 + l_orderkey * 374761393) & {FULL} AS ylo,
+         (l_orderkey % {K} * 2654435761 + l_partkey % {K} * 104729) & {FULL} AS xhi,
+         (l_partkey % {K} * 2246822519 + l_suppkey % {K} * 15485863) & {FULL} AS xlo,
+         (l_suppkey % {K} * 3266489917 + l_orderkey % {K} * 32452843) & {FULL} AS yhi,
+         (l_partkey % {K} * 668265263 + l_orderkey % {K} * 374761393) & {FULL} AS ylo,
          l_partkey % 80 AS n
   FROM lineitem),
 huge_in AS (
@@ -277,21 +278,6 @@ ORACLES["ring_order"] = query(
     ),
 )
 
-_MA = "(xa * ya + 2 * xb * yb)"
-ORACLES["ring_marked"] = query(
-    RING + ", " + _RED + ", quot AS (" + select("red", "*", *_quotient("u", "q")) + ")",
-    select(
-        "quot",
-        *LI,
-        big(f"CASE WHEN ya = 0 THEN 3 * xa ELSE {_MA} END", "ma"),
-        big(f"CASE WHEN ya = 0 THEN xb ELSE {_MA} * yb + xb * ya END", "mb"),
-        big("CASE WHEN ya = 0 THEN xe ELSE ye END", "me"),
-        big("CASE WHEN ya = 0 THEN xa // 3 ELSE qa END", "ua"),
-        big("CASE WHEN ya = 0 THEN xb ELSE qb END", "ub"),
-        big("CASE WHEN ya = 0 THEN xe ELSE qe END", "ue"),
-    ),
-)
-
 ORACLES["ring_text"] = query(
     RING, select("ring_in", *LI, "concat(xa, ',', xb, 'e', xe) AS x_text")
 )
@@ -503,8 +489,8 @@ ORACLES["pattern_orbit"] = query(
     f"""
 start AS (
   SELECT s_suppkey,
-         (s_suppkey * {2654435761 * 17}) & CASE WHEN s_suppkey % 3 = 0 THEN {sum(ROW_MASKS[:4])} ELSE {FULL} END AS i,
-         (s_suppkey * {2246822519 * 13}) & CASE WHEN s_suppkey % 3 = 0 THEN {sum(ROW_MASKS[:4])} ELSE {FULL} END AS s
+         (s_suppkey % {K} * {2654435761 * 17}) & CASE WHEN s_suppkey % 3 = 0 THEN {sum(ROW_MASKS[:4])} ELSE {FULL} END AS i,
+         (s_suppkey % {K} * {2246822519 * 13}) & CASE WHEN s_suppkey % 3 = 0 THEN {sum(ROW_MASKS[:4])} ELSE {FULL} END AS s
   FROM supplier),
 orders6(o0, o1, o2, o3, o4, o5) AS (VALUES {_ORDERS}),
 moved AS (
@@ -915,8 +901,10 @@ ORACLES["target_witness"] = query(
   FROM op WHERE len(gates) > 0 AND case_num <> 0 GROUP BY 1, 2)""",
 )
 ORACLES["target_delete"] = query(
-    ORDERS_P + ", " + CUSTOMERS_P + ", loaded AS (" + _LEAST.format(src="op") + ")",
-    "SELECT * FROM loaded WHERE case_num NOT IN (SELECT case_num FROM cp)",
+    ORDERS_P + ", " + CUSTOMERS_P + ", " + orbit_keys("op", "ok") + ", " + orbit_keys("cp", "ck"),
+    """SELECT case_num, int_plane, sqrt2_plane FROM (
+  SELECT *, row_number() OVER (PARTITION BY orbit ORDER BY int_plane, sqrt2_plane, case_num) AS rn
+  FROM ok WHERE case_num <> 0 AND orbit NOT IN (SELECT orbit FROM ck WHERE case_num <> 0)) WHERE rn = 1""",
 )
 ORACLES["set_difference"] = query(
     ORDERS_P + ", " + CUSTOMERS_P,
@@ -958,22 +946,53 @@ ORACLES["free_multiply"] = query(
     "SELECT k AS lde, case_num, count(*) AS n FROM fp GROUP BY 1, 2",
 )
 
-# Every word of up to four gates, against the cases of the order words.
+
+
+def searched(start: str, depth: int) -> str:
+    """CTEs lv1..lv<depth> (t, gates, k, A, B, case_num, key): one matrix per class that
+    is reached first by that many gates from those of lv0, a CTE with gates, k, A, B, key."""
+    parts = []
+    for t in range(1, depth + 1):
+        words = f"""nx{t} AS (
+  SELECT DISTINCT list_append(gates, g) AS gates
+  FROM lv{t - 1} CROSS JOIN (SELECT range AS g FROM range(15)))"""
+        stepped = patterned(f"nx{t}", words, "len(gates) AS n", f"np{t}")
+        stepped = stepped.replace("SELECT len(gates) AS n, gates, i + 1", "SELECT n, gates, i + 1").replace(
+            "SELECT len(gates) AS n, gates, CAST", "SELECT n, gates, CAST"
+        )
+        old = " UNION ALL ".join(f"SELECT k, key FROM lv{p}" for p in range(max(0, t - 2), t))
+        parts.append(
+            stepped
+            + ", "
+            + classes(f"np{t}", f"nc{t}")
+            + f""",
+lv{t} AS MATERIALIZED (
+  SELECT {t} AS t, gates, k, A, B, case_num, key FROM (
+    SELECT *, row_number() OVER (PARTITION BY k, key ORDER BY gates) AS rn
+    FROM np{t} JOIN nc{t} USING (k, A, B) WHERE (k, key) NOT IN ({old})) WHERE rn = 1)"""
+        )
+    return start + ", " + ", ".join(parts)
+
+
+#: All eight cases are met by six gates from the identity.
+DEPTH = 6
+_IDENTITY = (
+    patterned("none", "none AS (SELECT 1 AS one, []::BIGINT[] AS gates)", "one", "ip") + ", " + classes("ip", "ic")
+    + ", lv0 AS MATERIALIZED (SELECT gates, k, A, B, key FROM ip JOIN ic USING (k, A, B))"
+)
+_REACHED = " UNION ALL ".join(f"SELECT t, case_num FROM lv{t}" for t in range(1, DEPTH + 1))
 ORACLES["search_first_level"] = query(
-    ORDERS_P
-    + ","
-    + patterned(
-        "all_words",
-        """all_words AS (
-  SELECT [g] AS gates FROM (SELECT range AS g FROM range(15))
-  UNION ALL
-  SELECT list_append(gates, g) FROM all_words CROSS JOIN (SELECT range AS g FROM range(15))
-  WHERE len(gates) < 4)""",
-        "1 AS one",
-        "wp",
-    ).replace("SELECT 1 AS one, gates, i + 1", "SELECT one, gates, i + 1").replace(
-        "SELECT 1 AS one, gates, CAST", "SELECT one, gates, CAST"
-    ),
-    """SELECT case_num, CAST(min(len(gates)) AS BIGINT) AS t FROM wp
+    ORDERS_P + ", " + searched(_IDENTITY, DEPTH),
+    f"""SELECT case_num, CAST(min(t) AS BIGINT) AS t FROM ({_REACHED})
 WHERE case_num IN (SELECT case_num FROM op WHERE case_num <> 0) GROUP BY 1""",
 )
+_CUSTOMER_ROOTS = (
+    CUSTOMERS_P + ", " + classes("cp", "rc")
+    + """, lv0 AS MATERIALIZED (SELECT gates, k, A, B, key FROM (
+  SELECT *, row_number() OVER (PARTITION BY k, key ORDER BY gates) AS rn FROM cp JOIN rc USING (k, A, B)) WHERE rn = 1)"""
+)
+ORACLES["search_from_customers"] = query(
+    searched(_CUSTOMER_ROOTS, 2),
+    """SELECT CAST(t AS BIGINT) AS t, k AS lde, case_num, count(*) AS n_classes
+FROM (SELECT t, k, case_num FROM lv1 UNION ALL SELECT t, k, case_num FROM lv2) GROUP BY 1, 2, 3""",
+)

@@ -21,16 +21,6 @@ def observed(level: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def duration_text(milliseconds: int) -> str:
-    """Elapsed time in its natural unit, e.g. 850ms, 12.34s, 3.100min."""
-    # Unit limits and names of the progress report.
-    for limit, divisor, unit in (
-        (60_000, 1_000, "s"),
-        (3_600_000, 60_000, "min"),
-        (86_400_000, 3_600_000, "hr"),
-        (float("inf"), 86_400_000, "days"),
-    ):
-        if milliseconds < 1_000:
-            return f"{milliseconds}ms"
-        if milliseconds < limit:
-            return f"{milliseconds / divisor:.6f}"[:5] + unit
-    raise AssertionError("unreachable")
+    """Elapsed time as h:mm:ss.mmm."""
+    seconds, rest = divmod(milliseconds, 1000)
+    return f"{seconds // 3600}:{seconds // 60 % 60:02}:{seconds % 60:02}.{rest:03}"

@@ -134,3 +134,12 @@ def test_orbit_key_is_constant_on_orbits_and_separates_them(spark):
     df = spark.createDataFrame(rows, "k int, int_plane long, sqrt2_plane long")
     keys = orbit(df, "k", all_mods=True).select("k", P.orbit_key(Pattern.field()).alias("key")).distinct()
     assert keys.count() == keys.select("key").distinct().count() == 4
+
+
+def test_same_class_and_bucket_hash_follow_case_and_planes(spark):
+    rows = [(plane_of(BLOCKS["1"]), 0, plane_of(BLOCKS["1"]), 5), (plane_of(BLOCKS["1"]), 1, plane_of(BLOCKS["5"]), 1)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    p, q = Pattern(F.col("a"), F.col("b")), Pattern(F.col("c"), F.col("d"))
+    got = df.select(P.same_class(p, q), P.equals(p, q), P.bucket_hash(p) == P.bucket_hash(p)).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (False, False, True)]
+    assert df.select(P.bucket_hash(p)).distinct().count() == 2

@@ -88,11 +88,11 @@ def test_sign_masks(spark):
 
 def test_duration_text():
     assert [duration_text(x) for x in (850, 12_345, 186_000, 5_400_000, 172_800_000)] == [
-        "850ms",
-        "12.34s",
-        "3.100min",
-        "1.500hr",
-        "2.000days",
+        "0:00:00.850",
+        "0:00:12.345",
+        "0:03:06.000",
+        "1:30:00.000",
+        "48:00:00.000",
     ]
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ringweave.functions import words72 as W
@@ -95,3 +97,25 @@ def test_text_planes_and_64_8_round_trip(spark):
         assert r.i == sum(bit(2 * i + 1) << i for i in range(36))
         assert r.s == sum(bit(2 * i) << i for i in range(36))
         assert value(r.again) == value(r.parsed) == value(r.via64) == x
+
+
+def test_csv_values_outside_the_range_fail_or_drop(spark):
+    good, sevens, words = ",".join("0123" * 9), ",".join(["7"] * 36), ",".join(["x"] * 36)
+    lines = spark.createDataFrame([(good,), (sevens,), (words,), ("",), (None,)], "line string")
+    kept = [r[0] for r in lines.select(W.csv_to_pattern_text(F.col("line"), strict=False)).collect()]
+    assert kept == ["00011011" * 9, None, None, None, None]
+    for bad in (sevens, words):
+        with pytest.raises(Exception, match="36 values"):
+            lines.where(F.col("line") == bad).select(W.csv_to_pattern_text(F.col("line"))).collect()
+
+
+def test_inputs_from_large_keys_stay_in_range(spark, tmp_path):
+    from ringweave.plans.queries import pattern_orbit, word72_arith
+
+    big = 10**12 + 7
+    spark.createDataFrame(
+        [(big, 1, big + 1, big + 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(big,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert word72_arith(spark, str(tmp_path)).count() == 1
+    assert pattern_orbit(spark, str(tmp_path)).count() == 1
