@@ -31,12 +31,14 @@ def with_key(df: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
 def one_per_class(df: DataFrame) -> DataFrame:
     """One row per ``canon_key``: the one with the least word.
 
-    ``min`` of a struct combines before the shuffle, so a class with very many
-    members reaches its reducer as one row per map task.
+    ``coset_word`` is the least word of the class whose last gate is not 0, null where
+    all its words end in 0. ``min`` combines before the shuffle, so a class with very
+    many members reaches its reducer as one row per map task.
     """
-    payload = [c for c in df.columns if c not in ("canon_key", "gates")]
+    payload = [c for c in df.columns if c not in ("canon_key", "gates", "coset_word")]
     best = F.min(F.struct("gates", *payload)).alias("best")
-    return df.groupBy("canon_key").agg(best).select("canon_key", "best.*")
+    coset = F.min(F.when(F.get("gates", F.size("gates") - 1) != 0, F.col("gates"))).alias("coset_word")
+    return df.groupBy("canon_key").agg(best, coset).select("canon_key", "best.*", "coset_word")
 
 
 def drop_seen(df: DataFrame, *seen: DataFrame) -> DataFrame:

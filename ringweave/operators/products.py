@@ -12,9 +12,6 @@ from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 from ringweave.session import materialise
 
-# A generator trie of at most this many edges is broadcast.
-BROADCAST_EDGES = 200_000
-
 
 def to_long(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
     """(key, row, col, a, b, e) with zero entries left out."""
@@ -74,43 +71,55 @@ def sum_elements(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def generator_edges(generators: DataFrame) -> DataFrame:
-    """The generators' words as the edges of their prefix tree: node, gate, child.
+    """The generators' words as the edges of their prefix tree: node, gate, child, whole.
 
-    Nodes are prefixes written as text; words of one length share their prefixes.
+    Nodes are prefixes written as text; ``whole`` marks children that are words themselves,
+    as one word may begin another.
     """
     prefix = lambda n: F.array_join(
         F.slice(F.col("gates").cast("array<string>"), F.lit(1), n), " "
     )
     return (
         generators.select("gates", F.posexplode("gates").alias("at", "gate"))
-        .select(
-            prefix(F.col("at")).alias("node"), "gate", prefix(F.col("at") + 1).alias("child")
+        .groupBy(prefix(F.col("at")).alias("node"), "gate", prefix(F.col("at") + 1).alias("child"))
+        .agg(
+            F.max(F.col("at") + 1 == F.size("gates")).alias("whole"),
+            F.first(F.col("at") + 1).alias("depth"),
+            F.max(F.size("gates")).alias("reach"),
         )
-        .distinct()
     )
 
 
-def free_multiply(
-    stored: DataFrame, generators: DataFrame, length: int, lanes: Lanes = NARROW
-) -> DataFrame:
+def free_multiply(stored: DataFrame, generators: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """All products generator * stored, by walking the generators' prefix tree.
 
-    ``generators`` holds words of ``length`` gates. Each step extends every row
-    along the at most fifteen edges leaving its node, so shared prefixes are
-    multiplied once and no pairing of the two sets is ever joined as such. The
-    edge table is written once, counted, and broadcast only when small; beyond
-    that the join on the node is left to adaptive execution.
+    ``generators`` holds words in ``gates`` of any length; the empty word adds nothing.
+    Each step extends every row along the at most fifteen edges leaving its node, so
+    shared prefixes are multiplied once and no pairing of the two sets is ever joined as
+    such. How the edges are joined is left to adaptive execution, which knows the size of
+    the written table. Without any generator there is nothing to multiply by, which raises.
     """
     edges = materialise(generator_edges(generators), f"edges-{uuid.uuid4().hex}")
-    edges = F.broadcast(edges) if edges.count() <= BROADCAST_EDGES else edges
+    reach = edges.agg(F.max("reach"), F.min(F.when(F.col("whole"), F.col("depth")))).first()
+    if reach[0] is None:
+        raise ValueError("the generating set is empty")
+    longest, shortest = reach
     # Few bytes per row but much work on each: spread by core count before the fan-out.
     spread = stored.sparkSession.sparkContext.defaultParallelism
     # Pinned, or the literal node turns the first step into a join without a key.
     rows = stored.select("gates", "m").repartition(spread).withColumn("node", pin(F.lit("")))
-    for _ in range(length):
-        rows = rows.join(edges, "node").select(
+    made = None
+    for step in range(1, longest + 1):
+        rows = rows.join(edges.select("node", "gate", "child", "whole"), "node").select(
             F.array_append("gates", F.col("gate")).alias("gates"),
             pin(matrices.apply_gate("m", "gate", lanes)).alias("m"),
             F.col("child").alias("node"),
+            "whole",
         )
-    return rows.drop("node")
+        if step >= shortest:
+            if step < longest:
+                rows = materialise(rows, f"products-{uuid.uuid4().hex}")
+            whole = rows.where("whole").select("gates", "m")
+            made = whole if made is None else made.unionByName(whole)
+        rows = rows.drop("whole")
+    return made

@@ -928,8 +928,14 @@ ORACLES["coset_filter"] = query(
     ),
     "SELECT legacy, k AS lde, case_num, count(*) AS n FROM tp GROUP BY 1, 2, 3",
 )
+NATION_WORDS = """
+nation_slots AS (
+  SELECT c_nationkey, c_mktsegment AS slot, min(c_custkey) % 15 AS g FROM customer GROUP BY 1, 2),
+nation_words AS (
+  SELECT c_nationkey, list(g ORDER BY slot) AS gates FROM nation_slots GROUP BY 1)
+"""
 ORACLES["free_multiply"] = query(
-    ORDER_WORDS
+    NATION_WORDS
     + ","
     + patterned(
         "made",
@@ -937,7 +943,7 @@ ORACLES["free_multiply"] = query(
         + """, made AS (
   SELECT list_concat(s.gates, g.gates, [0]) AS gates
   FROM (SELECT DISTINCT gates FROM customer_words) s
-  CROSS JOIN (SELECT DISTINCT gates FROM order_words WHERE len(gates) = 2 AND gates[-1] <> 0) g)""",
+  CROSS JOIN (SELECT DISTINCT gates FROM nation_words WHERE gates[-1] <> 0) g)""",
         "1 AS one",
         "fp",
     ).replace("SELECT 1 AS one, gates, i + 1", "SELECT one, gates, i + 1").replace(
@@ -947,7 +953,6 @@ ORACLES["free_multiply"] = query(
 )
 
 
-
 def searched(start: str, depth: int) -> str:
     """CTEs lv1..lv<depth> (t, gates, k, A, B, case_num, key): one matrix per class that
     is reached first by that many gates from those of lv0, a CTE with gates, k, A, B, key."""

@@ -24,7 +24,7 @@ from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
 from ringweave.session import materialise, prepare
 from ringweave.sources.lines import csv_pattern_lines, pattern_lines
-from ringweave.sources.tables import customer_words, order_words, table, user_month_words
+from ringweave.sources.tables import customer_words, nation_words, order_words, table, user_month_words
 
 
 def _long(**columns) -> list[Column]:
@@ -760,11 +760,11 @@ def coset_filter(spark, sf):
 
 
 def free_multiply(spark, sf):
-    """Coset generators of the two-gate order words times the distinct customer words."""
-    pairs = order_words(spark, sf).where(F.size("gates") == 2).select("gates").distinct()
-    generators = levels.coset_generators(with_matrix(pairs))
+    """Coset generators of the nations' words times the distinct customer words."""
+    prepare(spark)
+    generators = levels.coset_generators(with_matrix(nation_words(spark, sf).select("gates").distinct()))
     stored = with_matrix(customer_words(spark, sf).select("gates").distinct())
-    made = with_pattern(products.free_multiply(stored, generators, length=3))
+    made = with_pattern(products.free_multiply(stored, generators))
     return made.groupBy("lde", "case_num").agg(F.count(F.lit(1)).alias("n")).select(
         *_long(lde=F.col("lde"), case_num=F.col("case_num"), n=F.col("n"))
     )

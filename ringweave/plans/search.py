@@ -46,6 +46,20 @@ class SearchResult:
         discard(spark, self.run)
 
 
+def lanes_of(roots: DataFrame, more_gates: int) -> Lanes:
+    """The layout that given roots are in; it must have room for the gates to come."""
+    size, k = roots.agg(F.max(F.size("m.a")), F.max("m.k")).first()
+    if size is None:
+        return lanes_for(more_gates)
+    lanes = next(x for x in (matrices.NARROW, matrices.MEDIUM, matrices.WIDE) if x.size == size)
+    if k + more_gates > lanes.max_k:
+        raise ValueError(
+            f"roots of exponent {k} and {more_gates} more gates do not fit their layout of {size} words; "
+            f"build them with {lanes_for(k + more_gates)}"
+        )
+    return lanes
+
+
 def root_level(spark: SparkSession, circuit: str, lanes: Lanes) -> DataFrame:
     """Level 0: the matrix of one circuit (the identity by default), with an empty word.
 
@@ -58,6 +72,18 @@ def root_level(spark: SparkSession, circuit: str, lanes: Lanes) -> DataFrame:
     return levels.with_key(rows, lanes)
 
 
+def step_generators(level: DataFrame, t: int, legacy_suffix: bool = False) -> DataFrame:
+    """Words of the last ``t`` gates of the coset words of level ``t``, each followed by gate 0.
+
+    A root's own gates come before these and are no part of a generator.
+    """
+    steps = F.slice(F.col("coset_word"), -t, t)
+    words = level.where("coset_word is not null").select(steps.alias("gates"))
+    if legacy_suffix:
+        words = words.where(F.element_at(F.col("gates"), -1) != 10)
+    return words.distinct().select(gates.append(F.col("gates"), F.lit(0)).alias("gates"))
+
+
 def search(
     spark: SparkSession,
     config: SearchConfig,
@@ -77,7 +103,7 @@ def search(
     if roots is None:
         current = root_level(spark, config.root, lanes)
     else:
-        current, lanes = roots, lanes_for(config.target + 7)
+        current, lanes = roots, lanes_of(roots, config.target)
     run = f"search-{uuid.uuid4().hex}"
     current = materialise(current, f"{run}/level=0")
     result = SearchResult({0: current}, run=run)
@@ -129,7 +155,7 @@ def search(
         level = materialise(fresh, f"{run}/level={t}")
         record(level, t)
         if config.beyond == PRODUCT and t <= config.generating_sets:
-            generators[t - 1] = levels.coset_generators(level, lanes, config.legacy_suffix)
+            generators[t - 1] = step_generators(level, t, config.legacy_suffix)
         prior, current = current, level
         result.levels[t] = level
         done = report(t, started, seen_rows.get["rows"])
@@ -147,9 +173,7 @@ def search(
                 pin(matrices.apply_gate("m", "0", lanes)).alias("m"),
             )
         elif config.beyond == PRODUCT and offset - 1 in generators:
-            rows = products.free_multiply(
-                current, generators[offset - 1], length=offset + 1, lanes=lanes
-            )
+            rows = products.free_multiply(current, generators[offset - 1], lanes=lanes)
         else:
             break
         if config.record_beyond:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringweave.operators.words import slot_words
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -36,6 +37,17 @@ def customer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_nationkey, gates): one gate per market segment, from the least customer key."""
+    return slot_words(
+        table(spark, sf_dir, "customer"),
+        ["c_nationkey"],
+        F.col("c_mktsegment"),
+        F.col("c_custkey"),
+        SEGMENTS,
+    )
+
+
 def user_month_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, month, gates): one gate per day of the month, from the least event id."""
     events = table(spark, sf_dir, "events").select(

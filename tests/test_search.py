@@ -149,3 +149,57 @@ def test_several_roots_against_enumeration(spark):
     )
     assert {t: level.count() for t, level in result.levels.items()} == expected
     result.discard(spark)
+
+
+def _products(level_words, step_words):
+    return sorted(w + g for w in level_words for g in step_words)
+
+
+@pytest.mark.parametrize("root", ["", "0 9"])
+def test_products_are_stored_words_times_coset_steps(spark, root):
+    """Every product of the second free level, not just some of them."""
+    from ringweave.operators import products
+    from ringweave.plans.search import step_generators
+
+    result = search(spark, SearchConfig(target=4, stored=4, root=root))
+    prefix = len(root.split())
+    level1 = [r.coset_word[prefix:] for r in result.levels[1].collect() if r.coset_word]
+    got = step_generators(result.levels[1], 1)
+    assert sorted(r.gates for r in got.collect()) == sorted([*w, 0] for w in level1) != []
+    stored = result.levels[2]
+    made = products.free_multiply(stored, got)
+    want = _products([r.gates for r in stored.collect()], [[*w, 0] for w in level1])
+    assert sorted(r.gates for r in made.collect()) == want
+    assert made.withColumn("again", M.apply_word("gates")).where("again <> m").count() == 0
+    result.discard(spark)
+
+
+def test_products_with_words_of_several_lengths_and_two_roots(spark):
+    from ringweave.operators import levels, products
+
+    start = with_matrix(spark.createDataFrame([([0],), ([0, 9],)], "gates array<tinyint>"))
+    words = [[3], [3, 0], [3, 0, 7], [5, 5, 2, 0]]
+    generators = spark.createDataFrame([(w,) for w in words], "gates array<tinyint>")
+    made = products.free_multiply(levels.with_key(start), generators)
+    assert sorted(r.gates for r in made.collect()) == _products([[0], [0, 9]], words)
+    assert made.withColumn("again", M.apply_word("gates")).where("again <> m").count() == 0
+    with pytest.raises(ValueError, match="empty"):
+        products.free_multiply(start, generators.where("false"))
+
+
+def test_level_sizes_to_seven_gates(spark):
+    result = search(spark, SearchConfig(target=7))
+    assert [r.new_classes for r in result.reports] == [1, 2, 6, 19, 77, 371, 2159]
+    result.discard(spark)
+
+
+def test_roots_keep_their_layout_or_are_refused(spark):
+    from ringweave.operators import levels
+    from ringweave.plans.search import lanes_of
+
+    words = spark.createDataFrame([([0, 9, 1],)], "gates array<tinyint>")
+    for lanes in (M.NARROW, M.MEDIUM, M.WIDE):
+        roots = levels.with_key(with_matrix(words, lanes), lanes)
+        assert lanes_of(roots, 3) == lanes
+    with pytest.raises(ValueError, match="do not fit"):
+        lanes_of(levels.with_key(with_matrix(words)), 30)
