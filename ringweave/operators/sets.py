@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringweave.session import materialise
+
 
 def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of ``left`` that ``right`` does not have.
@@ -20,9 +23,12 @@ def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 def top_with_ties(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Every row that ties for the largest ``value`` of its group.
 
-    The maxima are aggregated first (partial before the shuffle) and joined back.
-    No task ever holds a whole group, as a rank window would.
+    The maxima are aggregated first (partial before the shuffle) and written, so that
+    Catalyst knows how few they are when it plans the join: below the broadcast limit the
+    rows stay where they are, beyond it adaptive execution splits a frequent group. No task
+    ever holds a whole group, as a rank window would.
     """
     groups = list(groups)
     best = df.groupBy(*groups).agg(F.max(value).alias(value))
+    best = materialise(best, f"maxima-{uuid.uuid4().hex}")
     return df.join(best, groups + [value], "left_semi")

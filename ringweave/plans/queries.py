@@ -614,10 +614,16 @@ def canonical_signatures(spark, sf):
 def canonical_classes(spark, sf):
     """Customers by the class of their matrix: least member, size, case, exponent."""
     prepare(spark)
-    keyed = levels.with_key(customer_patterns(spark, sf))
+    # One key per distinct word, however many customers have it.
+    words = (
+        customer_words(spark, sf)
+        .groupBy("gates")
+        .agg(F.min("o_custkey").alias("first"), F.count(F.lit(1)).alias("n"))
+    )
+    keyed = levels.with_key(with_pattern(with_matrix(words)))
     classes = keyed.groupBy("canon_key").agg(
-        F.min("o_custkey").alias("first"),
-        F.count(F.lit(1)).alias("n"),
+        F.min("first").alias("first"),
+        F.sum("n").alias("n"),
         F.min("lde").alias("lde"),
         F.min("case_num").alias("low_case"),
         F.max("case_num").alias("high_case"),
