@@ -33,6 +33,11 @@ def stage(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A staged table marked for broadcast if it is counted to have ``rows`` rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

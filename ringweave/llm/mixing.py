@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ringweave.llm.common import n_words, prefix_sums, stage
+from ringweave.llm.common import few, n_words, prefix_sums, stage
 
 #: Words that one bucket of the shuffled order holds about; it bounds what one window task sorts.
 BUCKET_ROWS = 256
@@ -96,12 +96,12 @@ def mix(
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("shuffle"),
     )
     sizes = stage(sizes, "sizes")  # texts are read once
-    plan = targets(sizes, weights, max_repeats)
+    plan = stage(targets(sizes, weights, max_repeats), "targets")
     # Enough digits that a bucket of this source holds about BUCKET_ROWS rows, at any size.
     digits = F.least(
         F.greatest(F.ceil(F.log2(F.col("n_docs") / BUCKET_ROWS) / 4), F.lit(0)), F.lit(MAX_DIGITS)
     ).cast("int")
-    with_plan = sizes.drop("source").join(plan, "key").withColumn("digits", digits)
+    with_plan = sizes.drop("source").join(few(plan), "key").withColumn("digits", digits)
     queued = prefix_sums(
         with_plan,
         "key",
