@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components: contraction in bounded tasks and alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 from ringweave.llm.common import stage
 
 
+#: Edges that one task contracts at most: what it holds of them is bounded by it.
+TASK_EDGES = 400_000
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's own edges contracted batch by batch: each vertex with its local root."""
-    for batch in batches:
-        root: dict[int, int] = {}
+    """The edges of a task contracted: each of their vertices with its root among them."""
+    root: dict[int, int] = {}
 
-        def find(v: int, root=root) -> int:
-            top = v
-            while (up := root.setdefault(top, top)) != top:
-                top = up
-            while root[v] != top:
-                root[v], v = top, root[v]
-            return top
+    def find(v: int) -> int:
+        top = v
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[v] != top:
+            root[v], v = top, root[v]
+        return top
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        pairs = [(find(v), v) for v in root]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"]
-        )
+    pairs = [(find(v), v) for v in list(root)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Staged edges with the same components, and how many tasks contracted them."""
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    spread = edges.coalesce(tasks) if tasks < edges.rdd.getNumPartitions() else edges.repartition(tasks)
+    return stage(spread.mapInArrow(_forests, "a bigint, b bigint"), "edges"), tasks
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -55,14 +64,17 @@ def components(edges: DataFrame) -> DataFrame:
     skewed join that adaptive execution splits, never one group in one task.
     """
     pairs = edges.toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    current = stage(pairs.mapInArrow(_forests, "a bigint, b bigint").distinct(), "edges")
-    seen = None
-    while True:
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        current = stage(_small_star(_large_star(current)), "edges")
+    # Tasks contract what they hold, bounded; stars then bring their roots together, until
+    # so little is left that one task finishes it.
+    current, tasks = _contracted(stage(pairs, "edges"))
+    while tasks > 1:
+        current, tasks = _contracted(stage(_small_star(_large_star(current)), "edges"))
+        if tasks > 1:
+            mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            after = stage(_small_star(_large_star(current)), "edges")
+            if after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == mark:
+                break
+            current = after
     return current.select(F.col("b").alias("vertex"), F.col("a").alias("root")).union(
         current.select("a", "a").distinct()
     )

@@ -214,7 +214,9 @@ def test_thresholds_follow_the_generalised_pigeonhole():
         assert sum(t + 1 for _, t in plan) == 3
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("bound", [400_000, 50])
+def test_components_of_paths_and_stars(spark, monkeypatch, bound):
+    monkeypatch.setattr("ringweave.llm.components.TASK_EDGES", bound)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(1000, 1500)] + [(5, 5), (3, 4)]
     got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = dict.fromkeys(range(100, 161), 100) | dict.fromkeys([7, *range(1000, 1500)], 7) | {3: 3, 4: 3}
