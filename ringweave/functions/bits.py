@@ -53,6 +53,15 @@ def require(condition: Column, value: Column, message: str) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
 
 
+def fence(value: Column) -> Column:
+    """The same value out of an explode of one element, for one column of a select.
+
+    Catalyst never copies a generator's expression into what stands above it, yet pushes
+    filters on other columns below it, so key filters still reach the scan.
+    """
+    return F.explode(F.array(value))
+
+
 def pin(value: Column) -> Column:
     """The same value, marked so that Catalyst computes it exactly where it is written.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import matrices, patterns
-from ringweave.functions.bits import pin
+from ringweave.functions.bits import fence
 from ringweave.functions.gates import N_GATES
 from ringweave.functions.matrices import NARROW, Lanes
 
@@ -42,15 +42,17 @@ def slot_words(
 
 def with_matrix(df: DataFrame, lanes: Lanes = NARROW, gates: str = "gates") -> DataFrame:
     """Adds ``m``, the matrix of each row's word."""
-    return df.withColumn("m", pin(matrices.apply_word(gates, lanes=lanes)))
+    return df.withColumn("m", fence(matrices.apply_word(gates, lanes=lanes)))
 
 
 def with_pattern(df: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """Adds lde, int_plane, sqrt2_plane and case_num of column ``m``."""
-    return df.withColumns(
-        {
-            "lde": matrices.least_exponent("m"),
-            "int_plane": pin(matrices.int_plane("m", lanes)),
-            "sqrt2_plane": pin(matrices.sqrt2_plane("m", lanes)),
-        }
-    ).withColumn("case_num", patterns.case_num(patterns.Pattern.field()))
+    planes = F.struct(
+        matrices.int_plane("m", lanes).alias("ints"), matrices.sqrt2_plane("m", lanes).alias("roots")
+    )
+    fenced = df.withColumn("lde", matrices.least_exponent("m")).withColumn("__planes", fence(planes))
+    return (
+        fenced.withColumns({"int_plane": F.col("__planes.ints"), "sqrt2_plane": F.col("__planes.roots")})
+        .drop("__planes")
+        .withColumn("case_num", patterns.case_num(patterns.Pattern.field()))
+    )

@@ -115,3 +115,11 @@ def test_streaming_replay_equals_batch(spark, tmp_path):
         query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("all_lines").collect())) == batch
     assert sorted(r.case_num for r in spark.table("first_lines").collect()) == [1, 2, 5]
+
+
+def test_key_filters_reach_the_scan_below_derived_columns(spark, sf):
+    from ringweave.plans.queries import order_patterns
+
+    plan = order_patterns(spark, sf).where("l_orderkey = 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,5)]" in plan
+    assert plan.count("aggregate(") == 1  # the replay is not copied
