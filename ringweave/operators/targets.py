@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import gates, patterns
+from ringweave.functions.matrices import NARROW, Lanes
 from ringweave.functions.patterns import Pattern
+from ringweave.operators.words import with_matrix, with_pattern
 
 # What makes two targets the same target.
 CASE, ORBIT = "case", "orbit"
@@ -70,3 +72,16 @@ def witnesses(hits: DataFrame, t: int) -> DataFrame:
 def delete_matched(targets: DataFrame, found: DataFrame, match: str = CASE) -> DataFrame:
     """Targets that no witness has matched (left anti join)."""
     return targets.join(_keys(found, match), "target_key", "left_anti")
+
+
+def delete_by_circuits(
+    circuits: DataFrame, targets: DataFrame, match: str = CASE, lanes: Lanes = NARROW
+) -> DataFrame:
+    """Targets left after every circuit (rows with ``gates``) has deleted the one it reaches.
+
+    Circuits are reduced to the distinct targets they reach before the join, so a
+    target that very many circuits reach is one row there.
+    """
+    reached = with_pattern(with_matrix(circuits.select("gates").distinct(), lanes), lanes)
+    hits = matching(reached, targets, match).select("target_key").distinct()
+    return delete_matched(targets, hits, match)

@@ -906,6 +906,7 @@ ORACLES["target_delete"] = query(
   SELECT *, row_number() OVER (PARTITION BY orbit ORDER BY int_plane, sqrt2_plane, case_num) AS rn
   FROM ok WHERE case_num <> 0 AND orbit NOT IN (SELECT orbit FROM ck WHERE case_num <> 0)) WHERE rn = 1""",
 )
+ORACLES["circuit_delete"] = ORACLES["target_delete"]
 ORACLES["set_difference"] = query(
     ORDERS_P + ", " + CUSTOMERS_P,
     "SELECT int_plane, sqrt2_plane FROM op EXCEPT SELECT int_plane, sqrt2_plane FROM cp",

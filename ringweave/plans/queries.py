@@ -23,7 +23,7 @@ from ringweave.operators.words import with_matrix, with_pattern
 from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
 from ringweave.session import materialise, prepare
-from ringweave.sources.lines import csv_pattern_lines, pattern_lines
+from ringweave.sources.lines import circuit_lines, csv_pattern_lines, pattern_lines
 from ringweave.sources.tables import customer_words, nation_words, order_words, table, user_month_words
 
 
@@ -734,6 +734,14 @@ def target_delete(spark, sf):
     return left.select(*_long(**{c: F.col(c) for c in ("case_num", "int_plane", "sqrt2_plane")}))
 
 
+def circuit_delete(spark, sf):
+    """Pattern orbits of the order words left after the customers' circuits, read as text lines."""
+    lines = customer_words(spark, sf).select(pin(gates.word_text(F.col("gates"))).alias("value"))
+    open_targets = targets.build_targets(order_patterns(spark, sf), targets.ORBIT)
+    left = targets.delete_by_circuits(circuit_lines(lines), open_targets, targets.ORBIT)
+    return left.select(*_long(**{c: F.col(c) for c in ("case_num", "int_plane", "sqrt2_plane")}))
+
+
 def set_difference(spark, sf):
     """Patterns of order words that no customer word has."""
     keys = ["int_plane", "sqrt2_plane"]
@@ -854,6 +862,7 @@ QUERIES = {
         target_orbit_match,
         target_witness,
         target_delete,
+        circuit_delete,
         set_difference,
         top_with_ties,
         coset_filter,

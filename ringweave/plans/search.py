@@ -115,15 +115,13 @@ def search(
         )
         n_open = open_targets.count()
     found: list[DataFrame] = []
+    written: set[int] = set()
 
     def record(rows: DataFrame, t: int) -> None:
         nonlocal open_targets, n_open
         if open_targets is None:
             return
         if n_open == 0:
-            if config.out_path:
-                nothing = spark.createDataFrame([], "circuit string")
-                write_witnesses(nothing, config.out_path, t)
             return
         hits = target_ops.matching(rows, open_targets, config.match)
         level_found = materialise(target_ops.witnesses(hits, t), f"{run}/found={t}")
@@ -133,6 +131,7 @@ def search(
         found.append(level_found)
         if config.out_path:
             write_witnesses(level_found, config.out_path, t)
+            written.add(t)
 
     def report(t: int, started: float, new_classes: int | None) -> bool:
         elapsed = int((time.time() - started) * 1000)
@@ -180,6 +179,11 @@ def search(
             record(with_pattern(rows, lanes), t)
         done = report(t, started, None)
 
+    if config.out_path:
+        # Every level leaves its folder, so that none of an earlier run stays in its place.
+        nothing = spark.createDataFrame([], "circuit string")
+        for t in sorted(set(range(1, config.target + 1)) - written):
+            write_witnesses(nothing, config.out_path, t)
     if found:
         result.witnesses = fold_left(DataFrame.unionByName, found)
     result.open_targets = open_targets

@@ -203,3 +203,14 @@ def test_roots_keep_their_layout_or_are_refused(spark):
         assert lanes_of(roots, 3) == lanes
     with pytest.raises(ValueError, match="do not fit"):
         lanes_of(levels.with_key(with_matrix(words)), 30)
+
+
+def test_every_level_folder_is_replaced(spark, tmp_path):
+    out = str(tmp_path / "out")
+    search(spark, SearchConfig(target=3, out_path=out), _targets(spark))
+    assert read_circuits(spark, out).count() == 4
+    few = with_pattern(with_matrix(spark.createDataFrame([([0],)], "gates array<tinyint>")))
+    search(spark, SearchConfig(target=3, out_path=out, stop_when_done=True), few)
+    assert read_circuits(spark, out).count() == 1
+    search(spark, SearchConfig(target=3, out_path=out))
+    assert read_circuits(spark, out).count() == 0
