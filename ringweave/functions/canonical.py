@@ -150,12 +150,22 @@ def canonical_parts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return columns, table, first
 
 
-def canonical_bytes(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> list[bytes]:
-    """One exact key per matrix: exponent, six columns, then the distinct values."""
+def canonical_array(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.Array:
+    """One exact key per matrix: exponent, six columns, then the distinct values.
+
+    All keys lie in one buffer, cut out of the numbers of all rows by one mask.
+    """
     columns, table, first = canonical_parts(a, b)
-    head = np.column_stack([k.astype(np.int64), columns]).astype(">i8")
-    table = table.astype(">i8")
-    return [head[i].tobytes() + table[i][first[i]].tobytes() for i in range(len(k))]
+    numbers = np.column_stack([k.astype(np.int64), columns, table]).astype(">i8")
+    kept = np.column_stack([np.ones((len(k), 7), bool), first])
+    offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1) * 8)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(numbers[kept].tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(k), buffers)
+
+
+def canonical_bytes(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> list[bytes]:
+    """The keys as bytes."""
+    return canonical_array(a, b, k).to_pylist()
 
 
 def _flat(column: pa.Array, width: int) -> np.ndarray:
@@ -172,7 +182,7 @@ def canonical_key(m: str, lanes: Lanes = NARROW) -> Column:
         if k.to_numpy().max() > 60:
             raise ValueError("canonical keys are exact up to exponent 60 only")
         numerators = (_unpack(_flat(v, lanes.size), lanes) for v in (a, b))
-        return pa.array(canonical_bytes(*numerators, k.to_numpy()), pa.binary())
+        return canonical_array(*numerators, k.to_numpy())
 
     return key(*[F.expr(f"{m}.{part}") for part in "abk"])
 
