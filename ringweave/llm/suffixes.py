@@ -14,8 +14,8 @@ again. In the merged order, windows are equal exactly if their suffixes agree to
 window's end and the bytes before their anchors agree to its start: two arrays of common
 prefixes, one forward and one backward, tell for every offset. Equal suffixes of a part
 are sent once. A splitter may part equal windows; those that agree with a splitter as far
-as the window reaches, and were not found equal within their range, are compared by a
-128-bit hash.
+as the window reaches are compared by a 128-bit hash; of those found equal within a range,
+one speaks for all.
 
 Defined cases: null text is empty; texts shorter than a window lose nothing; texts of any
 length are worked through in overlapping pieces; repeated rows and ids are separate
@@ -281,7 +281,8 @@ def _spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def _repeats(run: Run, size: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, offset) matrices: windows found equal to another, and those left open.
+    """(item, offset) matrices: windows found equal to another, and those left open: they may
+    repeat beyond a splitter. Of equal windows only one is left open, for those in other ranges.
 
     ``edge``: how far a suffix agrees with the nearer splitter.
     """
@@ -295,6 +296,7 @@ def _repeats(run: Run, size: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
     back = np.empty(n, np.int64)
     back[order] = np.maximum(behind, np.append(behind[1:], 0))
     equal, left_open = np.zeros((n, offsets), bool), np.zeros((n, offsets), bool)
+    said = np.zeros((n, offsets), bool)  # equal to one that comes earlier by key
     left = np.empty(n, np.int64)
     for o in range(offsets):
         own = (least <= o) & (o <= most)
@@ -309,7 +311,8 @@ def _repeats(run: Run, size: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = key[by_key][1:] == key[by_key][:-1]
         equal[some[by_key[1:][same]], o] = True
         equal[some[by_key[:-1][same]], o] = True
-    return equal, left_open & ~equal
+        said[some[by_key[1:][same]], o] = True
+    return equal, left_open & ~said
 
 
 def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:

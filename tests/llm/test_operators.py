@@ -97,6 +97,26 @@ def test_suffix_cut_where_many_documents_share_one_line(spark, size):
     assert got == brute.byte_windows(list(enumerate(texts)), size)
 
 
+def test_suffix_cut_where_splitters_part_groups_of_three(spark):
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+
+    texts = []
+    for _ in range(40):
+        passage = noise(rng.randint(205, 280))
+        texts += [noise(rng.randint(0, 40)) + passage + noise(230) for _ in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")  # ranges, so many splitters
+    try:
+        out = suffixes.cut(frame(spark, texts, 6)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
+    assert got == brute.byte_windows(list(enumerate(texts)))
+
+
 def test_suffix_cut_of_text_longer_than_a_piece(spark):
     rng = random.Random(3)
     text = "".join(rng.choices("abcdefgh ", k=suffixes.PIECE + 3000))
