@@ -6,6 +6,9 @@ size, and it alone decides: lengths are placed longest first, each into the pack
 with the most room, and only the counts of patterns change. Pieces then find their place
 by their rank among the pieces of their length.
 
+Texts are first split at the tokenizer's added tokens (as ``<|endoftext|>``), which get
+their own ids wherever they stand, as the library does by default.
+
 Defined cases: null text is an empty text, which is the end token alone; repeated rows are
 packed as separate documents; ties in rank are broken by doc_id, start and checksum; a
 null doc_id is kept; an empty table gives no pieces; further columns are not read.
@@ -14,6 +17,7 @@ null doc_id is kept; an empty table gives no pieces; further columns are not rea
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -54,6 +58,7 @@ class ChunkEncoder:
     The vocabulary's splitting pattern never joins a character other than white space
     with a single space after it that another such character follows, so texts can be
     cut before these spaces. Texts with other white space next to a space are cut less.
+    Added tokens are ordinary text to it; see ``TextEncoder``.
     """
 
     def __init__(self, path: str):
@@ -107,6 +112,34 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+class TextEncoder:
+    """Token ids of a whole text as little-endian bytes: added tokens, and the text between them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file).get("added_tokens") or []
+        flags = ("single_word", "lstrip", "rstrip")
+        if any(t.get(flag) for t in tokens for flag in flags):
+            raise ValueError("added tokens that depend on what stands beside them")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+        # Of tokens that begin at one place the longest is taken.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest))})").split if longest else lambda text: [text]
+        self.between = encoder(path)
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = self.split(text)
+        ids = self.between(first)
+        for token, after in zip(rest[::2], rest[1::2], strict=True):
+            ids += self.added[token] + self.between(after)
+        return ids
+
+
+@cache
+def text_encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
+
+
 def tokenized_pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -121,7 +154,7 @@ def tokenized_pieces(
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", ids binary" * keep_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(5 + keep_ids)]

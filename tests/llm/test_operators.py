@@ -426,6 +426,27 @@ def test_chunks_of_odd_white_space_tokenize_alike():
         assert encode(text) == np.array(want, "<u4").tobytes()
 
 
+def test_added_tokens_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())  # with its default settings
+    end = "<|endoftext|>"
+    texts = [f"{end} x", end, f" {end}", f"a{end}b", f"a  {end}\n {end}{end} the end", "<|endoftext |> x", "plain", None]
+    texts += [f"one two {end} " + "word " * 90 + end]
+    whole = {}
+    for p in packing.pack_documents(frame(spark, texts), tokenizer_path(), max_len=64, keep_ids=True).collect():
+        assert zlib.crc32(p.ids) == p.ids_crc32
+        whole.setdefault(p.doc_id, {})[p.start] = p.ids
+    for doc, text in enumerate(texts):
+        want = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        assert b"".join(v for _, v in sorted(whole[doc].items())) == np.array(want, "<u4").tobytes()
+    rng = random.Random(7)
+    encode = packing.text_encoder(tokenizer_path())
+    for _ in range(500):
+        text = "".join(rng.choices([end, " ", "\n", "a", "sé", "日", "<|", "|>", "1."], k=20))
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_archive_damage_is_located(spark):
     held = [("f1", i, f"record {i} " * 3) for i in range(400)] + [("f2", 1, None), (None, 2, ""), ("f1", 7, "again"), ("f2", None, "n")]
     lost = [r for r in held if r[1] != 33]
