@@ -85,15 +85,18 @@ def mix(
     source_col: str = "source",
     weights: Sequence[int] = (1, 2, 3),
     max_repeats: int = 3,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: size, source_size, target, taken and ``before``, the words of
-    its source that precede it in the shuffled order."""
+    its source that precede it in the shuffled order. Columns in ``keep`` are passed through
+    and break ties that doc_id and size leave; a key among them tells rows of one id apart."""
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), source_col), F.lit("null")).alias("key"),
         n_words(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("shuffle"),
+        *keep,
     )
     sizes = stage(sizes, "sizes")  # texts are read once
     plan = stage(targets(sizes, weights, max_repeats), "targets")
@@ -105,7 +108,7 @@ def mix(
     queued = prefix_sums(
         with_plan,
         "key",
-        ["shuffle", "doc_id", "size"],
+        ["shuffle", "doc_id", "size", *keep],
         F.expr("substring(shuffle, 1, digits)"),
         F.col("size"),
     )
@@ -120,7 +123,7 @@ def mix(
         F.lit(0),
     )
     return queued.select(
-        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "before", "shuffle"
+        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "before", "shuffle", *keep
     )
 
 

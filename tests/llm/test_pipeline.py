@@ -117,3 +117,22 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
                 # 1 and 2 are alike, 3 and 4 empty; rows without an id stay
                 assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 0, 1, 3, 5]
         assert docs.columns and (docs.count() > 0) == bool(data)
+
+
+def test_mix_takes_of_every_row_its_own_words(spark):
+    rows = [(None, f"n{i} " * (5 * i + 1), "en", ["a", "b", "c"][i % 3], 0) for i in range(24)]
+    rows += [(7, f"s{i} " * (40 if i % 2 else 3), "en", ["a", "b"][i % 2], 0) for i in range(6)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    made = pipeline.source_mix(spark, docs, "")
+    got = {}
+    for r in made.collect():
+        words = r.text.split()
+        assert r.n_chars == len(r.text) and len(set(words)) == 1
+        got[words[0]] = got.get(words[0], 0) + len(words)
+    size = {t.split()[0]: len(t.split()) for _, t, *_ in rows}
+    source = {t.split()[0]: s for _, t, _, s, _ in rows}
+    assert all(n <= 3 * size[w] for w, n in got.items())
+    targets = {r.source_size: r.target for r in pipeline.mixing.mix(docs).collect()}
+    for s in "abc":
+        total = sum(n for w, n in size.items() if source[w] == s)
+        assert abs(sum(n for w, n in got.items() if source[w] == s) - targets[total]) <= 1
