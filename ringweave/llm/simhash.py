@@ -68,17 +68,23 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as signed BIGINT."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, key_col: str | None = None
+) -> DataFrame:
+    """(doc_id, fp[, key_col]) with the fingerprint, and the key of the row, as signed BIGINT."""
+    keys = [key_col] if key_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.array([fingerprint(t.as_py() or b"", size) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *keys])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(k).cast("bigint") for k in keys)
+    )
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["doc_id", "fp", *keys]))
 
 
 def _grouped_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -223,10 +229,12 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame, most: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) from staged (doc_id, fp) rows."""
+    """(doc_id, fp, component_id, root) from staged (doc_id, fp) rows; further columns are kept.
+
+    ``root`` is a fingerprint that names the component, also where ids repeat or are null."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), most)).toDF("fp", "root")
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = labelled.join(firsts, "root").select("fp", "component_id")
+    names = labelled.join(firsts, "root").select("fp", "component_id", "root")
     return fps.join(names, "fp")

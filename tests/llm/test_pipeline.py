@@ -136,3 +136,10 @@ def test_mix_takes_of_every_row_its_own_words(spark):
     for s in "abc":
         total = sum(n for w, n in size.items() if source[w] == s)
         assert abs(sum(n for w, n in got.items() if source[w] == s) - targets[total]) <= 1
+
+
+def test_simhash_stage_judges_rows_of_one_id_by_their_texts(spark):
+    words = {w: " ".join(f"{w}{i}" for i in range(40)) for w in "pqr"}
+    rows = [(5, words["p"]), (5, words["q"]), (5, words["q"]), (2, words["r"]), (9, words["r"]), (9, words["p"])]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    assert sorted(_texts(pipeline.near_dedup(spark, docs, ""))) == [(2, words["r"]), (5, words["p"]), (5, words["q"])]
