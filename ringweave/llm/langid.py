@@ -1,8 +1,8 @@
 """Language identification by nearest centroid over hashed TF-IDF character n-grams.
 
 A text's vector counts its 1- to 3-byte grams (lower case, runs of other characters than
-letters as one blank), damped by logarithm, weighted by inverse document frequency and
-normalised. Each language has several centroids from spherical k-means over a bounded
+letters as one blank), damped by logarithm, weighted by inverse document frequency over all
+documents to learn from and normalised. Each language has several centroids from spherical k-means over a bounded
 sample, so that a language with different registers is not squeezed into one mean. The
 nearest centroid by cosine decides. ``reject_below`` turns a text away as ``und`` when even
 that cosine is smaller, which is distance-based rejection.
@@ -32,6 +32,8 @@ MAX_TRAIN = 1000
 #: Bytes of a text that one block of work takes.
 BLOCK = 1 << 18
 CENTROIDS, ROUNDS = 4, 6
+#: Tasks that add up the frequencies of the tasks that counted them; one array each to the driver.
+ADDERS = 16
 _BETWEEN = re.compile(r"[\W\d_]+")
 _ODD, _ODDER = np.uint32(2654435761), np.uint32(2246822519)
 
@@ -85,8 +87,9 @@ def _k_means(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model from (doc_id, text, lang) rows: ``max_train`` documents a language, chosen by
-    hash of their id, about. Only counts and centroids come to the driver."""
+    """A model from (doc_id, text, lang) rows: document frequencies of all of them, centroids of
+    ``max_train`` documents a language, chosen by hash of their id, about. Only counts and
+    centroids come to the driver."""
     usable = docs.where("lang is not null and text is not null and rlike(text, '\\\\p{L}')")
     spread = usable.select("lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     limits = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -97,10 +100,12 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     languages = sorted(limits)
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, SLOTS), np.float32), np.ones(SLOTS, np.float32), 0)
-    return _fit(sample, languages, limits)
+    return _fit(sample, languages, limits, _idf(usable.select("text")))
 
 
-def _fit(sample: DataFrame, languages: list[str], limits: dict[str, int]) -> Model:
+def _idf(texts: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all rows, added up in two steps."""
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
@@ -111,13 +116,24 @@ def _fit(sample: DataFrame, languages: list[str], limits: dict[str, int]) -> Mod
             [pa.array([seen.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["seen", "n"]
         )
 
-    rows = sample.select("text").mapInArrow(frequencies, "seen binary, n bigint")
-    total, n = np.zeros(SLOTS, np.int64), 0
-    for r in rows.toLocalIterator():
-        total += np.frombuffer(r["seen"], "<i8")
-        n += r["n"]
-    idf = (np.log((1.0 + n) / (1.0 + total)) + 1.0).astype(np.float32)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(SLOTS, np.int64), 0
+        for batch in batches:
+            for part, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen += np.frombuffer(part.as_py(), "<i8")
+                n += k
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([seen.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["seen", "n"]
+        )
+
+    kinds = "seen binary, n bigint"
+    rows = texts.mapInArrow(frequencies, kinds).repartition(ADDERS).mapInArrow(added, kinds).collect()
+    total = sum((np.frombuffer(r["seen"], "<i8") for r in rows), np.zeros(SLOTS, np.int64))
+    n = sum(r["n"] for r in rows)
+    return (np.log((1.0 + n) / (1.0 + total)) + 1.0).astype(np.float32)
+
 
+def _fit(sample: DataFrame, languages: list[str], limits: dict[str, int], idf: np.ndarray) -> Model:
     def cluster(group: pa.Table) -> pa.Table:
         ordered = group.sort_by([("h", "ascending"), ("text", "ascending")])
         vectors = np.array([vector(t.as_py(), idf) for t in ordered["text"]])

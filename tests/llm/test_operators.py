@@ -343,6 +343,16 @@ def test_language_of_odd_texts(spark, nothing):
     assert langid.predict(nothing, model).count() == 0
 
 
+def test_language_weights_cover_all_documents(spark):
+    rng = random.Random(12)
+    words = {"en": ["the", "house", "green"], "fr": ["le", "chat", "vert"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=3)), lang) for i in range(120) for lang in ["en" if i % 6 else "fr"]]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    seen = sum((langid.counts(t) > 0).astype(int) for _, t, _ in rows)
+    want = np.log((1.0 + len(rows)) / (1.0 + seen)) + 1.0
+    assert np.allclose(langid.train(data, max_train=10).idf, want)
+
+
 def test_grams_do_not_depend_on_blocks(monkeypatch):
     text = " ".join(passages(3))
     whole = langid.counts(text)
