@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.llm import langid, mixing, packing, simhash, substrings, suffixes, topk, toxicity, vectors, warc
+from ringweave.llm import (
+    langid,
+    mixing,
+    packing,
+    sharding,
+    simhash,
+    substrings,
+    suffixes,
+    topk,
+    toxicity,
+    vectors,
+    warc,
+)
 from ringweave.llm.common import stage
 from ringweave.session import prepare
 from ringweave.sources.tables import table
@@ -111,6 +123,12 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.cut(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's shard of 24 and its place there: a uniform shuffle with equal row counts."""
+    placed = sharding.shard(table(spark, sf, "documents"), 24)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -122,4 +140,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_sharding": op12_sharding,
 }
