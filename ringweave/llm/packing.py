@@ -77,6 +77,7 @@ class ChunkEncoder:
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if byte.keys() >= set(t)}
         special = "<|endoftext|>"
         ranks = {t: i for t, i in ranks.items() if t != special.encode()}
+        self.ranks = ranks
         self.encode = Encoding(
             "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary

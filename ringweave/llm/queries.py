@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.llm import (
+    alignment,
     langid,
     mixing,
     packing,
@@ -25,10 +26,10 @@ from ringweave.session import prepare
 from ringweave.sources.tables import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _remainder(by: int):
@@ -123,6 +124,12 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.cut(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """How the tokens of two tokenizers go together in every document, and how widely."""
+    docs = table(prepare(spark), sf, "documents")
+    return alignment.alignment(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's shard of 24 and its place there: a uniform shuffle with equal row counts."""
     placed = sharding.shard(table(spark, sf, "documents"), 24)
@@ -140,5 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
     "op12_sharding": op12_sharding,
 }
