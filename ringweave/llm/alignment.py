@@ -336,12 +336,12 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, **columns) -> DataFrame
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per document."""
     held = stage(index(docs, path_a, path_b, **columns), "index")
     postings = held.where("code is not null").select(
-        "container", "code", F.col("documents").alias("bitmap"), "planes", "n_documents", "links"
+        F.col("container").alias("of"), "code", F.col("documents").alias("bitmap"), "planes", "n_documents", "links"
     )
     scores = stage(pair_scores(postings), "scores").select(
         "code", F.col("documents").alias("score"), (F.col("documents") == F.col("best")).alias("is_best")
     )
-    returned = postings.select("container", "code", "bitmap", "planes").join(few(scores, FEW_PAIRS), "code").drop("code")
+    returned = postings.select("of", "code", "bitmap", "planes").join(few(scores, FEW_PAIRS), "code").drop("code")
     rows = held.where("row is not null").select("container", "row", *DOCUMENT, "groups_sha256")
     schema = ", ".join(f"{c} bigint" for c in [*DOCUMENT, "n_best", "count_sum"]) + ", groups_sha256 string"
-    return rows.groupBy("container").cogroup(returned.groupBy("container")).applyInArrow(_scored, schema)
+    return rows.groupBy("container").cogroup(returned.groupBy("of")).applyInArrow(_scored, schema)
