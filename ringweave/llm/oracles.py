@@ -88,4 +88,44 @@ SELECT doc_id, size, source_size, target,
 FROM queued
 """
 
-ORACLES = {"op3_substring_dedup": OP3, "op4_warc_fixity": OP4, "op6_exact_topk": OP6, "op9_mixing": OP9}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 :], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, (SELECT unnest([2, 3]) AS size), LATERAL (SELECT unnest(range(1, k - size + 2)) AS i)
+  WHERE k > size GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN inner_phrases USING (lang, phrase)
+  WHERE longer IS NULL OR longer::HUGEINT * 100 < s.a::HUGEINT * 80
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op3_substring_dedup": OP3,
+    "op4_warc_fixity": OP4,
+    "op6_exact_topk": OP6,
+    "op9_mixing": OP9,
+    "op13_phrases": OP13,
+}

@@ -12,6 +12,7 @@ from ringweave.llm import (
     langid,
     mixing,
     packing,
+    phrases,
     sharding,
     simhash,
     substrings,
@@ -136,6 +137,11 @@ def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2000 best phrases of every language that occur 30 times or more."""
+    return phrases.collocations(table(prepare(spark), sf, "documents"), least=30, longest=4, percent=80, keep=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -149,4 +155,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_alignment": op11_alignment,
     "op12_sharding": op12_sharding,
+    "op13_phrases": op13_phrases,
 }
