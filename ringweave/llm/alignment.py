@@ -318,7 +318,7 @@ def _scored(docs: pa.Table, postings: pa.Table) -> pa.Table:
     """The documents of a container with what its postings return to them."""
     n_best, count_sum = np.zeros(CONTAINER_ROWS, np.int64), np.zeros(CONTAINER_ROWS, np.int64)
     names = ["bitmap", "planes", "score", "is_best"]
-    for batch in postings.select(names).to_batches(max_chunksize=4096):
+    for batch in postings.select(names).to_batches(max_chunksize=4096) if postings.num_rows else ():
         for bitmap, planes, score, best in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             for times, rows in ((1, bitmap), *((1 << k, p) for k, p in enumerate(planes))):
                 at = unpacked(rows)

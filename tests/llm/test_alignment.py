@@ -135,6 +135,12 @@ def test_bitmaps_round_trip():
         assert alignment.unpacked(alignment.packed(numbers)).tolist() == numbers.tolist()
 
 
+def test_container_without_tokens(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(6)], "doc_id bigint, text string").coalesce(1)
+    rows = alignment.alignment(docs, *PATHS).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, 0, 0, 0, 0, 0, 0, "") for i in range(6)]
+
+
 def test_empty_table(spark):
     assert alignment.alignment(spark.createDataFrame([], "doc_id bigint, text string"), *PATHS).count() == 0
 
