@@ -46,6 +46,24 @@ def simhash_components(docs):
     return {d: (f"{fps[d]:016x}", union.find(d)) for d in ids}
 
 
+def shingle_components(texts, size=5, least=0.8):
+    """texts -> component number per text, over all pairs of which the shingle sets are alike."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    holders, union = defaultdict(list), Union()
+    for i, s in enumerate(sets):
+        for shingle in s:
+            holders[shingle].append(i)
+    for i, s in enumerate(sets):
+        shared = Counter(j for shingle in s for j in holders[shingle] if j < i)
+        for j, both in shared.items():
+            if both >= least * (len(s) + len(sets[j]) - both):
+                union.join(i, j)
+    return [union.find(i) for i in range(len(texts))]
+
+
 def _kept(words_or_bytes, covered):
     return [w for w, c in zip(words_or_bytes, covered, strict=True) if not c]
 

@@ -45,9 +45,11 @@ def test_toxicity_stage_rejects_by_score(stages, spark, sf):
     assert clean >= 0.95 * docs.join(labels, "doc_id").where("toxic = 0").count()
 
 
-def test_simhash_stage_keeps_one_of_each_component(stages):
+def test_simhash_stage_keeps_one_of_each_group_of_near_copies(stages):
     docs, made = stages["simhash_dedup"]
-    want = {c for _, c in brute.simhash_components(_texts(docs)).values()}
+    rows = _texts(docs)
+    roots = brute.shingle_components([t for _, t in rows])
+    want = [min(d for (d, _), r in zip(rows, roots, strict=True) if r == root) for root in set(roots)]
     assert sorted(d for d, _ in _texts(made)) == sorted(want)
 
 
@@ -114,11 +116,39 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
             if name == "toxicity":
                 assert docs.count() == len(data)
             if name == "simhash_dedup" and data:
-                # 1 and 2 are alike, 3 and 4 empty; rows without an id stay
-                assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 0, 1, 3, 5]
+                # 1 and 2 are alike; 3, 4 and a row without an id are empty
+                assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 3, 5]
         assert docs.columns and (docs.count() > 0) == bool(data)
 
 
+def test_columns_with_the_names_that_stages_use_pass_unchanged(spark, tmp_path):
+    names = ["_part", "_at", "_row", "n_bytes", "n_removed", "kept_sha256", "key", "root", "size", "taken", "_copy", "score"]
+    rows = [(i, f"text number {i} " * (i + 1), None, "s", 0, *(i * 100 + k for k in range(len(names)))) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, function in pipeline.STAGES[:-1]:
+        docs = stage(function(spark, docs, str(tmp_path)), name)
+        assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        for r in docs.collect():
+            assert [r[n] for n in names] == [r.doc_id * 100 + k for k in range(len(names))]
+
+
+def test_cut_copies_keep_their_lines(spark):
+    rows = [(1, "a  b\n\nc d\te\nf", "s1"), (2, "x " * 40, "s2")]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, source string"), "docs")
+    for r in pipeline.source_mix(spark, docs, "").where("doc_id = 1").collect():
+        assert rows[0][1].startswith(r.text)
+
+
+def test_packed_pieces_hold_their_ids(stages):
+    import zlib
+
+    docs, made = stages["packing"]
+    for r in made.select("length", "ids", "ids_crc32").collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_mix_takes_of_every_row_its_own_words(spark):
     rows = [(None, f"n{i} " * (5 * i + 1), "en", ["a", "b", "c"][i % 3], 0) for i in range(24)]
     rows += [(7, f"s{i} " * (40 if i % 2 else 3), "en", ["a", "b"][i % 2], 0) for i in range(6)]
