@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.functions.bits import require
+from ringweave.functions.bits import lit64, require, shl, shru
 
 PAIRS = list(combinations(range(6), 2))
 N_GATES = len(PAIRS)
@@ -76,6 +76,36 @@ def pack_word(gates: Column) -> Column:
     return F.unhex(F.regexp_replace(padded, *_SWAP_PAIRS))
 
 
+#: Gates that fit a BIGINT code.
+CODE_GATES = 15
+
+
+def word_code(gates: Column) -> Column:
+    """BIGINT of a word of at most fifteen gates that orders as the words themselves do.
+
+    Four bits per gate, gate+1 each, the first gate highest. A BIGINT minimum is aggregated
+    by hash; a minimum of arrays would sort.
+    """
+    digit = lambda g, i: shl((g + 1).cast("bigint"), 56 - i.cast("int") * 4)
+    code = F.aggregate(F.transform(gates, digit), lit64(0), lambda a, x: a + x)
+    return require(F.size(gates) <= CODE_GATES, code, "a word of more than fifteen gates has no code")
+
+
+def extend_code(code: Column, n_gates: Column, gate: Column) -> Column:
+    """Code of a word of ``n_gates`` gates with one more."""
+    longer = code.bitwiseOR(shl((gate + 1).cast("bigint"), 56 - n_gates * 4))
+    return require(n_gates < CODE_GATES, longer, "a word of more than fifteen gates has no code")
+
+
+def code_word(code: Column) -> Column:
+    """Inverse of ``word_code``."""
+    digits = F.transform(
+        F.sequence(F.lit(0), F.lit(CODE_GATES - 1)),
+        lambda i: (shru(code, 56 - i * 4).bitwiseAND(lit64(15)) - 1).cast("tinyint"),
+    )
+    return F.when(code.isNotNull(), F.filter(digits, lambda g: g >= 0))
+
+
 def unpack_word(packed: Column) -> Column:
     """Inverse of ``pack_word``."""
     codes = F.split(F.regexp_replace(F.hex(packed), *_SWAP_PAIRS), "")

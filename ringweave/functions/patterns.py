@@ -208,6 +208,26 @@ def transpose(p: Pattern) -> Pattern:
     return Pattern(flipped(p.ints), flipped(p.roots))
 
 
+def row_code(p: Pattern, row: int) -> Column:
+    """(int bits, sqrt2 bits) of one row as one number."""
+    line = lambda plane: shru(plane, row).bitwiseAND(lit64(ROW_MASKS[0]))
+    return shl(line(p.ints), 31).bitwiseOR(line(p.roots))
+
+
+def packed(p: Pattern) -> Column:
+    """Both planes as one DECIMAL that orders as (int_plane, sqrt2_plane) does.
+
+    A DECIMAL minimum is aggregated by hash; a minimum of structs would sort.
+    """
+    return p.ints.cast("decimal(38,0)") * F.lit(1 << 36) + p.roots
+
+
+def unpacked(value: Column) -> Pattern:
+    """Inverse of ``packed``."""
+    ints = F.call_function("div", value, F.lit(1 << 36)).cast("bigint")
+    return Pattern(ints, (value % F.lit(1 << 36)).cast("bigint"))
+
+
 def _row_codes(p: Pattern) -> Column:
     """Per row, (int bits, sqrt2 bits) as one number, the lesser of the row and its mod.
 

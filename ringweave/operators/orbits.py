@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import patterns
-from ringweave.functions.bits import pin
+from ringweave.functions.bits import let, pin
 from ringweave.functions.patterns import Pattern
 
 
+PAIRS = list(combinations(range(6), 2))
+
+
+def _swapped(order: tuple[int, ...]) -> int:
+    """Bits of the row pairs that an order puts the other way round."""
+    return sum(1 << i for i, (p, q) in enumerate(PAIRS) if order.index(p) > order.index(q))
+
+
+def distinct_orders(p: Pattern) -> Column:
+    """ARRAY of the row orders that give different patterns.
+
+    Orders of six rows that differ only in how equal rows are placed give one pattern; of
+    these the one that keeps equal rows in their order is listed. So what is listed
+    stands for the cosets of the rows' stabiliser, and nothing has to be compared afterwards.
+    """
+    rows = [patterns.row_code(p, r) for r in range(6)]
+    equal = F.lit(0)
+    for i, (r, s) in enumerate(PAIRS):
+        equal = equal.bitwiseOR(F.when(rows[r] == rows[s], 1 << i).otherwise(0))
+    table = ", ".join(f"named_struct('rows', array{o}, 'swapped', {_swapped(o)})" for o in patterns.ROW_ORDERS)
+    return let(
+        equal,
+        lambda e: F.transform(
+            F.filter(F.expr(f"array({table})"), lambda o: o["swapped"].bitwiseAND(e) == 0), lambda o: o["rows"]
+        ),
+    )
+
+
 def orbit(df: DataFrame, key: str, all_mods: bool = False) -> DataFrame:
     """(key, int_plane, sqrt2_plane): the distinct orbit members of each row's pattern.
 
-    Needs a unique ``key`` with int_plane and sqrt2_plane. Rows are first brought
-    to their lesser mod; the at most 720 distinct orders of those are the only
-    thing shuffled. Each of them then takes every mod of its non-empty rows, which
-    are distinct by construction.
+    Needs a unique ``key`` with int_plane and sqrt2_plane. Rows are first brought to their
+    lesser mod; ``distinct_orders`` of those are listed, and each takes every mod of its
+    non-empty rows. Members are distinct by construction, so nothing is shuffled.
 
     With ``all_mods`` false the mods of the unpermuted pattern are left out unless
     another row order gives them too, i.e. unless two rows agree up to a mod.
@@ -29,14 +58,10 @@ def orbit(df: DataFrame, key: str, all_mods: bool = False) -> DataFrame:
         pin(base.roots).alias("s0"),
         pin(F.size(F.array_distinct(patterns.orbit_key(Pattern.field()))) == 6).alias("all_differ"),
     )
-    orders = F.expr(f"array({', '.join(f'array{o}' for o in patterns.ROW_ORDERS)})")
     moved = patterns.permute_rows(Pattern(F.col("i0"), F.col("s0")), "order")
-    arranged = (
-        start.select("*", F.explode(orders).alias("order"))
-        .select(
-            key, "own", "i0", "s0", "all_differ", moved.ints.alias("i1"), moved.roots.alias("s1")
-        )
-        .distinct()
+    listed = start.select("*", F.explode(distinct_orders(Pattern(F.col("i0"), F.col("s0")))).alias("order"))
+    arranged = listed.select(
+        key, "own", "i0", "s0", "all_differ", pin(moved.ints).alias("i1"), pin(moved.roots).alias("s1")
     )
     live = patterns.live_rows(Pattern(F.col("i1"), F.col("s1")))
     masks = F.filter(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import gates, patterns
+from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 from ringweave.functions.patterns import Pattern
 from ringweave.operators.words import with_matrix, with_pattern
@@ -33,11 +34,10 @@ def build_targets(parsed: DataFrame, match: str = CASE) -> DataFrame:
         "case_num", patterns.case_num(Pattern.field())
     )
     keyed = with_case.where("case_num <> 0").withColumn("target_key", match_column(match))
-    return (
-        keyed.groupBy("target_key")
-        .agg(F.min(F.struct("int_plane", "sqrt2_plane", "case_num")).alias("p"))
-        .select("target_key", "p.*")
-    )
+    least = keyed.groupBy("target_key").agg(F.min(patterns.packed(Pattern.field())).alias("p"))
+    ints, roots = patterns.unpacked(F.col("p"))
+    planes = least.select("target_key", pin(ints).alias("int_plane"), pin(roots).alias("sqrt2_plane"))
+    return planes.withColumn("case_num", patterns.case_num(Pattern.field()))
 
 
 def _keys(targets: DataFrame, match: str) -> DataFrame:
@@ -52,20 +52,25 @@ def matching(rows: DataFrame, targets: DataFrame, match: str = CASE) -> DataFram
     return keyed.join(_keys(targets, match), "target_key", "left_semi")
 
 
-def witnesses(hits: DataFrame, t: int) -> DataFrame:
+def witnesses(hits: DataFrame, t: int, coded: bool = False) -> DataFrame:
     """One row per matched target: t, case_num and the least circuit.
 
-    Each map task first reduces its hits to one per target.
+    Each map task first reduces its hits to one per target. ``coded``: words have at most
+    fifteen gates, so that the least is found by their codes and without a sort.
     """
-    return (
-        hits.groupBy("target_key")
-        .agg(F.min(F.struct("gates", "case_num")).alias("w"))
-        .select(
-            F.lit(t).cast("int").alias("t"),
-            F.col("w.case_num").cast("int").alias("case_num"),
-            gates.word_text(F.col("w.gates")).alias("circuit"),
-            "target_key",
-        )
+    if coded:
+        word = gates.word_code(F.col("gates")).cast("decimal(38,0)") * 16 + F.col("case_num")
+        least = hits.groupBy("target_key").agg(F.min(word).alias("w"))
+        code = F.call_function("div", F.col("w"), F.lit(16)).cast("bigint")
+        w = least.select("target_key", gates.code_word(code).alias("gates"), (F.col("w") % 16).alias("case_num"))
+    else:
+        best = hits.groupBy("target_key").agg(F.min(F.struct("gates", "case_num")).alias("w"))
+        w = best.select("target_key", "w.*")
+    return w.select(
+        F.lit(t).cast("int").alias("t"),
+        F.col("case_num").cast("int").alias("case_num"),
+        gates.word_text(F.col("gates")).alias("circuit"),
+        "target_key",
     )
 
 

@@ -929,6 +929,11 @@ ORACLES["coset_filter"] = query(
     ),
     "SELECT legacy, k AS lde, case_num, count(*) AS n FROM tp GROUP BY 1, 2, 3",
 )
+ORACLES["coset_index"] = query(
+    CUSTOMER_WORDS,
+    """SELECT row_number() OVER (ORDER BY gates) - 1 AS idx, array_to_string(gates, ' ') AS circuit
+FROM (SELECT DISTINCT gates FROM customer_words WHERE gates[-1] <> 0)""",
+)
 NATION_WORDS = """
 nation_slots AS (
   SELECT c_nationkey, c_mktsegment AS slot, min(c_custkey) % 15 AS g FROM customer GROUP BY 1, 2),

@@ -22,7 +22,7 @@ from ringweave.operators import levels, lines, orbits, products, sets, targets
 from ringweave.operators.words import with_matrix, with_pattern
 from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
-from ringweave.session import materialise, prepare
+from ringweave.session import materialise, materialise_bucketed, prepare
 from ringweave.sources.lines import circuit_lines, csv_pattern_lines, pattern_lines
 from ringweave.sources.tables import customer_words, nation_words, order_words, table, user_month_words
 
@@ -643,7 +643,7 @@ def _order_classes(spark, sf) -> DataFrame:
     """Distinct classes of the order words, each with its least word."""
     prepare(spark)
     words = order_words(spark, sf).select("gates").distinct()
-    return levels.one_per_class(levels.with_key(with_matrix(words)))
+    return levels.one_per_class_of_words(levels.with_key(with_matrix(words)))
 
 
 def level_distinct(spark, sf):
@@ -673,10 +673,11 @@ def level_anti_prior(spark, sf):
     """Classes one gate away from a customer class that no customer has."""
     prepare(spark)
     words = customer_words(spark, sf).select("gates").distinct()
-    classes = levels.one_per_class(levels.with_key(with_matrix(words)))
-    # Used twice, and too costly to key twice.
-    current = materialise(classes, f"customer-classes-{uuid.uuid4().hex}")
-    fresh = with_pattern(levels.next_level(current, current))
+    classes = levels.one_per_class_of_words(levels.with_key(with_matrix(words)))
+    # Used twice, and too costly to key twice; in buckets, so that the anti join reads it where it lies.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    current = materialise_bucketed(classes, f"customer-classes-{uuid.uuid4().hex}", "canon_key", buckets)
+    fresh = with_pattern(levels.next_level_of_words(current, current))
     return fresh.groupBy("lde", "case_num").agg(F.count(F.lit(1)).alias("n")).select(
         *_long(lde=F.col("lde"), case_num=F.col("case_num"), n_classes=F.col("n"))
     )
@@ -719,7 +720,9 @@ def target_witness(spark, sf):
     rows = order_patterns(spark, sf).where(F.size("gates") > 0).select(
         F.size("gates").alias("t"), "case_num", "gates"
     )
-    best = rows.where("case_num <> 0").groupBy("t", "case_num").agg(F.min("gates").alias("gates"))
+    coded = rows.where("case_num <> 0").select("t", "case_num", gates.word_code(F.col("gates")).alias("code"))
+    best = coded.groupBy("t", "case_num").agg(F.min("code").alias("code"))
+    best = best.withColumn("gates", gates.code_word(F.col("code")))
     return best.select(
         *_long(t=F.col("t"), case_num=F.col("case_num")),
         gates.word_text(F.col("gates")).alias("circuit"),
@@ -773,6 +776,13 @@ def coset_filter(spark, sf):
     return out[0].unionByName(out[1])
 
 
+def coset_index(spark, sf):
+    """The coset generators of the customer words, numbered without gaps in the order of words."""
+    words = customer_words(spark, sf).select("gates").distinct().where(F.element_at("gates", -1) != 0)
+    numbered = sets.dense_index(words, ["gates"])
+    return numbered.select(F.col("idx").cast("bigint"), gates.word_text(F.col("gates")).alias("circuit"))
+
+
 def free_multiply(spark, sf):
     """Coset generators of the nations' words times the distinct customer words."""
     prepare(spark)
@@ -801,7 +811,7 @@ def search_from_customers(spark, sf):
     """Two levels of search from all customer classes at once, counted per level."""
     prepare(spark)
     words = customer_words(spark, sf).select("gates").distinct()
-    roots = levels.one_per_class(levels.with_key(with_matrix(words)))
+    roots = levels.one_per_class_of_words(levels.with_key(with_matrix(words)))
     result = search(spark, SearchConfig(target=2, stored=2), roots=roots)
     out = None
     for t, level in result.levels.items():
@@ -866,6 +876,7 @@ QUERIES = {
         set_difference,
         top_with_ties,
         coset_filter,
+        coset_index,
         free_multiply,
         search_first_level,
         search_from_customers,

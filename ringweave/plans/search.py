@@ -16,7 +16,7 @@ from ringweave.functions.matrices import Lanes, lanes_for
 from ringweave.operators import levels, products, targets as target_ops
 from ringweave.operators.words import with_pattern
 from ringweave.plans.config import EXPAND, PRODUCT, SearchConfig, parse_args
-from ringweave.session import discard, local_session, materialise, prepare
+from ringweave.session import discard, local_session, materialise, materialise_bucketed, prepare
 from ringweave.sources.lines import read_patterns
 from ringweave.sources.sinks import duration_text, observed, write_witnesses
 
@@ -60,6 +60,14 @@ def lanes_of(roots: DataFrame, more_gates: int) -> Lanes:
     return lanes
 
 
+def words_tell_all(roots: DataFrame, more_gates: int, lanes: Lanes) -> bool:
+    """Whether every root is the matrix of its word and words stay within a code's fifteen gates."""
+    longest = roots.agg(F.max(F.size("gates"))).first()[0] or 0
+    if longest + more_gates > gates.CODE_GATES:
+        return False
+    return roots.where(F.col("m") != matrices.apply_word("gates", lanes=lanes)).isEmpty()
+
+
 def root_level(spark: SparkSession, circuit: str, lanes: Lanes) -> DataFrame:
     """Level 0: the matrix of one circuit (the identity by default), with an empty word.
 
@@ -105,7 +113,13 @@ def search(
     else:
         current, lanes = roots, lanes_of(roots, config.target)
     run = f"search-{uuid.uuid4().hex}"
-    current = materialise(current, f"{run}/level=0")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def store(level: DataFrame, t: int) -> DataFrame:
+        return materialise_bucketed(level, f"{run}/level={t}", "canon_key", buckets)
+
+    current = store(current, 0)
+    coded = words_tell_all(current, config.target, lanes)
     result = SearchResult({0: current}, run=run)
 
     open_targets, n_open = None, 0
@@ -124,7 +138,7 @@ def search(
         if n_open == 0:
             return
         hits = target_ops.matching(rows, open_targets, config.match)
-        level_found = materialise(target_ops.witnesses(hits, t), f"{run}/found={t}")
+        level_found = materialise(target_ops.witnesses(hits, t, coded), f"{run}/found={t}")
         open_targets = target_ops.delete_matched(open_targets, level_found, config.match)
         # One row per deleted target, counted from the file footers.
         n_open -= level_found.count()
@@ -148,10 +162,9 @@ def search(
     for t in range(1, expanded + 1):
         started = time.time()
         seen = [d for d in (prior, None if single_root else current) if d is not None]
-        fresh, seen_rows = observed(
-            with_pattern(levels.next_level(current, *seen, lanes=lanes), lanes), f"level {t}"
-        )
-        level = materialise(fresh, f"{run}/level={t}")
+        step = levels.next_level_of_words if coded else levels.next_level
+        fresh, seen_rows = observed(with_pattern(step(current, *seen, lanes=lanes), lanes), f"level {t}")
+        level = store(fresh, t)
         record(level, t)
         if config.beyond == PRODUCT and t <= config.generating_sets:
             generators[t - 1] = step_generators(level, t, config.legacy_suffix)

@@ -80,8 +80,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``materialise`` into a catalog table of ``buckets`` buckets of ``key``.
+
+    Joins and aggregates on ``key`` read it where it lies, without another shuffle. What was
+    last shuffled by ``key`` into as many partitions is written as one file a bucket.
+    """
+    spark = df.sparkSession
+    table = f"ringweave_{name}".replace("/", "_").replace("=", "_").replace("-", "_")
+    writer = df.write.format("parquet").mode("overwrite")
+    writer.option("path", f"{checkpoint_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(spark: SparkSession, name: str) -> None:
-    """Delete what ``materialise`` wrote under a name prefix folder."""
+    """Delete what ``materialise`` wrote under a name prefix folder, and the tables in it."""
+    prefix = f"ringweave_{name}_".replace("/", "_").replace("=", "_").replace("-", "_")
+    for table in spark.catalog.listTables():
+        if table.name.startswith(prefix):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
