@@ -25,6 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ringweave.functions import ring
+from ringweave.functions.bits import let
 from ringweave.functions.gates import FIRST_ROWS, SECOND_ROWS
 
 
@@ -377,12 +378,16 @@ def from_planes(ints: str, roots: str, lanes: Lanes = NARROW) -> Column:
     )
 
 
-def text(m: str, lanes: Lanes = NARROW) -> Column:
-    """Six lines, entries in ``a,bee`` form separated by blanks."""
+def text(m: str, lanes: Lanes = NARROW, columns: str | None = None) -> Column:
+    """Six lines, entries in ``a,bee`` form separated by blanks.
+
+    ``columns``: an ARRAY<INT> of the columns to show, in that order; all of them by default.
+    Numbers that are no column show nothing.
+    """
     cells = F.transform(
         entries(m, lanes), lambda x: F.format_string("%d,%de%d", x["a"], x["b"], x["e"])
     )
-    row = lambda r: F.array_join(
-        F.filter(cells, lambda x, i: i % 6 == r), " "
-    )
-    return F.array_join(F.array(*[row(r) for r in range(6)]), "\n")
+    shown = F.expr(columns) if columns else F.sequence(F.lit(0), F.lit(5))
+    good = F.filter(shown, lambda c: (c >= 0) & (c < 6))
+    row = lambda cells, r: F.array_join(F.transform(good, lambda c: F.get(cells, c * 6 + r)), " ")
+    return let(cells, lambda all_cells: F.array_join(F.array(*[row(all_cells, r) for r in range(6)]), "\n"))

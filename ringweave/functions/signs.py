@@ -81,3 +81,56 @@ def line_order_key(cells: Column, signs: Column) -> Column:
         F.zip_with(cells, signs, times),
         lambda line: let(lead(line), lambda flip: F.transform(line, lambda c: ordered(c, flip))),
     )
+
+
+#: Pairs (row, column) in the order in which their signs are joined.
+_CELLS = [(r, c) for r in range(6) for c in range(6)]
+
+
+def propagated(cells: Column) -> Column:
+    """STRUCT<row_mask, col_mask, conflicts>: signs of rows and columns under which all entries are positive.
+
+    ``cells``: 36 signs (-1, 0, 1), row by row. Rows and columns are the nodes of a graph, nonzero
+    entries its edges: a positive one wants equal signs, a negative one unequal. A union-find with
+    parities takes the 36 edges once each, so it always ends: every node has the number of its part
+    (the least node in it, rows before columns) and a sign relative to it. An edge inside a part
+    that its parities contradict is a conflict and changes nothing. The least row of a part is
+    positive; columns without an entry stay unset. Conflicts are counted, and both lines of a
+    conflicting entry are marked so, as a mask's code.
+    """
+    nodes = F.sequence(F.lit(0), F.lit(11))
+    start = F.struct(
+        nodes.alias("part"), F.array_repeat(F.lit(1), 12).alias("sign"), F.array().cast("array<int>").alias("bad")
+    )
+
+    def join(s: Column, i: Column) -> Column:
+        row, col = F.call_function("div", i, F.lit(6)).cast("int"), (i % 6 + 6).cast("int")
+        want = F.get(cells, i).cast("int")
+        a, b = F.get(s["part"], row), F.get(s["part"], col)
+        now = F.get(s["sign"], row) * F.get(s["sign"], col)
+        low, high = F.least(a, b), F.greatest(a, b)
+        turn = now * want  # -1: the part that is joined is turned round
+        joined = F.struct(
+            F.transform(s["part"], lambda p: F.when(p == high, low).otherwise(p)).alias("part"),
+            F.zip_with(s["sign"], s["part"], lambda x, p: F.when(p == high, x * turn).otherwise(x)).alias("sign"),
+            s["bad"].alias("bad"),
+        )
+        clash = F.struct(s["part"].alias("part"), s["sign"].alias("sign"), F.concat(s["bad"], F.array(i)).alias("bad"))
+        return F.when(want == 0, s).when(a != b, joined).when(turn < 0, clash).otherwise(s)
+
+    def masks(s: Column) -> Column:
+        def of(first: int) -> Column:
+            out = F.lit(0)
+            for k in range(6):
+                node = first + k
+                hit = F.exists(s["bad"], lambda i: (F.call_function("div", i, F.lit(6)) if first == 0 else i % 6) == k)
+                alone = (F.get(s["part"], F.lit(node)) == node) & F.lit(first == 6)
+                sign = F.when(F.get(s["sign"], F.lit(node)) > 0, POSITIVE).otherwise(NEGATIVE)
+                code = F.when(hit, CONFLICT).when(alone, UNSET).otherwise(sign)
+                out = out.bitwiseOR(F.call_function("shiftleft", code, F.lit(2 * k)))
+            return out
+
+        return F.struct(of(0).alias("row_mask"), of(6).alias("col_mask"), F.size(s["bad"]).alias("conflicts"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(_CELLS) - 1)), start, join)
+    return let(found, masks)

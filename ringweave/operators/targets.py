@@ -9,6 +9,7 @@ from ringweave.functions import gates, patterns
 from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 from ringweave.functions.patterns import Pattern
+from ringweave.operators import blooms
 from ringweave.operators.words import with_matrix, with_pattern
 
 # What makes two targets the same target.
@@ -46,9 +47,18 @@ def _keys(targets: DataFrame, match: str) -> DataFrame:
     return F.broadcast(keys) if match == CASE else keys
 
 
-def matching(rows: DataFrame, targets: DataFrame, match: str = CASE) -> DataFrame:
-    """Rows whose pattern is an open target (left semi join). Adds ``target_key``."""
+def matching(rows: DataFrame, targets: DataFrame, match: str = CASE, n_targets: int | None = None) -> DataFrame:
+    """Rows whose pattern is an open target (left semi join). Adds ``target_key``.
+
+    With ``n_targets``, the number of open targets, orbit keys are first held against a Bloom
+    filter of the open ones where one of bounded size can be made, so that few of the other
+    rows reach the join's shuffle.
+    """
     keyed = rows.withColumn("target_key", match_column(match))
+    bits = blooms.size_for(n_targets) if match == ORBIT and n_targets is not None else None
+    if bits:
+        keyed = keyed.withColumn("target_key", pin(F.col("target_key")))
+        keyed = keyed.where(blooms.might_hold(blooms.build(targets, "target_key", bits), F.col("target_key"), bits))
     return keyed.join(_keys(targets, match), "target_key", "left_semi")
 
 

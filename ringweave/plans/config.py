@@ -60,6 +60,7 @@ def parse_args(argv: list[str] | None = None) -> SearchConfig:
     p.add_argument("-c", "--cases", action="store_true", help="do not record past the stored depth")
     p.add_argument("--match", choices=[CASE, ORBIT], default=CASE)
     p.add_argument("--beyond", choices=[EXPAND, FIRST_GATE, PRODUCT], default=EXPAND)
+    p.add_argument("--legacy-suffix", action="store_true", help="also drop coset words that end in gate 10")
     p.add_argument("--stop-when-done", action="store_true", help="stop once no target is open")
     # Spark decides parallelism and logging; accepted so that old command lines still run.
     p.add_argument("-n", "--threads", help="ignored: set spark.master or executor counts instead")
@@ -73,6 +74,7 @@ def parse_args(argv: list[str] | None = None) -> SearchConfig:
         root=a.root,
         match=a.match,
         beyond=a.beyond,
+        legacy_suffix=a.legacy_suffix,
         stop_when_done=a.stop_when_done,
         record_beyond=not a.cases,
     ).repaired()

@@ -687,6 +687,17 @@ ORACLES["matrix_text"] = query(
     ),
 )
 
+ORACLES["matrix_text_columns"] = query(
+    CUSTOMERS_P,
+    select(
+        "cp",
+        "o_custkey",
+        "array_to_string(list_transform(range(6), lambda r: array_to_string(list_transform("
+        "[(o_custkey + 4) % 6, o_custkey % 6, (o_custkey + 3) % 6],"
+        f" lambda c: {_cell_text('A[1 + 6 * c + r]', 'B[1 + 6 * c + r]')}), ' ')), chr(10)) AS grid",
+    ),
+)
+
 ORACLES["matrix_from_pattern"] = query(
     ORDERS_P,
     """SELECT DISTINCT int_plane AS ints, sqrt2_plane AS roots,
@@ -741,6 +752,52 @@ keyed AS (
     "SELECT o_custkey, string_agg(col::VARCHAR, ' ' ORDER BY key, col) AS columns FROM keyed GROUP BY 1",
 )
 
+ORACLES["column_order_signed"] = query(
+    CUSTOMERS_P
+    + ", "
+    + entry_cells("cp", "o_custkey", "cells")
+    + """,
+signed AS (
+  SELECT o_custkey, row, col, e, a * s AS a, b * s AS b FROM (
+    SELECT *, CASE WHEN row > 0 AND (o_custkey % 32) & (1 << (row - 1)::INT) <> 0 THEN -1 ELSE 1 END AS s FROM cells)),
+leads AS (
+  SELECT o_custkey, col, coalesce(arg_min(sign(a), row) FILTER (a <> 0), 1) AS flip FROM signed GROUP BY 1, 2),
+keyed AS (
+  SELECT o_custkey, col,
+         list([CAST(a = 0 AS BIGINT), CAST(-a * flip AS BIGINT), CAST(-b * flip AS BIGINT), -e] ORDER BY row) AS key
+  FROM signed JOIN leads USING (o_custkey, col) GROUP BY 1, 2)
+""",
+    """SELECT o_custkey,
+  '+' || array_to_string(list_transform(range(5), lambda i: CASE WHEN (o_custkey % 32) & (1 << i::INT) <> 0 THEN '-' ELSE '+' END), '') AS mask_text,
+  string_agg(col::VARCHAR, ' ' ORDER BY key, col) AS columns FROM keyed GROUP BY 1""",
+)
+
+# One edge a step: node r is row r, node 6 + c column c.
+ORACLES["sign_propagation"] = query(
+    CUSTOMERS_P
+    + ", "
+    + entry_cells("cp", "o_custkey", "cells")
+    + """,
+edges AS (SELECT o_custkey, row::INT * 6 + col::INT AS i, sign(a)::INT AS want FROM cells),
+joined AS (
+  SELECT DISTINCT o_custkey, -1 AS i, range(12) AS part, list_transform(range(12), lambda x: 1) AS signs, []::INT[] AS bad FROM edges
+  UNION ALL
+  SELECT o_custkey, i,
+    CASE WHEN want <> 0 AND a <> b THEN list_transform(part, lambda p: CASE WHEN p = greatest(a, b) THEN least(a, b) ELSE p END) ELSE part END,
+    CASE WHEN want <> 0 AND a <> b THEN list_transform(range(1, 13), lambda k: CASE WHEN part[k] = greatest(a, b) THEN signs[k] * now * want ELSE signs[k] END) ELSE signs END,
+    CASE WHEN want <> 0 AND a = b AND now * want < 0 THEN list_append(bad, i) ELSE bad END
+  FROM (
+    SELECT j.o_custkey, e.i, want, part, signs, bad, part[e.i // 6 + 1] AS a, part[e.i % 6 + 7] AS b,
+      signs[e.i // 6 + 1] * signs[e.i % 6 + 7] AS now
+    FROM joined j JOIN edges e ON e.o_custkey = j.o_custkey AND e.i = j.i + 1))
+""",
+    """SELECT o_custkey,
+  array_to_string(list_transform(range(6), lambda r: CASE WHEN len(list_filter(bad, lambda x: x // 6 = r)) > 0 THEN '¿' WHEN signs[r + 1] > 0 THEN '+' ELSE '-' END), '') AS rows,
+  array_to_string(list_transform(range(6), lambda c: CASE WHEN len(list_filter(bad, lambda x: x % 6 = c)) > 0 THEN '¿' WHEN part[c + 7] = c + 6 THEN '?' WHEN signs[c + 7] > 0 THEN '+' ELSE '-' END), '') AS columns,
+  len(bad)::BIGINT AS conflicts
+FROM joined WHERE i = 35""",
+)
+
 _SYMBOL = "CASE {c} WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '¿' ELSE '?' END"
 _MASK = "list_sum(list_transform(range(6), lambda c: code[c + 1] * (1 << (2 * c))))"
 _CODES = """
@@ -1007,3 +1064,5 @@ ORACLES["search_from_customers"] = query(
     """SELECT CAST(t AS BIGINT) AS t, k AS lde, case_num, count(*) AS n_classes
 FROM (SELECT t, k, case_num FROM lv1 UNION ALL SELECT t, k, case_num FROM lv2) GROUP BY 1, 2, 3""",
 )
+
+ORACLES["target_bloom_match"] = ORACLES["target_orbit_match"]

@@ -523,6 +523,13 @@ def matrix_text(spark, sf):
     return customer_matrices(spark, sf).select("o_custkey", matrices.text("m").alias("grid"))
 
 
+def matrix_text_columns(spark, sf):
+    """Three columns of each customer matrix, chosen and ordered by customer key."""
+    at = lambda k: f"cast((o_custkey + {k}) % 6 as int)"
+    shown = f"array({at(4)}, {at(0)}, {at(3)})"
+    return customer_matrices(spark, sf).select("o_custkey", matrices.text("m", columns=shown).alias("grid"))
+
+
 def matrix_from_pattern(spark, sf):
     """A matrix with each pattern of the order words, and the pattern it has itself."""
     distinct = order_patterns(spark, sf).select("int_plane", "sqrt2_plane").distinct()
@@ -576,6 +583,33 @@ def column_order(spark, sf):
     return rows.select("o_custkey", F.array_join(ordered, " ").alias("columns"))
 
 
+def column_order_signed(spark, sf):
+    """The same under one of the 32 choices of row signs, by customer key."""
+    choice = F.get(signs.row_choices(), (F.col("o_custkey") % 32).cast("int"))
+    rows = lines.with_cells(customer_matrices(spark, sf)).select(
+        "o_custkey", pin(lines.lines("cells", by_row=False)).alias("columns"), pin(choice).alias("mask")
+    )
+    keyed = F.transform(
+        "columns",
+        lambda col, i: F.struct(signs.line_order_key(col, signs.factors(F.col("mask"))).alias("key"), i.alias("c")),
+    )
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["c"].cast("string"))
+    return rows.select("o_custkey", signs.text(F.col("mask")).alias("mask_text"), F.array_join(ordered, " ").alias("columns"))
+
+
+def sign_propagation(spark, sf):
+    """Signs that make all entries of each customer matrix positive, and entries that forbid it."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.signum(F.get(F.col("cells"), (i % 6) * 6 + F.floor(i / 6))["a"]))
+    rows = lines.with_cells(customer_matrices(spark, sf)).select("o_custkey", pin(cells.cast("array<int>")).alias("s"))
+    found = rows.select("o_custkey", pin(signs.propagated(F.col("s"))).alias("p"))
+    return found.select(
+        "o_custkey",
+        signs.text(F.col("p.row_mask")).alias("rows"),
+        signs.text(F.col("p.col_mask")).alias("columns"),
+        *_long(conflicts=F.col("p.conflicts")),
+    )
+
+
 def sign_masks(spark, sf):
     """Column signs implied by a positive row 0, and the mask operations on them."""
     rows = lines.with_cells(customer_matrices(spark, sf)).select(
@@ -715,6 +749,14 @@ def target_orbit_match(spark, sf):
     )
 
 
+def target_bloom_match(spark, sf):
+    """``target_orbit_match`` with a Bloom filter of the open orbits before the join."""
+    open_targets = materialise(targets.build_targets(customer_patterns(spark, sf), targets.ORBIT), f"targets-{uuid.uuid4().hex}")
+    counted = order_patterns(spark, sf).groupBy("int_plane", "sqrt2_plane", "case_num").agg(F.count(F.lit(1)).alias("n"))
+    hits = targets.matching(counted, open_targets, targets.ORBIT, open_targets.count())
+    return hits.groupBy("case_num").agg(F.sum("n").alias("n")).select(*_long(case_num=F.col("case_num"), n_words=F.col("n")))
+
+
 def target_witness(spark, sf):
     """Least circuit of each length that reaches each case, over the order words."""
     rows = order_patterns(spark, sf).where(F.size("gates") > 0).select(
@@ -857,10 +899,13 @@ QUERIES = {
         matrix_square_long,
         matrix_transforms,
         matrix_text,
+        matrix_text_columns,
         matrix_from_pattern,
         line_classes,
         column_order,
+        column_order_signed,
         sign_masks,
+        sign_propagation,
         majority_votes,
         canonical_signatures,
         canonical_classes,
@@ -870,6 +915,7 @@ QUERIES = {
         target_load,
         target_semi_join,
         target_orbit_match,
+        target_bloom_match,
         target_witness,
         target_delete,
         circuit_delete,

@@ -137,7 +137,8 @@ def search(
             return
         if n_open == 0:
             return
-        hits = target_ops.matching(rows, open_targets, config.match)
+        # The filter is made anew for every level: it holds what is still open.
+        hits = target_ops.matching(rows, open_targets, config.match, n_open)
         level_found = materialise(target_ops.witnesses(hits, t, coded), f"{run}/found={t}")
         open_targets = target_ops.delete_matched(open_targets, level_found, config.match)
         # One row per deleted target, counted from the file footers.
