@@ -7,9 +7,9 @@ by the share of its parts' occurrences at the cut that explains it worst.
 Counts live in count transducers: acyclic automata over words whose arcs carry weights, the
 weight of the last arc of a phrase being its count. Every part of the input
 
-1. asks which of its words, then which of its word pairs, are frequent in the corpus (sums of
-   64-bit keys by range); a phrase with an infrequent word or pair is infrequent, so these are
-   left out. Keys that collide only keep more than needed.
+1. asks which of its words, then pairs, then triples are frequent in the corpus (sums of 48-bit
+   keys by range); a phrase with an infrequent one inside is infrequent, so these are left out
+   before longer ones are counted. Keys that collide only keep more than needed.
 2. sorts its phrases and builds transducers from them incrementally: when the next phrase
    leaves a path, the states behind are frozen, and equal ones become one state.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringweave.llm.common import few, partitions, stage
-from ringweave.llm.parts import among, mixed, parted, per_part, split_keys, told_keys
+from ringweave.llm.parts import among, mixed, parted, per_part
 
 #: Bytes of text whose phrases one range unites, about.
 RANGE_BYTES = 256 << 20
@@ -89,15 +89,42 @@ class Words(NamedTuple):
     def counts(self) -> np.ndarray:
         return np.bincount(self.numbers[self.numbers >= 0], minlength=len(self.known))
 
-    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where two frequent words stand together, and the pair's number there."""
-        good = np.append(frequent, False)[self.numbers]  # -1 takes the last
-        at = np.flatnonzero(good[:-1] & good[1:])
-        return at, self.numbers[at] * len(self.known) + self.numbers[at + 1]
+    def grams(self, told: list[np.ndarray]) -> Iterator[Grams]:
+        """Phrases of one word, two, ...: one length more than ``told`` has sorted keys, each of
+        frequent phrases only in what is inside it (and the last of all lengths before)."""
+        good = np.append(among(_keys(self.hashes), told[0]), False)[self.numbers] if told else self.numbers >= 0
+        place = np.flatnonzero(good)
+        code = self.numbers[place]
+        hashes = self.hashes
+        every, where = np.unique(code, return_inverse=True)
+        yield Grams(place, where, None, every, hashes[every])
+        for length in range(2, len(told) + 2):
+            if length > 2:  # phrases of the last length whose key is frequent
+                kept = among(_keys(hashes), told[length - 2])[where]
+                good = np.zeros(len(self.numbers), bool)
+                good[place[kept]] = True
+                place, where = place[kept], where[kept]
+            more = good[np.minimum(place + 1, len(good) - 1)] & (place + 1 < len(good))
+            place, where = place[more], where[more]
+            last = self.numbers[place + length - 1]
+            codes, inverse = np.unique(where * len(self.known) + last, return_inverse=True)
+            before, word = np.divmod(codes, max(1, len(self.known)))
+            hashes, where = _extended(hashes[before] if length > 2 else self.hashes[every][before], self.hashes[word]), inverse
+            yield Grams(place, where, before, word, hashes)
+
+
+class Grams(NamedTuple):
+    """Phrases of one length: where they start, which one stands there, and of every distinct one
+    the phrase without its last word, that word, and a hash."""
+
+    place: np.ndarray
+    which: np.ndarray
+    before: np.ndarray | None
+    word: np.ndarray
+    hashes: np.ndarray
 
-    def pair_hashes(self, pairs: np.ndarray) -> np.ndarray:
-        first, second = np.divmod(pairs, max(1, len(self.known)))
-        return _extended(self.hashes[first], self.hashes[second])
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.which, minlength=len(self.word))
 
 
 def _word_hashes(words: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -117,49 +144,77 @@ def _range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(edges, hashes, side="right")
 
 
-# --- counting which words and pairs are frequent, by 64-bit keys
+# --- counting which phrases are frequent, by 48-bit keys
 
-COUNTED = "range int, _part bigint, keys binary, counts binary"
+COUNTED = "range int, _part bigint, counted binary"
 
 
-def _counted(part: int, keys: np.ndarray, counts: np.ndarray, n: int) -> pa.Table:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    cuts = split_keys(keys, n)
-    spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    return pa.Table.from_arrays(
-        [
-            pa.array([i for i, _, _ in spans], pa.int32()),
-            pa.array([part] * len(spans), pa.int64()),
-            pa.array([keys[a:b].astype("<u8").tobytes() for _, a, b in spans], pa.binary()),
-            pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in spans], pa.binary()),
-        ],
-        ["range", "_part", "keys", "counts"],
-    )
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(16)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, so that high bytes that are zero take no room."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _sorted_blob(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _sorted_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(blob), dtype=np.uint64)
+
 
+def _counted(part: int, grams: Grams | None, n: int) -> pa.Table:
+    """What a part asks: sorted keys and their counts, cut into ``n`` ranges."""
+    out: list[tuple[int, int, bytes]] = []
+    if grams is not None and len(grams.word):
+        order = np.argsort(grams.hashes)
+        hashes, counts = grams.hashes[order], grams.counts()[order]
+        numbers = _range_of(hashes, n)
+        cuts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(numbers)], strict=True):
+            keys, starts = np.unique(_keys(hashes[a:b]), return_index=True)
+            blob, sums = _sorted_blob(keys), np.add.reduceat(counts[a:b], starts).astype(np.uint64)
+            out.append((int(numbers[a]), part, len(blob).to_bytes(8, "little") + blob + _planes(sums)))
+    kinds = {"range": pa.int32(), "_part": pa.int64(), "counted": pa.binary()}
+    return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(kinds.items())})
 
-def _frequent(counted: DataFrame, least: int, n: int) -> DataFrame:
+
+def _frequent(counted: DataFrame, least: int, kind: int) -> DataFrame:
     """(_part, kind, keys): which of its keys are held ``least`` times by all parts together."""
 
-    def judge(key: tuple, rows: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()]
-        counts = [np.frombuffer(c, "<u4") for c in rows["counts"].to_pylist()]
+    def judge(rows: pa.Table) -> pa.Table:
+        lists, counts = [], []
+        for blob in rows["counted"].to_pylist():
+            end = 8 + int.from_bytes(blob[:8], "little")
+            lists.append(_sorted_keys(blob[8:end]))
+            counts.append(_from_planes(blob[end:]))
         every, where = np.unique(np.concatenate(lists), return_inverse=True)
         sums = np.bincount(where, weights=np.concatenate(counts), minlength=len(every))
         good = (sums >= least)[where]
         ends = np.cumsum([len(k) for k in lists])[:-1]
-        told = [k[g].tobytes() for k, g in zip(lists, np.split(good, ends), strict=True)]
-        return pa.table(
-            {
-                "_part": rows["_part"].combine_chunks(),
-                "kind": pa.array([1] * len(told), pa.int32()),
-                "keys": pa.array(told, pa.binary()),
-            }
-        )
+        told = [_sorted_blob(k[g]) for k, g in zip(lists, np.split(good, ends), strict=True)]
+        kinds = pa.array([kind] * len(told), pa.int32())
+        return pa.table({"_part": rows["_part"].combine_chunks(), "kind": kinds, "keys": pa.array(told, pa.binary())})
 
     return counted.groupBy("range").applyInArrow(judge, "_part bigint, kind int, keys binary")
 
 
+def _told(answers: pa.Table, lengths: int) -> list[np.ndarray]:
+    """Sorted frequent keys of a part for phrases of one word, two, ..."""
+    lists: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(lengths)]
+    if answers.num_rows:
+        for kind, blob in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), strict=True):
+            lists[kind - 1].append(_sorted_keys(blob))
+    return [np.sort(np.concatenate(x)) for x in lists]
+
+
 # --- transducers
 
 
@@ -316,69 +371,53 @@ def _owners(parts: list[tuple[bytes, ...]], n: int) -> np.ndarray:
 # --- a part's transducers
 
 
-def _part_transducers(words: Words, pair_keys: np.ndarray, word_keys: np.ndarray, longest: int, n: int) -> Iterator[tuple[int, bytes]]:
+def _part_transducers(words: Words, told: list[np.ndarray], longest: int, n: int) -> Iterator[tuple[int, bytes]]:
     """(range, transducer) of the phrases of a part that may be frequent."""
     known = words.known
-    frequent = among(words.hashes, word_keys)
-    order = sorted(np.flatnonzero(frequent).tolist(), key=known.__getitem__)
+    levels = list(words.grams(told))[:longest]
+    order = sorted(levels[0].word.tolist(), key=known.__getitem__)
     langs = sorted({lang for lang, _ in known})
     # Labels sort as (language, word) do, and languages come first.
     lang_label = {lang: i for i, lang in enumerate(langs)}
     names = langs + [known[i][1] for i in order]
-    label = np.full(len(known) + 1, -1, np.int64)
+    label = np.full(len(known), -1, np.int64)
     label[order] = np.arange(len(order)) + len(langs)
-    lang_of = np.array([lang_label[known[i][0]] for i in order], np.int64)
-
-    counts = words.counts()
-    width = len(names)
-    hashes = words.hashes[order]
-    # Per length: the last word of every phrase, its prefix among the shorter ones, and its count.
-    labels = [np.arange(len(order)) + len(langs)]
-    prefix, numbers, owner = [None], [counts[order]], [hashes]
-    at, pairs = words.pairs(frequent)
-    every, where = np.unique(pairs, return_inverse=True)
-    good = among(words.pair_hashes(every), pair_keys)[where] if len(every) else np.zeros(0, bool)
-    starts = np.zeros(len(words.numbers), bool)
-    starts[at[good]] = True
-    place, of = at[good], label[words.numbers[at[good]]] - len(langs)
-    for k in range(1, longest):
-        if k > 1:
-            more = starts[place + k - 1]
-            place, of = place[more], of[more]
-        last = label[words.numbers[place + k]]
-        keys, of, times = np.unique(of * width + last, return_inverse=True, return_counts=True)
-        before, own = np.divmod(keys, width)
-        prefix.append(before)
-        labels.append(own)
-        numbers.append(times)
-        owner.append(owner[-1][before] if k > 2 else _extended(owner[-1][before], hashes[own - len(langs)]))
-    # All phrases as rows of labels, sorted by range and then as phrases.
-    total = sum(map(len, labels))
-    rows = np.full((total, longest + 1), -1, np.int64)
-    start, whole = 0, None
-    for k in range(longest):
-        end = start + len(labels[k])
+
+    of_lang = np.bincount(
+        [lang_label[lang] for lang, _ in known],
+        weights=np.bincount(words.numbers[words.numbers >= 0], minlength=len(known)),
+        minlength=len(langs),
+    ).astype(np.int64)
+    rows = np.full((len(langs), longest + 1), -1, np.int64)
+    rows[:, 0] = np.arange(len(langs))
+    tables, weights, hashes = [rows], [of_lang], [_word_hashes([(lang, b"") for lang in langs])]
+    owner = np.zeros(0, np.uint64)
+    for k, level in enumerate(levels):
         if k == 0:
-            rows[start:end, 0] = lang_of
+            rows = np.full((len(level.word), longest + 1), -1, np.int64)
+            rows[:, 0] = [lang_label[known[i][0]] for i in level.word.tolist()]
         else:
-            rows[start:end, : k + 1] = whole[prefix[k], : k + 1]
-        rows[start:end, k + 1] = labels[k]
-        whole, start = rows[start:end], end
-    of_lang = np.bincount([lang_label[lang] for lang, _ in known], weights=counts, minlength=len(langs)).astype(np.int64)
-    alone = np.full((len(langs), longest + 1), -1, np.int64)
-    alone[:, 0] = np.arange(len(langs))
-    rows = np.concatenate([alone, rows])
-    weight = np.concatenate([of_lang, *numbers])
-    ranges = _range_of(np.concatenate([_word_hashes([(lang, b"") for lang in langs]), *owner]), n)
+            rows = tables[-1][level.before]
+        rows[:, k + 1] = label[level.word]
+        owner = owner[level.before] if k > 2 else level.hashes  # by the first three words
+        tables.append(rows)
+        weights.append(level.counts())
+        hashes.append(owner)
+    rows, weight = np.concatenate(tables), np.concatenate(weights)
+    # Of a length that was asked about, what is infrequent goes; it was needed to number longer ones.
+    kept = [np.ones(len(langs), bool)]
+    for k, level in enumerate(levels):
+        kept.append(among(_keys(level.hashes), told[k]) if k < len(told) else np.ones(len(level.word), bool))
+    some = np.flatnonzero(np.concatenate(kept) & (weight > 0))
+    rows, weight, ranges = rows[some], weight[some], _range_of(np.concatenate(hashes)[some], n)
     order = np.lexsort((*rows.T[::-1], ranges))
     rows, weight, ranges = rows[order], weight[order], ranges[order]
     sizes = (rows >= 0).sum(axis=1)
     edges = np.concatenate([np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])), [len(ranges)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if len(ranges) else ():
         builder = Builder()
         for phrase, size, times in zip(map(tuple, rows[a:b].tolist()), sizes[a:b].tolist(), weight[a:b].tolist(), strict=True):
-            if times:
-                builder.add(phrase[:size], times)
+            builder.add(phrase[:size], times)
         yield int(ranges[a]), builder.encoded(names)
 
 
@@ -427,34 +466,25 @@ def candidates(
     spark = docs.sparkSession
     size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(partitions(spark), -(-size // RANGE_BYTES))
-    none = np.zeros(0, np.uint64)
-
-    def told(answers: pa.Table, kind: int = 1) -> np.ndarray:
-        return told_keys(answers, kind) if answers.num_rows else none
-
-    def ask_words(rows: pa.Table) -> pa.Table:
-        words = Words.of(rows)
-        return _counted(rows["_part"][0].as_py(), words.hashes, words.counts(), n)
-
-    word_keys = stage(_frequent(per_part(parts, ask_words, COUNTED), least, n), "words")
+    told = None
+    for length in range(1, longest):
 
-    def ask_pairs(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _counted(0, none, none.astype(np.int64), n)
-        words = Words.of(rows)
-        pairs, counts = np.unique(words.pairs(among(words.hashes, told(answers)))[1], return_counts=True)
-        return _counted(rows["_part"][0].as_py(), words.pair_hashes(pairs), counts, n)
+        def ask(rows: pa.Table, answers: pa.Table | None = None, length: int = length) -> pa.Table:
+            if not rows.num_rows:
+                return _counted(0, None, n)
+            known = _told(answers, length - 1) if answers is not None else []
+            return _counted(rows["_part"][0].as_py(), list(Words.of(rows).grams(known))[-1], n)
 
-    pair_keys = stage(_frequent(per_part(parts, ask_pairs, COUNTED, word_keys), least, n), "pairs")
-    both = word_keys.union(pair_keys.withColumn("kind", F.lit(2)))
+        found = stage(_frequent(per_part(parts, ask, COUNTED, told), least, length), "frequent")
+        told = found if told is None else told.union(found)
 
     def build(rows: pa.Table, answers: pa.Table) -> pa.Table:
         made = []
         if rows.num_rows:
-            made = list(_part_transducers(Words.of(rows), told(answers, 2), told(answers, 1), longest, n))
+            made = list(_part_transducers(Words.of(rows), _told(answers, longest - 1), longest, n))
         return pa.table({"range": pa.array([r for r, _ in made], pa.int32()), "blob": pa.array([b for _, b in made], pa.binary())})
 
-    counted = per_part(parts, build, "range int, blob binary", both)
+    counted = per_part(parts, build, "range int, blob binary", told)
 
     def unite(rows: pa.Table) -> pa.Table:
         own = rows["range"][0].as_py()
