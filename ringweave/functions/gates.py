@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.functions.bits import lit64, require, shl, shru
+from ringweave.functions.bits import let, lit64, require, shl, shr, shru
 
 PAIRS = list(combinations(range(6), 2))
 N_GATES = len(PAIRS)
@@ -62,6 +62,33 @@ def append(gates: Column, gate: Column) -> Column:
     return F.array_append(gates, gate.cast("tinyint"))
 
 
+# Bit h of entry g: gates g and h share a row, so their order matters.
+_BOUND = [sum(1 << h for h, q in enumerate(PAIRS) if set(p) & set(q)) for p in PAIRS]
+
+
+def normal_word(gates: Column) -> Column:
+    """The least word that swaps of neighbouring gates on different rows make of ``gates``.
+
+    Such gates commute, so words with one normal form have one matrix. Gates are put in one
+    after the other: each goes left past gates it commutes with, to before the first greater one.
+    """
+    bound = F.array(*[F.lit(b) for b in _BOUND])
+
+    def put(word: Column, gate: Column) -> Column:
+        def place(wall: Column) -> Column:
+            ends = F.transform(word, lambda h, i: F.when((i > wall) & (h > gate), i).otherwise(F.size(word)))
+            return let(
+                F.coalesce(F.array_min(ends), F.lit(0)),
+                lambda at: F.concat(F.slice(word, 1, at), F.array(gate), F.slice(word, at + 1, F.size(word) - at)),
+            )
+
+        mask = F.get(bound, gate.cast("int"))
+        walls = F.transform(word, lambda h, i: F.when(shr(mask, h.cast("int")).bitwiseAND(F.lit(1)) == 1, i).otherwise(-1))
+        return let(F.coalesce(F.array_max(walls), F.lit(-1)), place)
+
+    return F.aggregate(gates, F.array().cast("array<tinyint>"), put)
+
+
 # Codes 1..15 of the gates as hexadecimal digits.
 _DIGITS = "123456789ABCDEF"
 _SWAP_PAIRS = ("(.)(.)", "$2$1")

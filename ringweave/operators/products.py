@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringweave.functions import matrices, ring
+from ringweave.functions import gates, matrices, ring
 from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
+from ringweave.operators.levels import rebalance
 from ringweave.session import materialise
 
 
@@ -90,6 +91,59 @@ def generator_edges(generators: DataFrame) -> DataFrame:
     )
 
 
+def generator_graph(generators: DataFrame) -> DataFrame:
+    """The prefix tree of words with how many words each stands for: node, gate, child, whole, n.
+
+    ``generators`` has gates and n. Words are brought to their normal form, so words that
+    differ by swaps of commuting gates are one path; ``n`` of a whole word adds up theirs.
+    """
+    normal = generators.select(pin(gates.normal_word(F.col("gates"))).alias("gates"), "n")
+    merged = normal.groupBy("gates").agg(F.sum("n").alias("n"))
+    prefix = lambda n: F.array_join(F.slice(F.col("gates").cast("array<string>"), F.lit(1), n), " ")
+    last = F.col("at") + 1 == F.size("gates")
+    return (
+        merged.select("gates", "n", F.posexplode("gates").alias("at", "gate"))
+        .groupBy(prefix(F.col("at")).alias("node"), "gate", prefix(F.col("at") + 1).alias("child"))
+        .agg(
+            F.max(last).alias("whole"),
+            F.sum(F.when(last, F.col("n")).otherwise(0)).alias("n"),
+            F.max(F.col("at") + 1).alias("depth"),
+            F.max(F.size("gates")).alias("reach"),
+        )
+    )
+
+
+def counted_products(stored: DataFrame, generators: DataFrame, lanes: Lanes = NARROW) -> tuple[DataFrame, list[int]]:
+    """(m, n): the matrices of all products generator * stored with how many pairs give each,
+    and the rows that every step of the walk had.
+
+    ``stored`` has m and n, ``generators`` gates and n, each row standing for ``n`` of its kind.
+    The walk is that of ``free_multiply``, over normal forms. Rows are (matrix, node, n): equal
+    ones are one before the walk begins and whole products are added up per matrix after every
+    step, so that what is kept is bounded by the distinct matrices, not by the pairs.
+    """
+    edges = materialise(generator_graph(generators), f"edges-{uuid.uuid4().hex}")
+    reach = edges.agg(F.max("reach")).first()[0]
+    if reach is None:
+        raise ValueError("the generating set is empty")
+    rows = stored.groupBy("m").agg(F.sum("n").alias("n")).select("m", "n", pin(F.lit("")).alias("node"))
+    rows, made, steps = materialise(rows, f"products-{uuid.uuid4().hex}"), None, []
+    n_rows = rows.count()
+    for step in range(1, reach + 1):
+        own = edges.where(F.col("depth") == step).select("node", "gate", "child", "whole", F.col("n").alias("words"))
+        spread = rebalance(rows, n_rows)
+        stepped = spread.join(own, "node").select(
+            pin(matrices.apply_gate("m", "gate", lanes)).alias("m"), "n", F.col("child").alias("node"), "whole", "words"
+        )
+        rows = materialise(stepped, f"products-{uuid.uuid4().hex}")
+        n_rows = rows.count()
+        steps.append(n_rows)
+        whole = rows.where("whole").groupBy("m").agg(F.sum(F.col("n") * F.col("words")).alias("n"))
+        made = whole if made is None else made.unionByName(whole)
+        rows = rows.select("m", "n", "node")
+    return made.groupBy("m").agg(F.sum("n").alias("n")), steps
+
+
 def free_multiply(stored: DataFrame, generators: DataFrame, lanes: Lanes = NARROW) -> DataFrame:
     """All products generator * stored, by walking the generators' prefix tree.
 
@@ -104,10 +158,9 @@ def free_multiply(stored: DataFrame, generators: DataFrame, lanes: Lanes = NARRO
     if reach[0] is None:
         raise ValueError("the generating set is empty")
     longest, shortest = reach
-    # Few bytes per row but much work on each: spread by core count before the fan-out.
-    spread = stored.sparkSession.sparkContext.defaultParallelism
+    # Few bytes per row but much work on each: spread before the fan-out.
     # Pinned, or the literal node turns the first step into a join without a key.
-    rows = stored.select("gates", "m").repartition(spread).withColumn("node", pin(F.lit("")))
+    rows = rebalance(stored.select("gates", "m"), 0).withColumn("node", pin(F.lit("")))
     made = None
     for step in range(1, longest + 1):
         rows = rows.join(edges.select("node", "gate", "child", "whole"), "node").select(

@@ -997,7 +997,7 @@ nation_slots AS (
 nation_words AS (
   SELECT c_nationkey, list(g ORDER BY slot) AS gates FROM nation_slots GROUP BY 1)
 """
-ORACLES["free_multiply"] = query(
+ORACLES["free_multiply_customers"] = query(
     NATION_WORDS
     + ","
     + patterned(
@@ -1016,6 +1016,25 @@ ORACLES["free_multiply"] = query(
 )
 
 
+ORACLES["free_multiply"] = query(
+    NATION_WORDS
+    + ","
+    + patterned(
+        "made",
+        ORDER_WORDS
+        + """, made AS (
+  SELECT list_concat(s.gates, g.gates, [0]) AS gates
+  FROM (SELECT DISTINCT gates FROM nation_words) s
+  CROSS JOIN (SELECT DISTINCT gates FROM order_words WHERE gates[-1] <> 0) g)""",
+        "1 AS one",
+        "fp",
+    ).replace("SELECT 1 AS one, gates, i + 1", "SELECT one, gates, i + 1").replace(
+        "SELECT 1 AS one, gates, CAST", "SELECT one, gates, CAST"
+    ),
+    "SELECT k AS lde, case_num, count(*) AS n FROM fp GROUP BY 1, 2",
+)
+
+
 def searched(start: str, depth: int) -> str:
     """CTEs lv1..lv<depth> (t, gates, k, A, B, case_num, key): one matrix per class that
     is reached first by that many gates from those of lv0, a CTE with gates, k, A, B, key."""

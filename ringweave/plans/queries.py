@@ -826,7 +826,23 @@ def coset_index(spark, sf):
 
 
 def free_multiply(spark, sf):
-    """Coset generators of the nations' words times the distinct customer words."""
+    """Coset generators of all order words, whatever their length, times the nations' words.
+
+    Both sides grow with no more than their tables: the generators with orders, the stored side
+    with the nations. Order words times customer words would grow with the square.
+    """
+    prepare(spark)
+    words = order_words(spark, sf).select("gates").distinct().where(F.element_at("gates", -1) != 0)
+    generators = words.select(gates.append(F.col("gates"), F.lit(0)).alias("gates"), F.lit(1).cast("bigint").alias("n"))
+    stored = with_matrix(nation_words(spark, sf).select("gates").distinct()).select("m", F.lit(1).cast("bigint").alias("n"))
+    made, _ = products.counted_products(stored, generators)
+    return with_pattern(made).groupBy("lde", "case_num").agg(F.sum("n").alias("n")).select(
+        *_long(lde=F.col("lde"), case_num=F.col("case_num"), n=F.col("n"))
+    )
+
+
+def free_multiply_customers(spark, sf):
+    """Coset generators of the nations' words times the distinct customer words, each product with its word."""
     prepare(spark)
     generators = levels.coset_generators(with_matrix(nation_words(spark, sf).select("gates").distinct()))
     stored = with_matrix(customer_words(spark, sf).select("gates").distinct())
@@ -924,6 +940,7 @@ QUERIES = {
         coset_filter,
         coset_index,
         free_multiply,
+        free_multiply_customers,
         search_first_level,
         search_from_customers,
     )
