@@ -41,15 +41,15 @@ FROM placed WHERE page_id % 211 = 5 OR page_id % 97 = 13 OR page_id % 131 = 7
 
 OP6 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.row AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id,
     list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.q) = len(b.q)
 ), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10

@@ -95,7 +95,10 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best other vectors of every hundredth vector by integer inner product."""
-    rows = table(prepare(spark), sf, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    rows = table(prepare(spark), sf, "embeddings").select(
+        F.monotonically_increasing_id().alias("row"), "vec_id", topk.quantized(F.col("embedding")).alias("v")
+    )
+    rows = stage(rows, "quantized")
     asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return topk.top_k(rows, asked, 10)
 

@@ -37,18 +37,20 @@ def quantized(vector: Column, scale: int = 1024) -> Column:
     )
 
 
-def _tile(queries: list, candidates: list, k: int) -> list[tuple[int, int, int]]:
-    candidates.sort(key=lambda r: r[0])
-    ids = np.array([r[0] for r in candidates], np.int64)
-    vectors = np.array([r[1] for r in candidates], np.int64).reshape(len(candidates), -1)
-    asked = np.array([r[1] for r in queries], np.int64).reshape(len(queries), -1)
+def _tile(queries: list, candidates: list, k: int) -> list[tuple[int, int, int, int]]:
+    """(row of the query, its id, id of the candidate, score); both sides are (row, id, vector)."""
+    candidates.sort(key=lambda r: r[1])
+    ids = np.array([r[1] for r in candidates], np.int64)
+    rows = np.array([r[0] for r in candidates], np.int64)
+    vectors = np.array([r[2] for r in candidates], np.int64).reshape(len(candidates), -1)
+    asked = np.array([r[2] for r in queries], np.int64).reshape(len(queries), -1)
     # Products and sums below 2^53 are exact in double precision; beyond it, use integers.
     bound = float(np.abs(asked).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
     kind = np.float64 if bound < 2.0**53 else np.int64
     scores = (asked.astype(kind) @ vectors.astype(kind).T).astype(np.int64)
     out = []
-    for (query, _), row in zip(queries, scores, strict=True):
-        others = np.flatnonzero(ids != query)
+    for (query_row, query, _), row in zip(queries, scores, strict=True):
+        others = np.flatnonzero(rows != query_row)
         row = row[others]
         if len(row) > k:
             worst = np.partition(row, len(row) - k)[len(row) - k]
@@ -57,31 +59,35 @@ def _tile(queries: list, candidates: list, k: int) -> list[tuple[int, int, int]]
             chosen = np.concatenate([above, level[: k - len(above)]])
         else:
             chosen = np.arange(len(row))
-        out += [(query, int(ids[others[i]]), int(row[i])) for i in chosen]
+        out += [(query_row, query, int(ids[others[i]]), int(row[i])) for i in chosen]
     return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (vec_id, v) and (query_id, v) with BIGINT arrays.
+    """(query_id, rank, vec_id, score) from (row, vec_id, v) and (row, query_id, v) with BIGINT arrays.
 
-    A candidate with the query's own id is left out.
+    ``row`` is a BIGINT key of its side's rows. The candidate in the query's own row, told by an
+    equal key, is left out; other rows of the query's id are candidates. Every query row gets a list
+    of its own, also where ids repeat.
     """
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     queries = queries.where(F.col("query_id").isNotNull() & F.col("v").isNotNull())
     shards = -(-vectors.count() // SHARD_ROWS) or 1
     blocks = -(-queries.count() // QUERY_ROWS) or 1
     left = queries.select(
+        F.col("row").alias("at"),
         F.col("query_id").alias("id"),
         F.col("v").alias("asked"),
-        F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
         F.size("v").alias("dim"),
     )
     right = vectors.select(
+        F.col("row").alias("at"),
         F.col("vec_id").alias("id"),
         F.col("v").alias("held"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("row", F.lit(2)), F.lit(shards)).cast("int").alias("shard"),
         F.size("v").alias("dim"),
     )
 
@@ -89,28 +95,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         rows = []
         if q.num_rows and c.num_rows:
             asked, held = (
-                list(zip(t["id"].to_pylist(), t[name].to_pylist(), strict=True))
+                list(zip(t["at"].to_pylist(), t["id"].to_pylist(), t[name].to_pylist(), strict=True))
                 for t, name in ((q, "asked"), (c, "held"))
             )
             rows = _tile(asked, held, k)
         shard = (q if q.num_rows else c)["shard"][0].as_py()
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        arrays = [pa.array(columns[0], pa.int64()), pa.array([shard] * len(rows), pa.int32())]
-        arrays += [pa.array(columns[i], pa.int64()) for i in (1, 2)]
-        return pa.Table.from_arrays(arrays, ["query_id", "shard", "vec_id", "score"])
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([shard] * len(rows), pa.int32())]
+        arrays += [pa.array(columns[i], pa.int64()) for i in (2, 3)]
+        return pa.Table.from_arrays(arrays, ["row", "query_id", "shard", "vec_id", "score"])
 
     keys = ("block", "shard", "dim")
     lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        tile, "query_id bigint, shard int, vec_id bigint, score bigint"
+        tile, "row bigint, query_id bigint, shard int, vec_id bigint, score bigint"
     )
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    merged = lists.groupBy("query_id", (F.col("shard") / FAN_IN).cast("int").alias("shard")).agg(best.alias("best"))
+    group = ["row", "query_id", (F.col("shard") / FAN_IN).cast("int").alias("shard")]
+    merged = lists.groupBy(*group).agg(best.alias("best"))
     flat = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
     groups = -(-shards // FAN_IN)
     while groups > 1:
-        merged = merged.groupBy("query_id", (F.col("shard") / FAN_IN).cast("int").alias("shard")).agg(
-            flat.alias("best")
-        )
+        merged = merged.groupBy(*group).agg(flat.alias("best"))
         groups = -(-groups // FAN_IN)
     return merged.select("query_id", F.posexplode("best").alias("at", "hit")).select(
         "query_id",
@@ -118,4 +123,3 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         F.col("hit.vec_id").alias("vec_id"),
         (-F.col("hit.s")).alias("score"),
     )
-
