@@ -182,10 +182,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     usable = F.coalesce(F.col(id_col).isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(usable, v).alias("v"))
-    distinct = stage(
-        rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")),
-        "vectors",
-    )
+    # Distinct vectors have keys of their own, as rows of one id may hold unlike vectors.
+    alike = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = stage(alike.withColumn("id", F.monotonically_increasing_id()), "vectors")
     bits, tables = tables_for(distinct.count(), least)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +231,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "other")).toDF("id", "root")
+    rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     known = (
-        distinct.join(links, "id", "left")
-        .join(roots, "id", "left")
-        .select(
-            "v",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "id").alias("component"),
-        )
+        rooted.join(named, "root")
+        .join(links, "id", "left")
+        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     )
     return (
         rows.join(known, "v", "left")
