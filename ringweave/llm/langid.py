@@ -88,10 +88,10 @@ def _k_means(rows: np.ndarray, k: int) -> np.ndarray:
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from (doc_id, text, lang) rows: document frequencies of all of them, centroids of
-    ``max_train`` documents a language, chosen by hash of their id, about. Only counts and
-    centroids come to the driver."""
+    ``max_train`` documents a language, chosen by hash of id, text and place, about, so that rows of
+    one id or without one are chosen one by one. Only counts and centroids come to the driver."""
     usable = docs.where("lang is not null and text is not null and rlike(text, '\\\\p{L}')")
-    spread = usable.select("lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("h"))
+    spread = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(11)).alias("h"))
     limits = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in sorted(limits.items()):
