@@ -4,13 +4,13 @@ Documents are tokenized once; what exceeds ``max_len`` is cut into full pieces a
 rest. The histogram of piece lengths has at most ``max_len`` rows whatever the corpus
 size, and it alone decides: lengths are placed longest first, each into the pack pattern
 with the most room, and only the counts of patterns change. Pieces then find their place
-by their rank among the pieces of their length.
+by their rank among the pieces of their length, ranked bucket by bucket of a hash of the row.
 
 Texts are first split at the tokenizer's added tokens (as ``<|endoftext|>``), which get
 their own ids wherever they stand, as the library does by default.
 
 Defined cases: null text is an empty text, which is the end token alone; repeated rows are
-packed as separate documents; ties in rank are broken by doc_id, start and checksum; a
+packed as separate documents; ties in rank are broken by doc_id, start, checksum and place; a
 null doc_id is kept; an empty table gives no pieces; further columns are not read.
 """
 
@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +187,11 @@ def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, .
         while left:
             room = max(packs, default=-1)
             if room < length:
-                placed.append((max_len - length, (length,), left))
+                # Of the new packs each is filled before the next is opened: it has the most room.
+                per = max_len // length
+                for held, count in (((length,) * per, left // per), ((length,) * (left % per), 1)):
+                    if held and count:
+                        placed.append((max_len - len(held) * length, held, count))
                 break
             held, count = packs[room].pop()
             if not packs[room]:
@@ -205,31 +210,32 @@ def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, .
 
 
 def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to staged pieces.
+    """Adds sequence_id and offset to staged pieces, whose ``_at`` tells rows apart.
 
-    Collected to the driver: one count per length, at most ``max_len`` rows. Broadcast:
-    one row per slot of a pattern, bounded by the same number of lengths.
+    Collected to the driver: one count per length, at most ``max_len`` rows. Broadcast: one row
+    per pattern and length in it; both follow from the histogram, whatever the number of pieces.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots, ranks, sequence = [], dict.fromkeys(histogram, 0), 0
     for held, count in patterns(histogram, max_len):
         offset = 0
-        for length in held:
-            slots.append((length, ranks[length], ranks[length] + count, sequence, offset))
-            ranks[length] += count
-            offset += length
+        for length, run in groupby(held):
+            times = len(list(run))
+            slots.append((length, ranks[length], ranks[length] + count * times, sequence, offset, times))
+            ranks[length] += count * times
+            offset += length * times
         sequence += count
     slot_table = spark.createDataFrame(
-        slots, "slot_length bigint, first bigint, beyond bigint, sequence bigint, offset bigint"
+        slots, "slot_length bigint, first bigint, beyond bigint, sequence bigint, place bigint, times bigint"
     )
     counts = spark.createDataFrame(list(histogram.items()), "length bigint, n bigint")
     spread = pieces.join(F.broadcast(counts), "length").withColumn("n", F.ceil(F.col("n") / BUCKET_ROWS))
     ranked = prefix_sums(
         spread,
         "length",
-        ["doc_id", "start", "ids_crc32"],
-        F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("n")),
+        ["doc_id", "start", "ids_crc32", "_at"],
+        F.pmod(F.xxhash64("_at"), F.col("n")),
         F.lit(1).cast("bigint"),
     ).drop("n")
     here = (
@@ -239,12 +245,13 @@ def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     )
     return (
         ranked.join(F.broadcast(slot_table), here)
-        .withColumn("sequence_id", F.col("sequence") + F.col("before") - F.col("first"))
-        .drop("slot_length", "first", "beyond", "sequence", "before")
+        .withColumn("sequence_id", F.col("sequence") + F.expr("(before - first) div times"))
+        .withColumn("offset", F.expr("place + ((before - first) % times) * length"))
+        .drop("slot_length", "first", "beyond", "sequence", "place", "times", "before", "_at")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, **options) -> DataFrame:
     """Tokenize, cut and pack. ``keep_ids`` returns the ids of every piece as well."""
     pieces = tokenized_pieces(docs, tokenizer_path, max_len=max_len, **options)
-    return pack(stage(pieces, "pieces"), max_len)
+    return pack(stage(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces"), max_len)

@@ -280,7 +280,7 @@ def test_estimates_are_unbiased_and_bounded():
 
 def test_top_k_with_ties_and_odd_vectors(spark, vector_rows):
     data = spark.createDataFrame(vector_rows, VECTORS).select(
-        "vec_id", topk.quantized(F.col("embedding")).alias("v")
+        F.monotonically_increasing_id().alias("row"), "vec_id", topk.quantized(F.col("embedding")).alias("v")
     )
     asked = data.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     got = sorted(map(tuple, topk.top_k(data, asked, 10).collect()))
@@ -297,6 +297,85 @@ def test_top_k_with_ties_and_odd_vectors(spark, vector_rows):
     assert got == sorted(want)
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i // 2 * 50, rng.integers(-9, 9, 6).tolist()) for i in range(40)] + [(40, None, [1] * 6)]
+    data = spark.createDataFrame(rows, "row bigint, vec_id bigint, v array<bigint>").repartition(3)
+    asked = data.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    want = []
+    for at, i, v in rows:
+        if i is not None and i % 100 == 0:
+            others = sorted((-int(np.dot(v, w)), j) for k, j, w in rows if k != at and j is not None)
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(others[:5])]
+    assert sorted(map(tuple, topk.top_k(data, asked, 5).collect())) == sorted(want)
+
+
+def test_vector_links_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.normal(size=24) for _ in range(3))
+    near = lambda v: (v + rng.normal(size=24) * 0.01).tolist()
+    # Rows of id 1 hold unlike vectors: each links with its own like only.
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, near(a), 0), (3, near(b), 0), (4, c.tolist(), 0), (4, near(c), 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+
+def test_links_found_among_planted_pairs(spark):
+    """Recall of pairs at cosine 0.95 and a little above, where a miss is likeliest."""
+    rng = np.random.default_rng(10)
+    rows, pairs = [], 1500
+    for i in range(pairs):
+        v = rng.normal(size=48)
+        u = rng.normal(size=48)
+        u -= u @ v / (v @ v) * v
+        cosine = 0.9501 + 0.01 * rng.random()
+        w = cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u)
+        rows += [(2 * i, v.tolist(), 0), (2 * i + 1, w.tolist(), 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(4)).where("vec_id % 2 = 1 and n_links > 0").count()
+    assert got >= 0.995 * pairs
+
+
+def test_languages_are_learned_from_rows_of_one_id_and_of_none(spark):
+    rows = [(7, f"the house number {i} stands there and was sold by them", "en") for i in range(3000)]
+    rows += [(None, f"la maison numéro {i} est vendue avec les meubles", "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["en", "fr"]
+    predicted = langid.predict(docs, model).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r.doc_id, r.lang_pred) for r in predicted if r["count"] > 60} == {(7, "en"), (None, "fr")}
+
+
+def test_packing_identical_rows_and_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "one two three")] * 3000 + [(5, "")] * 50, "doc_id bigint, text string").repartition(3)
+    out = packing.pack_documents(docs, tokenizer_path(), max_len=64).collect()
+    assert len(out) == 3050
+    used = {}
+    for r in out:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in used.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+        assert places[-1][0] + places[-1][1] <= 64
+
+
+def test_packs_are_those_of_plain_shortest_pack_first(spark):
+    """The number of sequences at 2048 is that of a plain version: longest piece first, into the
+    open pack with the most room, or a new one."""
+    rng = random.Random(12)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(1500)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    room: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        best = max(range(len(room)), key=room.__getitem__, default=None)
+        if best is None or room[best] < n:
+            room.append(2048 - n)
+        else:
+            room[best] -= n
+    made = packing.patterns(histogram, 2048)
+    assert sum(count for _, count in made) == len(room)
+    assert sorted(2048 - sum(held) for held, count in made for _ in range(count)) == sorted(room)
+
+
 # --- scoring, languages, mixing, packing, archives
 
 
@@ -480,5 +559,7 @@ def test_operators_take_empty_tables(spark, nothing):
     assert simhash.near_duplicates(stage(simhash.fingerprints(nothing), "fps")).count() == 0
     none = spark.createDataFrame([], VECTORS)
     assert vectors.near_duplicates(none).count() == 0
-    asked = none.select(F.col("vec_id").alias("query_id"), topk.quantized(F.col("embedding")).alias("v"))
+    asked = none.select(
+        F.col("vec_id").alias("row"), F.col("vec_id").alias("query_id"), topk.quantized(F.col("embedding")).alias("v")
+    )
     assert topk.top_k(asked.withColumnRenamed("query_id", "vec_id"), asked).count() == 0
