@@ -1085,3 +1085,4 @@ FROM (SELECT t, k, case_num FROM lv1 UNION ALL SELECT t, k, case_num FROM lv2) G
 )
 
 ORACLES["target_bloom_match"] = ORACLES["target_orbit_match"]
+ORACLES["pattern_source_scan"] = ORACLES["pattern_text_scan"]

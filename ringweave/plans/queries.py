@@ -22,8 +22,9 @@ from ringweave.operators import levels, lines, orbits, products, sets, targets
 from ringweave.operators.words import with_matrix, with_pattern
 from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
-from ringweave.session import materialise, materialise_bucketed, prepare
+from ringweave.session import checkpoint_dir, materialise, materialise_bucketed, prepare
 from ringweave.sources.lines import circuit_lines, csv_pattern_lines, pattern_lines
+from ringweave.sources.lines_source import register
 from ringweave.sources.tables import customer_words, nation_words, order_words, table, user_month_words
 
 
@@ -265,6 +266,20 @@ def pattern_text_scan(spark, sf):
     )
 
 
+def pattern_source_scan(spark, sf):
+    """The documents' bits written as pattern files and read back through the data source."""
+    path = f"{checkpoint_dir(spark)}/patterns-{uuid.uuid4().hex}"
+    _document_bits(spark, sf).select("value").write.text(path)
+    rows = register(spark).read.format("ringweave").option("kind", "patterns").option("lines", "good").load(path)
+    return rows.select(
+        *_long(
+            int_plane=F.col("int_plane"),
+            sqrt2_plane=F.col("sqrt2_plane"),
+            case_num=patterns.case_num(Pattern.field()),
+        )
+    )
+
+
 def pattern_csv_scan(spark, sf):
     pair = lambda i: F.conv(F.substring(F.col("value"), i * 2 + 1, F.lit(2)), 2, 10)
     csv = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(35)), pair), ",")
@@ -898,6 +913,7 @@ QUERIES = {
         word72_window,
         word72_text,
         pattern_text_scan,
+        pattern_source_scan,
         pattern_csv_scan,
         pattern_case,
         pattern_cells,
