@@ -30,7 +30,19 @@ def stage(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame
     if group_bytes:
         writer = writer.option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.staged_at = path
+    return written
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; what was not staged is left alone."""
+    for table in tables:
+        place = getattr(table, "staged_at", None)
+        if place:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
