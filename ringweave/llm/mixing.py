@@ -6,11 +6,12 @@ number of words its source has served with it, divided by the source's target. S
 order of finish time, all queues advance in proportion to their targets, and at virtual
 time 1 the mix has served exactly the budget: the global order is cut there. A document
 in service at the cut gives the words up to it, so a source misses its target by less
-than one word. ``mixed`` deals the copies out by range of finish time.
+than one word. ``served`` is that order: copies range-sorted by finish time over the whole
+corpus, with the budget truncated from its end; what a document gives is the sum over its copies.
 
 Defined cases: null text counts as empty (size 0, nothing taken); a null source is a
-source of its own, ordered last; a null doc_id is shuffled as the text "null"; repeated
-rows are separate documents, ties in the shuffle are broken by doc_id and size; an empty
+source of its own, ordered last; rows without a doc_id are shuffled by their place; repeated
+rows are separate documents, ties in the shuffle are broken by doc_id, size and place; an empty
 table gives an empty mix; other columns of the input are neither read nor returned.
 """
 
@@ -78,7 +79,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: i
     )
 
 
-def mix(
+def queues(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -87,15 +88,16 @@ def mix(
     max_repeats: int = 3,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: size, source_size, target, taken and ``before``, the words of
-    its source that precede it in the shuffled order. Columns in ``keep`` are passed through
-    and break ties that doc_id and size leave; a key among them tells rows of one id apart."""
+    """One staged row per document: size, source_size, target, ``before``, the words of its source
+    that precede it in the shuffled order, and ``_place``, which tells rows apart. Columns in
+    ``keep`` are passed through."""
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), source_col), F.lit("null")).alias("key"),
         n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("shuffle"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))).alias("shuffle"),
+        F.monotonically_increasing_id().alias("_place"),
         *keep,
     )
     sizes = stage(sizes, "sizes")  # texts are read once
@@ -108,39 +110,41 @@ def mix(
     queued = prefix_sums(
         with_plan,
         "key",
-        ["shuffle", "doc_id", "size", *keep],
+        ["shuffle", "doc_id", "size", "_place"],
         F.expr("substring(shuffle, 1, digits)"),
         F.col("size"),
     )
-    goal = F.round("target").cast("bigint")
-    taken = sum(
-        (
-            F.greatest(
-                F.least(goal - (F.lit(e) * F.col("source_size") + F.col("before")), F.col("size")), F.lit(0)
-            )
-            for e in range(max_repeats)
-        ),
-        F.lit(0),
-    )
-    return queued.select(
-        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "before", "shuffle", *keep
-    )
+    return stage(queued.select("doc_id", "size", "source_size", "target", "before", "shuffle", "_place", *keep), "queues")
+
 
+def served(queued: DataFrame, max_repeats: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """(_place, copy, words, finish): every copy that the mix serves, range-sorted by finish time,
+    with the columns in ``keep``.
 
-def copies(plan: DataFrame) -> DataFrame:
-    """(doc_id, words, finish): every copy the mix serves, with its virtual finish time."""
-    served = F.floor((F.col("taken") + F.col("size") - 1) / F.greatest("size", F.lit(1))).cast("int")
-    epochs = F.explode(F.sequence(F.lit(0), served - 1))
-    some = plan.where("taken > 0").withColumn("epoch", epochs)
-    return some.select(
-        "doc_id",
-        F.least("size", F.col("taken") - F.col("epoch") * F.col("size")).alias("words"),
-        (
-            (F.col("epoch") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target")
-        ).alias("finish"),
+    A copy starts where its queue has served what is before it, and gives all its words if it
+    finishes by virtual time 1. Of those in service then, one per source at most, the words up
+    to that time count; copies that start later are past the budget.
+    """
+    goal = F.round("target").cast("bigint")
+    epochs = F.filter(
+        F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: e * F.col("source_size") + F.col("before") < goal
+    )
+    started = queued.where("size > 0").select("*", F.explode(epochs).alias("copy"))
+    start = F.col("copy") * F.col("source_size") + F.col("before")
+    copies = started.select(
+        "_place",
+        "copy",
+        F.least(F.col("size"), goal - start).alias("words"),
+        ((start + F.col("size")) / F.col("target")).alias("finish"),
+        *keep,
     )
+    order = ["finish", "_place", "copy"]
+    return stage(copies.repartitionByRange(*order).sortWithinPartitions(*order), "served")
 
 
-def mixed(plan: DataFrame) -> DataFrame:
-    """The copies in the order they are served, dealt out by range of finish time."""
-    return copies(plan).repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+def mix(docs: DataFrame, max_repeats: int = 3, **columns) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and ``taken``, the words that the
+    served copies of it hold. Takes the options of ``queues``."""
+    queued = queues(docs, max_repeats=max_repeats, **columns)
+    taken = served(queued, max_repeats).groupBy("_place").agg(F.sum("words").alias("taken"))
+    return queued.join(taken, "_place", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))

@@ -119,7 +119,7 @@ def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """What a mix of the sources at weights 1, 2, 3, ... takes of every document."""
-    return mixing.mix(table(spark, sf, "documents")).drop("before", "shuffle")
+    return mixing.mix(table(spark, sf, "documents")).drop("before", "shuffle", "_place")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:

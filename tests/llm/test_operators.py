@@ -453,14 +453,29 @@ def test_mix_reaches_its_targets(docs, nothing):
         assert rows[0].target <= 3 * rows[0].source_size
         total += rows[0].target
     assert abs(total - sum(r.size for r in plan)) < 1e-6
-    copies = mixing.mixed(mixing.mix(docs))
-    assert copies.agg(F.sum("words")).first()[0] == sum(r.taken for r in plan)
     assert mixing.mix(nothing).count() == 0
 
 
-def test_queues_advance_together(docs):
-    served = sorted(mixing.copies(mixing.mix(docs)).collect(), key=lambda r: r.finish)
-    assert all(0 < r.finish for r in served)
+def test_copies_are_served_in_order_of_finish_time(docs):
+    queued = mixing.queues(docs)
+    served = mixing.served(queued, keep=["size", "target", "source_size", "before"])
+    rows = served.collect()  # of range-sorted files, in order of the ranges
+    assert [r.finish for r in rows] == sorted(r.finish for r in rows)
+    late = [r for r in rows if r.finish > 1]
+    # Beyond virtual time 1 is the end of one copy in service per source, or what rounding adds.
+    assert len(late) <= len({(r.target, r.source_size) for r in rows})
+    assert all(r.words == r.size for r in rows if r.finish <= 1)
+    for r in rows:
+        assert r.finish * r.target == pytest.approx(r.copy * r.source_size + r.before + r.size)
+    taken = {r._place: 0 for r in queued.collect()}
+    for r in rows:
+        taken[r._place] += r.words
+    assert taken == {r._place: r.taken for r in mixing.mix(docs).collect()}
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 400, "doc_id bigint, text string, source string").repartition(4)
+    assert mixing.queues(docs).select("shuffle").distinct().count() == 400
 
 
 def test_packing_keeps_every_token(docs, rows, nothing):
