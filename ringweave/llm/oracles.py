@@ -26,17 +26,19 @@ OP4 = """
 WITH records AS (
   SELECT page_id, 'pages-' || floor(page_id / 1000)::BIGINT AS file,
     strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
-      || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
       || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-      || 'Content-Length: ' || strlen(coalesce(html, ''))) + 4 + strlen(coalesce(html, '')) + 4 AS length
+      || 'Content-Length: ' || strlen(coalesce(html, ''))) + 4 + strlen(coalesce(html, '')) + 4 AS bare
   FROM pages
 ), placed AS (
-  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM records
+  SELECT *, bare + strlen(page_id::VARCHAR) AS length, coalesce(sum(bare + strlen(page_id::VARCHAR)) OVER (PARTITION BY file
+    ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM records
 )
 SELECT file, page_id, CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'resized' END AS kind,
   "offset", length::BIGINT AS length
 FROM placed WHERE page_id % 211 = 5 OR page_id % 97 = 13 OR page_id % 131 = 7
+UNION ALL
+SELECT file, -1 - page_id, 'extra', NULL, (bare + strlen((-1 - page_id)::VARCHAR))::BIGINT FROM placed WHERE page_id % 307 = 11
 """
 
 OP6 = """

@@ -68,7 +68,7 @@ FILE_PAGES = 1000
 
 
 def replicas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The pages as WARC records, and a replica of them with a few records damaged by rule."""
+    """The pages as WARC records, and a replica of them with records damaged, lost and added by rule."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     file = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / FILE_PAGES).cast("string")).alias("file")
     content = warc.response_record(F.col("page_id"), F.col("url"), F.col("html"))
@@ -79,7 +79,13 @@ def replicas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("record_id") % 97 == 13, rotten).when(F.col("record_id") % 131 == 7, short).otherwise(F.col("content"))
     )
     kept = F.coalesce(F.col("record_id") % 211 != 5, F.lit(True))
-    return records, records.where(kept).withColumn("content", damaged)
+    # Records that only the replica has stand under ids of their own.
+    added = pages.where("page_id % 307 = 11").select(
+        file,
+        (-1 - F.col("page_id")).alias("record_id"),
+        warc.response_record(-1 - F.col("page_id"), F.col("url"), F.col("html")).alias("content"),
+    )
+    return records, records.where(kept).withColumn("content", damaged).unionByName(added)
 
 
 def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:

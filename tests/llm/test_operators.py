@@ -566,6 +566,22 @@ def test_archive_damage_is_located(spark):
     assert same.count() == 0
     none = spark.createDataFrame([], schema)
     assert warc.audit(none, none).count() == 0
+    assert {r.kind for r in warc.audit(none, spark.createDataFrame(held, schema)).collect()} == {"extra"}
+
+
+def test_warc_descends_only_into_what_differs(spark):
+    schema = "file string, record_id bigint, content string"
+    rows = [(f"f{i % 3}", i if i % 50 else None, f"record {i}") for i in range(6000)] + [("f0", 7, "twice")] * 3
+    lost = [("f1", 2503, "other")] + [r for r in rows if r[:2] != ("f1", 2503) and r[2] != "record 50"]
+    mine, theirs = (spark.createDataFrame(r, schema) for r in (rows, lost))
+    trees = [warc.tree(stage(warc.hashed(t), "records"), 2) for t in (mine, theirs)]
+    # Record 50 has no id, so its leaf is one of those spread by digest.
+    wrong = sorted((r.file, r.node >= 0) for r in warc.differing(*trees).collect())
+    assert wrong == [("f1", True), ("f2", False)]
+    found = sorted((r.file, r.record_id or -1, r.kind) for r in warc.audit(mine, theirs).collect())
+    assert found == [("f1", 2503, "resized"), ("f2", -1, "missing")]
+    at = sum(len(c) for f, i, c in rows if f == "f1" and (i is None or i < 2503))
+    assert [r.offset for r in warc.audit(mine, theirs).collect() if r.file == "f1"] == [at]
 
 
 def test_operators_take_empty_tables(spark, nothing):
