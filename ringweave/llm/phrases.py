@@ -95,9 +95,11 @@ class Words(NamedTuple):
         good = np.append(among(_keys(self.hashes), told[0]), False)[self.numbers] if told else self.numbers >= 0
         place = np.flatnonzero(good)
         code = self.numbers[place]
-        hashes = self.hashes
-        every, where = np.unique(code, return_inverse=True)
-        yield Grams(place, where, None, every, hashes[every])
+        counts = np.bincount(code, minlength=len(self.known))
+        every = np.flatnonzero(counts)
+        rank = np.cumsum(counts > 0) - 1
+        where, hashes = rank[code], self.hashes[every]
+        yield Grams(None, every, hashes, counts[every])
         for length in range(2, len(told) + 2):
             if length > 2:  # phrases of the last length whose key is frequent
                 kept = among(_keys(hashes), told[length - 2])[where]
@@ -106,25 +108,24 @@ class Words(NamedTuple):
                 place, where = place[kept], where[kept]
             more = good[np.minimum(place + 1, len(good) - 1)] & (place + 1 < len(good))
             place, where = place[more], where[more]
-            last = self.numbers[place + length - 1]
-            codes, inverse = np.unique(where * len(self.known) + last, return_inverse=True)
+            codes = where * len(self.known) + self.numbers[place + length - 1]
+            if length <= len(told):
+                codes, where, counts = np.unique(codes, return_inverse=True, return_counts=True)
+            else:  # nothing is built on the last length
+                codes, counts = np.unique(codes, return_counts=True)
             before, word = np.divmod(codes, max(1, len(self.known)))
-            hashes, where = _extended(hashes[before] if length > 2 else self.hashes[every][before], self.hashes[word]), inverse
-            yield Grams(place, where, before, word, hashes)
+            hashes = _extended(hashes[before], self.hashes[word])
+            yield Grams(before, word, hashes, counts)
 
 
 class Grams(NamedTuple):
-    """Phrases of one length: where they start, which one stands there, and of every distinct one
-    the phrase without its last word, that word, and a hash."""
+    """The distinct phrases of one length: each without its last word (a place among those of the
+    length before), that word, a hash, and how often it stands in the part."""
 
-    place: np.ndarray
-    which: np.ndarray
     before: np.ndarray | None
     word: np.ndarray
     hashes: np.ndarray
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.which, minlength=len(self.word))
+    counts: np.ndarray
 
 
 def _word_hashes(words: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -175,7 +176,7 @@ def _counted(part: int, grams: Grams | None, n: int) -> pa.Table:
     out: list[tuple[int, int, bytes]] = []
     if grams is not None and len(grams.word):
         order = np.argsort(grams.hashes)
-        hashes, counts = grams.hashes[order], grams.counts()[order]
+        hashes, counts = grams.hashes[order], grams.counts[order]
         numbers = _range_of(hashes, n)
         cuts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(numbers)], strict=True):
@@ -271,26 +272,31 @@ class Builder:
         arcs = np.array([x for s in states for x in s], "<i8").reshape(-1, 3)
         used, labels = np.unique(arcs[:, 0], return_inverse=True)
         own = [words[i] for i in used.tolist()]
-        columns = [
-            np.array([len(s) // 3 for s in states], "<i8"),
-            labels.astype("<i8"),
-            arcs[:, 1],
-            arcs[:, 2],
-            np.array([len(w) for w in own], "<i8"),
-        ]
-        head = np.array([len(c) for c in columns], "<i8").tobytes()
-        return zlib.compress(head + b"".join(c.tobytes() for c in columns) + b"".join(own), 1)
+        sizes = np.array([len(s) // 3 for s in states], "<i8")
+        # States stand after those they lead to, most of them shortly after.
+        back = np.repeat(np.arange(len(states)), sizes) - arcs[:, 2]
+        columns = [sizes, labels, arcs[:, 1], back, np.array([len(w) for w in own], "<i8")]
+        blobs = [_narrow(c) for c in columns]
+        head = np.array([len(b) for b in blobs], "<i8").tobytes()
+        return zlib.compress(head + b"".join(blobs) + b"".join(own), 1)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, after that number of bytes."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind.newbyteorder("<")).tobytes()
 
 
 def decoded(blob: bytes) -> Transducer:
     raw = zlib.decompress(blob)
     columns, place = [], 40
     for n in np.frombuffer(raw, "<i8", 5).tolist():
-        columns.append(np.frombuffer(raw, "<i8", n, place))
-        place += 8 * n
-    sizes, label, weight, target, lengths = columns
+        columns.append(np.frombuffer(raw, f"<u{raw[place]}", (n - 1) // raw[place], place + 1).astype(np.int64))
+        place += n
+    sizes, label, weight, back, lengths = columns
     ends = (place + np.cumsum(lengths)).tolist()
     words = [raw[a:b] for a, b in zip([place, *ends], ends, strict=False)]
+    target = np.repeat(np.arange(len(sizes)), sizes) - back
     return Transducer(words, [0, *np.cumsum(sizes).tolist()], label.tolist(), weight.tolist(), target.tolist())
 
 
@@ -401,7 +407,7 @@ def _part_transducers(words: Words, told: list[np.ndarray], longest: int, n: int
         rows[:, k + 1] = label[level.word]
         owner = owner[level.before] if k > 2 else level.hashes  # by the first three words
         tables.append(rows)
-        weights.append(level.counts())
+        weights.append(level.counts)
         hashes.append(owner)
     rows, weight = np.concatenate(tables), np.concatenate(weights)
     # Of a length that was asked about, what is infrequent goes; it was needed to number longer ones.
