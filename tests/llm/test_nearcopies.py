@@ -66,6 +66,30 @@ def test_a_group_larger_than_a_bucket_becomes_one(spark):
     assert [len(g) for g in got] == [400] + [1] * 50
 
 
+def test_copies_among_many_that_are_almost_as_near(spark):
+    # 400 texts some 0.76 alike crowd the same buckets; pairs of them share half their edits and are 0.81 alike.
+    rng = random.Random(8)
+    base = _text(rng, 1000)
+    texts = []
+    for _ in range(200):
+        shared = _edited(rng, base, 7)
+        texts += [" ".join(_edited(rng, shared, 7)), " ".join(_edited(rng, shared, 7))]
+    want = brute.shingle_components(texts)
+    got = {r.key: r.root for r in nearcopies.near_copies(_keyed(spark, texts), "k").collect()}
+    true = [(i, i + 1) for i in range(0, 400, 2) if want[i] == want[i + 1]]
+    assert len(true) > 100 and len(set(want)) > 100
+    assert sum(got[i] == got[j] for i, j in true) >= 0.98 * len(true)
+    assert len(set(got.values())) >= len(set(want))
+
+
+def test_parity_bits_never_exceed_the_hashes_apart():
+    rng = np.random.default_rng(3)
+    for kept in (0, 10, 300):
+        one, two, both = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (40, 60, kept))
+        bits = nearcopies.parity(np.concatenate([one, both])) ^ nearcopies.parity(np.concatenate([two, both]))
+        assert 0 < sum(int(x).bit_count() for x in bits.view(np.uint64)) <= 100
+
+
 def test_equal_texts_and_nothing(spark):
     docs = spark.createDataFrame([(i, "the same words again and again") for i in range(500)], "k bigint, text string")
     assert nearcopies.near_copies(stage(docs, "texts"), "k").agg(F.countDistinct("root")).first()[0] == 1
