@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions import patterns
 from ringweave.functions.bits import let, pin
 from ringweave.functions.patterns import Pattern
+from ringweave.operators.levels import rebalance
 
 
 PAIRS = list(combinations(range(6), 2))
@@ -75,3 +79,63 @@ def orbit(df: DataFrame, key: str, all_mods: bool = False) -> DataFrame:
     return members.select(
         key, changed.ints.alias("int_plane"), changed.roots.alias("sqrt2_plane")
     )
+
+
+#: Patterns of one task of ``orbit_digests``.
+DIGEST_ROWS = 1000
+
+
+def members(ints: int, roots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Planes of the distinct members of one pattern's orbit, as ``orbit`` lists them: (orders,) and (orders, mods)."""
+    mask = patterns.ROW_MASKS[0]
+    i = [ints >> r & mask for r in range(6)]
+    own = [roots >> r & mask for r in range(6)]
+    s = [min(x, x ^ y) for x, y in zip(own, i, strict=True)]
+    rows = list(zip(i, s, strict=True))
+    equal = sum(1 << at for at, (p, q) in enumerate(PAIRS) if rows[p] == rows[q])
+    orders = _ORDERS[_SWAPPED & equal == 0]
+    places = np.argsort(orders, axis=1)
+    planes = (np.array(i, np.int64)[orders] << np.arange(6)).sum(axis=1)
+    made = (np.array(s, np.int64)[orders] << np.arange(6)).sum(axis=1)[:, None]
+    for r in range(6):
+        if i[r]:
+            made = np.concatenate([made, made ^ (np.int64(i[r]) << places[:, r])[:, None]], axis=1)
+    return planes, made
+
+
+_ORDERS = np.array(patterns.ROW_ORDERS)
+_SWAPPED = np.array([_swapped(o) for o in patterns.ROW_ORDERS])
+
+
+def orbit_digests(df: DataFrame, modulus: int) -> DataFrame:
+    """Adds members, least_ints, roots_xor and roots_sum (of sqrt2_plane mod ``modulus``) over each row's orbit.
+
+    Needs int_plane and sqrt2_plane. Every member is made, in arrays inside the row's task, so
+    none becomes a row. Mods of the unpermuted pattern are left out as ``orbit`` does.
+    """
+    names = df.columns
+    at = [names.index("int_plane"), names.index("sqrt2_plane")]
+
+    def digest(ints: int, roots: int) -> tuple[int, int, int, int]:
+        planes, made = members(ints, roots)
+        values, left_out = made, 0
+        if len(made) == len(_ORDERS):  # all rows differ: the first order alone keeps the pattern
+            values, left_out = made[1:], made.shape[1] - 1
+        total, odd = int((values % modulus).sum()), int(np.bitwise_xor.reduce(values, axis=None))
+        if left_out:
+            total, odd = total + roots % modulus, odd ^ roots
+        elif values is not made:
+            total, odd = total + int(made[0, 0]) % modulus, odd ^ int(made[0, 0])
+        return made.size - left_out, int(planes.min()), odd, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [digest(*x) for x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            digests = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *digests], [*names, *DIGESTS])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{d} bigint" for d in DIGESTS)])
+    return rebalance(df, df.count(), DIGEST_ROWS).mapInArrow(run, schema)
+
+
+DIGESTS = ("members", "least_ints", "roots_xor", "roots_sum")

@@ -343,6 +343,7 @@ def pattern_mods(spark, sf):
 
 def pattern_orbit(spark, sf):
     """Size and checksums of the orbit of one pattern per supplier."""
+    prepare(spark)
     key = F.col("s_suppkey")
     mask = F.when(key % 3 == 0, lit64(sum(patterns.ROW_MASKS[:4]))).otherwise(lit64(patterns.FULL))
     plane = lambda f: (key % KEY_RANGE * f).bitwiseAND(mask)
@@ -351,18 +352,8 @@ def pattern_orbit(spark, sf):
         plane(2654435761 * 17).alias("int_plane"),
         plane(2246822519 * 13).alias("sqrt2_plane"),
     )
-    closed = rows.select("s_suppkey", patterns.orbit_size(Pattern.field()).alias("closed_size"))
-    found = (
-        orbits.orbit(rows, "s_suppkey")
-        .groupBy("s_suppkey")
-        .agg(
-            F.count(F.lit(1)).alias("members"),
-            F.min("int_plane").alias("least_ints"),
-            F.bit_xor("sqrt2_plane").alias("roots_xor"),
-            F.sum(F.col("sqrt2_plane") % 1000003).alias("roots_sum"),
-        )
-    )
-    return found.join(closed, "s_suppkey").select(
+    found = orbits.orbit_digests(rows.withColumn("closed_size", patterns.orbit_size(Pattern.field())), 1000003)
+    return found.select(
         "s_suppkey",
         *_long(
             members=F.col("members"),
