@@ -3,17 +3,89 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringweave.functions import gates, matrices, ring
+from ringweave.functions import batches, gates, matrices, ring
 from ringweave.functions.bits import pin
 from ringweave.functions.matrices import NARROW, Lanes
 from ringweave.operators.levels import rebalance
 from ringweave.session import materialise
 
 
+#: Rows whose matrices are held at once: some 600 bytes each, several times.
+_ROWS = 4096
+
+
+def word_products(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Replaces the words ``left`` and ``right`` by lde, int_plane and sqrt2_plane of matrix(left) * matrix(right).
+
+    For one product per row: words are what is shuffled, and matrices exist in arrays only.
+    """
+    names = [c for c in df.columns if c not in (left, right)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                one, two = (batches.of_words(batch.column(c)) for c in (left, right))
+                made = batches.reduced(batches.multiply(one, two))
+                numbers = [pa.array(x, pa.int64()) for x in (made.k, *batches.planes(made))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *numbers], [*names, *PLANES])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names]
+    return df.mapInArrow(run, ", ".join([*kept, *(f"{c} bigint" for c in PLANES)]))
+
+
+PLANES = ("lde", "int_plane", "sqrt2_plane")
+
+
+def counted_planes(generators: DataFrame, stored: DataFrame) -> DataFrame:
+    """(lde, int_plane, n): how many pairs of a generator and a stored word have a product with that
+    exponent and plane; not yet added up over batches.
+
+    ``generators`` is distributed; ``stored`` is a small set (every task holds it). Both have gates.
+    A generator's matrix is made once and multiplied with all stored ones by one array product.
+    """
+    listed = stored.agg(F.collect_list("gates").alias("stored"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            if not whole.num_rows:
+                continue
+            right = batches.of_words(whole.column(1).slice(0, 1).flatten())
+            step = max(1, 8 * _ROWS // max(1, len(right.k)))
+            for start in range(0, whole.num_rows, step):
+                left = batches.of_words(whole.slice(start, step).column(0))
+                made = batches.reduced(batches.all_products(left, right))
+                found, n = np.unique(made.k << 36 | batches.planes(made)[0], return_counts=True)
+                arrays = [pa.array(x, pa.int64()) for x in (found >> 36, found & (1 << 36) - 1, n)]
+                yield pa.RecordBatch.from_arrays(arrays, ["lde", "int_plane", "n"])
+
+    paired = generators.select("gates").crossJoin(F.broadcast(listed))
+    return paired.mapInArrow(run, "lde bigint, int_plane bigint, n bigint")
+
+
+def word_signatures(df: DataFrame, gates_col: str = "gates") -> DataFrame:
+    """(lde, signature, n): how many words of a batch have each class signature; not yet added up over batches."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for start in range(0, whole.num_rows, _ROWS):
+                made = batches.reduced(batches.of_words(whole.slice(start, _ROWS).column(0)))
+                rows = np.rec.fromarrays([made.k, batches.signatures(made)], names="lde,signature")
+                found, n = np.unique(rows, return_counts=True)
+                texts = [x.ljust(576, b"\0") for x in found["signature"].tolist()]
+                arrays = [pa.array(found["lde"], pa.int64()), pa.array(texts, pa.binary()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["lde", "signature", "n"])
+
+    return df.select(gates_col).mapInArrow(run, "lde bigint, signature binary, n bigint")
+
+
 def to_long(df: DataFrame, key: str, lanes: Lanes = NARROW) -> DataFrame:
     """(key, row, col, a, b, e) with zero entries left out."""
     return (

@@ -465,14 +465,13 @@ def matrix_elements(spark, sf):
 
 def matrix_product(spark, sf):
     """Each order's matrix times its customer's matrix."""
-    by_order = with_matrix(order_words(spark, sf)).select(
-        F.col("l_orderkey").alias("o_orderkey"), F.col("m").alias("left")
-    )
-    by_customer = customer_matrices(spark, sf).select("o_custkey", F.col("m").alias("right"))
+    prepare(spark)
+    by_order = order_words(spark, sf).select(F.col("l_orderkey").alias("o_orderkey"), F.col("gates").alias("left"))
+    by_customer = customer_words(spark, sf).select("o_custkey", F.col("gates").alias("right"))
     owner = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    paired = by_order.join(owner, "o_orderkey").join(by_customer, "o_custkey")
-    multiplied = paired.select("o_orderkey", pin(matrices.product("left", "right")).alias("m"))
-    return with_pattern(multiplied).select(
+    paired = by_order.join(owner, "o_orderkey").join(by_customer, "o_custkey").select("o_orderkey", "left", "right")
+    multiplied = products.word_products(paired, "left", "right")
+    return multiplied.withColumn("case_num", patterns.case_num(Pattern.field())).select(
         "o_orderkey",
         *_long(
             lde=F.col("lde"),

@@ -33,3 +33,20 @@ def test_orbit_digests(spark, made):
         F.count(F.lit(1)), F.min("int_plane"), F.bit_xor("sqrt2_plane"), F.sum(F.col("sqrt2_plane") % 1000003)
     )
     assert _rows(orbits.orbit_digests(rows, 1000003).select("k", *orbits.DIGESTS)) == _rows(want)
+
+
+def test_products_of_words(words):
+    other = words.select((F.lit(len(WORDS) - 1) - F.col("k")).alias("k"), F.col("gates").alias("right"))
+    paired = words.join(other, "k").withColumnRenamed("gates", "left")
+    got = products.word_products(paired, "left", "right").select("k", "lde", "int_plane", "sqrt2_plane")
+    both = with_matrix(paired.withColumnRenamed("left", "gates")).withColumnRenamed("m", "l")
+    both = with_matrix(both.drop("gates").withColumnRenamed("right", "gates"))
+    want = with_pattern(both.select("k", matrices.product("l", "m").alias("m"))).select("k", "lde", "int_plane", "sqrt2_plane")
+    assert _rows(got) == _rows(want)
+
+
+def test_wrong_words_raise(spark):
+    for word in ([15], [3] * 101):
+        rows = spark.createDataFrame([(word, [0])], "left array<tinyint>, right array<tinyint>")
+        with pytest.raises(Exception, match="gate number|too long"):
+            products.word_products(rows, "left", "right").collect()
