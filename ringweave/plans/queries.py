@@ -838,10 +838,11 @@ def free_multiply(spark, sf):
     """
     prepare(spark)
     words = order_words(spark, sf).select("gates").distinct().where(F.element_at("gates", -1) != 0)
-    generators = words.select(gates.append(F.col("gates"), F.lit(0)).alias("gates"), F.lit(1).cast("bigint").alias("n"))
-    stored = with_matrix(nation_words(spark, sf).select("gates").distinct()).select("m", F.lit(1).cast("bigint").alias("n"))
-    made, _ = products.counted_products(stored, generators)
-    return with_pattern(made).groupBy("lde", "case_num").agg(F.sum("n").alias("n")).select(
+    generators = words.select(gates.append(F.col("gates"), F.lit(0)).alias("gates"))
+    made = products.counted_planes(generators, nation_words(spark, sf).select("gates").distinct())
+    planes = made.groupBy("lde", "int_plane").agg(F.sum("n").alias("n"))
+    cases = planes.select("lde", patterns.case_num(Pattern(F.col("int_plane"), lit64(0))).alias("case_num"), "n")
+    return cases.groupBy("lde", "case_num").agg(F.sum("n").alias("n")).select(
         *_long(lde=F.col("lde"), case_num=F.col("case_num"), n=F.col("n"))
     )
 

@@ -50,3 +50,11 @@ def test_wrong_words_raise(spark):
         rows = spark.createDataFrame([(word, [0])], "left array<tinyint>, right array<tinyint>")
         with pytest.raises(Exception, match="gate number|too long"):
             products.word_products(rows, "left", "right").collect()
+
+
+def test_products_of_two_sets(words):
+    got = products.counted_planes(words, words.where("k % 4 = 0").select("gates"))
+    right = with_matrix(words.where("k % 4 = 0")).select(F.col("m").alias("r"))
+    pairs = with_matrix(words).crossJoin(right).select(matrices.product("m", "r").alias("m"))
+    want = with_pattern(pairs).groupBy("lde", "int_plane").count()
+    assert _rows(got.groupBy("lde", "int_plane").agg(F.sum("n"))) == _rows(want)
