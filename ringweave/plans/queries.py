@@ -641,10 +641,9 @@ def majority_votes(spark, sf):
 
 def canonical_signatures(spark, sf):
     """Number of words and of distinct class signatures per exponent."""
-    signed = with_matrix(order_words(spark, sf)).select(
-        F.expr("m.k").alias("lde"), pin(canonical.signature("m")).alias("sig")
-    )
-    per_sig = signed.groupBy("lde", "sig").agg(F.count(F.lit(1)).alias("n"))
+    prepare(spark)
+    signed = products.word_signatures(order_words(spark, sf))
+    per_sig = signed.groupBy("lde", "signature").agg(F.sum("n").alias("n"))
     return per_sig.groupBy("lde").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s")).select(
         *_long(lde=F.col("lde"), n_words=F.col("n"), n_signatures=F.col("s"))
     )

@@ -58,3 +58,9 @@ def test_products_of_two_sets(words):
     pairs = with_matrix(words).crossJoin(right).select(matrices.product("m", "r").alias("m"))
     want = with_pattern(pairs).groupBy("lde", "int_plane").count()
     assert _rows(got.groupBy("lde", "int_plane").agg(F.sum("n"))) == _rows(want)
+
+
+def test_signatures_of_words(words):
+    got = products.word_signatures(words).groupBy("lde", "signature").agg(F.sum("n").alias("n"))
+    want = with_matrix(words).groupBy(F.expr("m.k").alias("lde"), canonical.signature("m").alias("s")).count()
+    assert _rows(got.select("lde", "n")) == _rows(want.select("lde", "count"))
