@@ -19,6 +19,7 @@ from ringweave.functions.patterns import Pattern
 from ringweave.functions.ring import Element
 from ringweave.functions.words72 import Word72
 from ringweave.operators import levels, lines, orbits, products, sets, targets
+from ringweave.operators.levels import rebalance
 from ringweave.operators.words import with_matrix, with_pattern
 from ringweave.plans.config import SearchConfig
 from ringweave.plans.search import search
@@ -631,12 +632,15 @@ def sign_masks(spark, sf):
 
 
 def majority_votes(spark, sf):
-    rows = lines.with_cells(customer_matrices(spark, sf)).withColumn(
+    """Votes are taken once per word in normal form, of which five gates make 276,736 at most, and joined to customers."""
+    words = customer_words(spark, sf).select("o_custkey", pin(gates.normal_word(F.col("gates"))).alias("gates"))
+    words = materialise(words, f"customer-words-{uuid.uuid4().hex}")
+    distinct = words.select("gates").distinct()
+    rows = lines.with_cells(with_matrix(rebalance(distinct, 0))).withColumn(
         "col_mask", pin(lines.first_row_column_mask("cells"))
     )
-    return lines.majority_votes(rows, "o_custkey").select(
-        "o_custkey", *_long(row=F.col("row"), sign=F.col("sign"))
-    )
+    votes = lines.majority_votes(rows, "gates").select("gates", *_long(row=F.col("row"), sign=F.col("sign")))
+    return words.join(votes, "gates").select("o_custkey", "row", "sign")
 
 
 def canonical_signatures(spark, sf):

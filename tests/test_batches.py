@@ -64,3 +64,16 @@ def test_signatures_of_words(words):
     got = products.word_signatures(words).groupBy("lde", "signature").agg(F.sum("n").alias("n"))
     want = with_matrix(words).groupBy(F.expr("m.k").alias("lde"), canonical.signature("m").alias("s")).count()
     assert _rows(got.select("lde", "n")) == _rows(want.select("lde", "count"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_jobs_make_few_rows(spark, sf):
+    """No row per orbit member, no matrix of expressions per order, votes per distinct word only."""
+    assert "Generate" not in _plan(queries.pattern_orbit(spark, sf))
+    for query in (queries.matrix_product, queries.canonical_signatures, queries.free_multiply):
+        assert "rw_m" not in _plan(query(spark, sf))
+    plan = _plan(queries.majority_votes(spark, sf))
+    assert plan.index("Join") < plan.index("decisive") and "Aggregate [gates" in plan
