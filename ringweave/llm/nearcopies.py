@@ -9,14 +9,18 @@ all bits they differ in are among the closest of either. The thresholds ``t`` ar
 partition by dynamic programming: the least expected number of candidates, estimated on the
 sample, for which a pair at the least similarity is missed with probability ``MISSED`` at most.
 
-Equal texts are one from the start. Candidates are verified by the shingles themselves. First,
-for ``ROUNDS`` rounds or until one joins nothing, every text is paired with its nearest texts of
-other components in its bucket, or in its random block of a crowded bucket: that joins a group of
-near copies by a number of pairs that follows its size. Then ``_rest`` pairs all that is left: any
-two texts that meet in a bucket, are of different components and were not compared yet, but for
-those whose sizes or parity bits prove that they are less alike. So two texts that are alike and
-meet in a bucket are of one component in the end, however crowded the bucket is. Whether alike
-texts meet is the scheme's recall, which is measured in the tests.
+Equal texts are one from the start. An entry of a bucket is shuffled once, with parity bits in
+number as the text is long, and never kept: ``_meeting`` compares a bucket's texts with each other
+and keeps the pairs that sizes and parity bits do not prove to be less alike. Of these, candidates
+are verified by the shingles themselves. First, for ``ROUNDS`` rounds or until one joins nothing,
+every text is paired with its nearest texts of other components: that joins a group of near copies
+by a number of pairs that follows its size. Then all that is left is compared: any two texts that
+meet in a bucket, are of different components, were not compared yet and are not proved less
+alike. The entries of a bucket of more than ``CROWDED`` texts, or of one in which more than ``DENSE``
+pairs a text would be left, are kept; there the rounds look into random blocks, and ``_rest`` pairs
+block by block. So two texts that are alike and meet in a bucket are
+of one component in the end, however crowded the bucket is. Whether alike texts meet is the
+scheme's recall, which is measured in the tests.
 
 Defined cases: words are lower-cased as in ``simhash``; texts of fewer words than a shingle are
 one shingle, texts without words are all equal; repeated rows are equal texts; an empty table gives
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ringweave.llm.common import few, stage, unstage
 from ringweave.llm.components import components
@@ -45,8 +50,14 @@ SAMPLE = 2048
 MISSED = 0.01
 #: Closest bits of a partition that may be turned, at most.
 MOST_TURNED = 5
-#: Texts of one block of a bucket.
+#: Texts of a bucket that are all compared with each other in one task, at most; what has more is kept in blocks.
+CROWDED = 256
+#: Pairs that a bucket may leave for each of its texts, without being treated as a crowded one.
+DENSE = 4
+#: Texts of one block of a crowded bucket.
 BUCKET = 64
+#: Pairs of a bucket whose parity bits are compared at a time.
+PAIRS = 1 << 15
 #: Nearest texts of other components that a text is paired with in a block and round; ``_rest`` takes the others.
 NEAREST = 2
 #: Rounds of pairing with the nearest, before ``_rest``.
@@ -59,6 +70,8 @@ ENTRY_COST = 12.0
 FEW_ROOTS = 500_000
 #: Of the first 64 bits, those that the nearest may differ in: at a similarity of 0.8 ten on average, three deviation.
 NEAR_64 = 20
+#: Thousandths of their shingles that the nearest may have apart by the parity bits: 111 at a similarity of 0.8.
+NEAR_SHARE = 200
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -91,6 +104,20 @@ def parity(hashes: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     return np.packbits((bits & 1).astype(bool), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity bits on fewer words, a power of two: the same as if they had been made on them."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def words_for(n: int, least: float) -> int:
+    """Words, a power of two up to ``WIDE_WORDS``, on which texts of ``n`` shingles with none in common
+    have more parity bits apart, by three deviations, than texts that are ``least`` alike."""
+    words = 1
+    while words < WIDE_WORDS and 32 * words - 12 * math.sqrt(words) < 2 * n * (1 - least) / (1 + least):
+        words *= 2
+    return words
+
+
 def _turns(t: int) -> np.ndarray:
     """All subsets of ``t`` bits, as rows of booleans."""
     return (np.arange(1 << t)[:, None] >> np.arange(t) & 1).astype(bool)
@@ -165,8 +192,12 @@ def learned_plan(sample: np.ndarray, n: int, least: float) -> list[tuple[list[in
     return best[1]
 
 
-def _sketches(docs: DataFrame, size: int, plan: list[tuple[list[int], int]] | None) -> DataFrame:
-    """Per row (key, digest, n, f, parity, wide, probes); without a plan (key, votes)."""
+def _sketches(docs: DataFrame, size: int, plan: list[tuple[list[int], int]] | None, least: float = 0.8) -> DataFrame:
+    """Per row (key, digest, n, f, parity, wide, bits, probes); without a plan (key, votes).
+
+    ``bits`` are parity bits on ``words_for`` words, ``parity`` on ``PARITY_WORDS`` and ``wide``, of
+    long texts only, on ``WIDE_WORDS``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -182,17 +213,20 @@ def _sketches(docs: DataFrame, size: int, plan: list[tuple[list[int], int]] | No
                 else:
                     first = np.packbits(cast[:, :64] > 0, axis=1, bitorder="little").view("<i8").ravel()
                     found = probes(cast, plan)
+                    full = np.array([parity(s, WIDE_WORDS) for s in sets], "<i8").reshape(-1, WIDE_WORDS)
+                    bits = [folded(x[None], words_for(len(s), least)).tobytes() for x, s in zip(full, sets, strict=True)]
                     columns = {
                         "digest": pa.array([xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary()),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "f": pa.array(first, pa.int64()),
-                        "parity": pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
-                        "wide": pa.array([parity(s, WIDE_WORDS) if len(s) > LONG else None for s in sets], pa.list_(pa.int64())),
+                        "parity": pa.array(list(folded(full, PARITY_WORDS)), pa.list_(pa.int64())),
+                        "wide": pa.array([x if len(s) > LONG else None for x, s in zip(full, sets, strict=True)], pa.list_(pa.int64())),
+                        "bits": pa.array(bits, pa.binary()),
                         "probes": pa.array(list(found), pa.list_(pa.int64())),
                     }
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["key", *columns])
 
-    columns = "votes binary" if plan is None else "digest binary, n bigint, f bigint, parity array<bigint>, wide array<bigint>, probes array<bigint>"
+    columns = "votes binary" if plan is None else "digest binary, n bigint, f bigint, parity array<bigint>, wide array<bigint>, bits binary, probes array<bigint>"
     return docs.mapInArrow(run, f"key bigint, {columns}")
 
 
@@ -210,6 +244,112 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, set array<int>")
 
 
+def pairs_of(values: np.ndarray, n: np.ndarray, bits: pa.Array, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places (i, j) of one value that may be ``least`` alike, and thousandths of their shingles apart by parity.
+
+    Rows are sorted by value and ``n``, so that what is too long for a row stays so for the rows after it.
+    """
+    offsets = np.frombuffer(bits.buffers()[1], "<i4", len(bits) + 1, bits.offset * 4).astype(np.int64) // 8
+    flat = np.frombuffer(bits.buffers()[2] or b"", "<u8", offsets[-1])
+    words = np.diff(offsets)
+    on: dict[int, np.ndarray] = {}  # all rows' bits on so many words, where they have them
+    for width in np.unique(words).tolist():
+        rows = np.flatnonzero(words == width)
+        own = flat[offsets[rows][:, None] + np.arange(width)]
+        for fewer in (1 << k for k in range(width.bit_length())):
+            on.setdefault(fewer, np.zeros((len(words), fewer), np.uint64))[rows] = folded(own, fewer)
+
+    def compared(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        width = np.minimum(words[i], words[j])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            for start in range(0, len(at), PAIRS):
+                a, b = i[at[start : start + PAIRS]], j[at[start : start + PAIRS]]
+                apart = np.bitwise_count(on[w][a] ^ on[w][b]).sum(axis=1, dtype=np.int64)
+                both = n[a] + n[b]
+                may = apart <= (1 - least) / (1 + least) * both + 1e-9
+                a, b, apart, both = a[may], b[may], apart[may], both[may]
+                hashes = -32 * w * np.log(np.maximum(1 - apart / (32 * w), 1e-3))  # that leave so many bits odd
+                yield a, b, np.minimum(1000 * hashes / both, 1000).astype(np.int32)
+
+    i, held, count = np.arange(len(values)), [], 0
+    for distance in range(1, len(values)):
+        i = i[i + distance < len(values)]
+        j = i + distance
+        i = i[(values[i] == values[j]) & (n[i] >= least * n[j] - 1e-9)]
+        if not len(i):
+            break
+        held.append((i, i + distance))
+        count += len(i)
+        if count >= 8 * PAIRS:
+            yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, count = [], 0
+    if held:
+        yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _meeting(entries: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b, apart) of all texts that meet in a bucket and may be ``least`` alike; for a
+    bucket that would leave more than ``DENSE`` pairs a text its (value, held) instead.
+
+    ``entries`` (value, vertex, n, bits) has ``CROWDED`` rows of a value at most.
+    """
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        value, vertex, n = (rows[c].to_numpy() for c in ("value", "vertex", "n"))
+        pairs = list(pairs_of(value, n, rows["bits"].combine_chunks(), least))
+        if not pairs:
+            return
+        i, j, apart = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        bucket = np.cumsum(value != np.append(value[:1], value[:-1]))
+        held = np.bincount(bucket)
+        dense = np.bincount(bucket[i], minlength=len(held)) > DENSE * held
+        few = ~dense[bucket[i]]
+        one, two = vertex[i[few]], vertex[j[few]]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))[dense]
+        columns = [np.minimum(one, two), np.maximum(one, two), apart[few]], [value[first], held[dense]]
+        empty = [pa.nulls(len(first), k) for k in (pa.int64(), pa.int64(), pa.int32())], [pa.nulls(len(one), pa.int64())] * 2
+        names = ["a", "b", "apart", "value", "held"]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[0]), *empty[1]], names)
+        yield pa.RecordBatch.from_arrays([*empty[0], *map(pa.array, columns[1])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held else rows
+            value = held["value"].to_numpy()
+            whole = int(np.searchsorted(value, value[-1]))  # the last bucket may go on in the next batch
+            yield from found(held.slice(0, whole).combine_chunks())
+            held = held.slice(whole)
+        if held:
+            yield from found(held.combine_chunks())
+
+    dealt = entries.repartition("value").sortWithinPartitions("value", "n")
+    return dealt.mapInArrow(run, "a bigint, b bigint, apart int, value bigint, held bigint").distinct()
+
+
+def _unjoined(near: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs of different components."""
+    if roots is None:
+        return near
+    told = few(roots, FEW_ROOTS)
+    for side in "ab":
+        near = near.join(told.toDF(side, f"root_{side}"), side, "left")
+    return near.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
+def _nearest_of(near: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of every text with its nearest."""
+    both = near.where(F.col("apart") <= NEAR_SHARE).select("*", F.explode(F.array("a", "b")).alias("of"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy("apart", "a", "b"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
+
+
 def _nearest(members: Column, most: int) -> Column:
     """Pairs (a, b) of every member of a bucket with its nearest members of other components."""
 
@@ -317,23 +457,37 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", size: int
     sample = [np.frombuffer(r.votes, "<i4") for r in _sketches(rows.where(chosen), size, None).select("votes").collect()]
     plan = learned_plan(np.array(sample, np.int64).reshape(-1, BITS), total, least)
 
-    sketches = stage(_sketches(rows, size, plan), "sketches")
+    sketches = stage(_sketches(rows, size, plan, least), "sketches")
     # Equal texts are one: the least of their keys stands for them.
     vertices = stage(sketches.groupBy("digest").agg(F.min("key").alias("vertex")), "vertices")
-    distinct = sketches.join(vertices.select(F.col("vertex").alias("key")), "key", "left_semi")
-    under = distinct.select("key", "f", "n", "parity", F.explode("probes").alias("value"))
-    held = under.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    entries = stage(under.join(held, "value").withColumnRenamed("key", "vertex"), "buckets")
+    distinct = stage(sketches.join(vertices.select(F.col("vertex").alias("key")), "key", "left_semi").drop("digest"), "distinct")
+    under = distinct.select(F.col("key").alias("vertex"), F.col("n").cast("int").alias("n"), "bits", F.explode("probes").alias("value"))
+    held = under.groupBy("value").agg(F.count(F.lit(1)).alias("held"))
+    crowds = stage(held.where(F.col("held") > CROWDED), "crowds")
+    met = stage(_meeting(under.join(few(crowds), "value", "left_anti"), least), "near")
+    near = met.where("value is null").select("a", "b", "apart")
+    blocked = stage(crowds.union(met.where("value is not null").select("value", "held")), "blocked")
+    tables = [sketches, vertices, distinct, crowds, met, blocked]
+    entries = None
+    if not blocked.isEmpty():
+        crowded = under.select("vertex", "value").join(few(blocked), "value")
+        told = distinct.select(F.col("key").alias("vertex"), "f", "n", "parity")
+        entries = stage(crowded.join(told, "vertex"), "buckets")
+        tables.append(entries)
 
-    tables = [sketches, vertices, entries]
     links, tested, roots, turn = None, None, None, 0
     while turn <= ROUNDS:
+        pairs = _unjoined(near, roots)
         if turn < ROUNDS:
-            pairs = _candidates(entries, roots, turn)
+            pairs = _nearest_of(pairs, NEAREST)
+            if entries is not None:
+                pairs = pairs.union(_candidates(entries, roots, turn)).distinct()
         else:
-            inside = stage(_mixed(_with_roots(entries, roots)), "mixed")
-            tables.append(inside)
-            pairs = _not_apart(_rest(inside, least), sketches, least)
+            pairs = pairs.select("a", "b")
+            if entries is not None:
+                inside = stage(_mixed(_with_roots(entries, roots)), "mixed")
+                tables.append(inside)
+                pairs = pairs.union(_not_apart(_rest(inside, least), distinct, least)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")

@@ -90,6 +90,55 @@ def test_parity_bits_never_exceed_the_hashes_apart():
         assert 0 < sum(int(x).bit_count() for x in bits.view(np.uint64)) <= 100
 
 
+@pytest.mark.parametrize("words", [1, 2, 8, 32])
+def test_folded_parity_bits_are_those_of_fewer_words(words):
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 700).astype(np.uint64)
+    full = nearcopies.parity(hashes, nearcopies.WIDE_WORDS)
+    assert (nearcopies.folded(full[None], words)[0] == nearcopies.parity(hashes, words)).all()
+
+
+def test_texts_that_meet_are_compared_across_batches_and_lengths(spark):
+    rng = np.random.default_rng(9)
+    sets = {}
+    for length in (5, 60, 90, 200, 500, 1500):  # bits on one word up to many; 60 and 66 lie on either side of some
+        base = rng.integers(0, 1 << 63, 3 * length).astype(np.uint64)
+        sets |= {len(sets): base[:length], len(sets) + 1: base[length // 10 :][:length], len(sets) + 2: base[2 * length :]}
+    rows = [
+        (value, k, len(x), nearcopies.folded(nearcopies.parity(x, 64)[None], nearcopies.words_for(len(x), 0.8)).tobytes())
+        for value in (7, 8, 9)
+        for k, x in sets.items()
+        if value < 9 or k == 3  # a bucket of one
+    ]
+    entries = spark.createDataFrame(rows, "value bigint, vertex bigint, n int, bits binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = [(r.a, r.b) for r in nearcopies._meeting(entries, 0.8).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = {(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) >= 5
+    assert len(set(got) - want) <= 2
+
+
+def test_a_dense_bucket_is_left_to_blocks(spark):
+    base = np.random.default_rng(3).integers(0, 1 << 63, 60).astype(np.uint64)
+    bits = nearcopies.folded(nearcopies.parity(base, 64)[None], nearcopies.words_for(60, 0.8)).tobytes()
+    rows = [(7, k, 60, bits) for k in range(100)] + [(8, k, 60, bits) for k in range(4)]
+    got = nearcopies._meeting(spark.createDataFrame(rows, "value bigint, vertex bigint, n int, bits binary"), 0.8).collect()
+    assert [(r.value, r.held) for r in got if r.a is None] == [(7, 100)]
+    assert sorted((r.a, r.b) for r in got if r.a is not None) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def test_entries_of_buckets_are_not_kept(spark, monkeypatch):
+    rng, kept = random.Random(12), []
+    docs = _keyed(spark, [" ".join(_text(rng, 60)) for _ in range(600)])
+    monkeypatch.setattr(nearcopies, "stage", lambda df, name: kept.append(stage(df, name)) or kept[-1])
+    monkeypatch.setattr(nearcopies, "unstage", lambda *tables: None)
+    assert nearcopies.near_copies(docs, "k").select("root").distinct().count() == 600
+    assert all(table.count() <= 600 for table in kept)
+
+
 def test_equal_texts_and_nothing(spark):
     docs = spark.createDataFrame([(i, "the same words again and again") for i in range(500)], "k bigint, text string")
     assert nearcopies.near_copies(stage(docs, "texts"), "k").agg(F.countDistinct("root")).first()[0] == 1
