@@ -25,8 +25,8 @@ from ringweave.session import checkpoint_dir
 PART_ROWS = 2048
 
 
-def parted(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_part``, rows that one task read, and ``_at``, a row's place.
+def parted(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``docs`` with the columns ``_part``, ``part_rows`` rows that one task read, and ``_at``, a row's place.
 
     A bucketed table under the checkpoint folder; no shuffle, one file a task.
     """
@@ -34,7 +34,7 @@ def parted(docs: DataFrame) -> DataFrame:
     name = f"parts_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}"
     at = F.monotonically_increasing_id()  # the task above 33 bits of the row's number
-    rows = docs.select("*", F.floor(at / PART_ROWS).alias("_part"), at.alias("_at"))
+    rows = docs.select("*", F.floor(at / part_rows).alias("_part"), at.alias("_at"))
     writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(partitions(spark), "_part").saveAsTable(name)
     return spark.table(name)

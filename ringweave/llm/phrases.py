@@ -7,6 +7,7 @@ by the share of its parts' occurrences at the cut that explains it worst.
 Counts live in count transducers: acyclic automata over words whose arcs carry weights, the
 weight of the last arc of a phrase being its count. Every part of the input
 
+0. splits its texts into words once and keeps their numbers, which every pass reads.
 1. asks which of its words, then pairs, then triples are frequent in the corpus (sums of 48-bit
    keys by range); a phrase with an infrequent one inside is infrequent, so these are left out
    before longer ones are counted. Keys that collide only keep more than needed.
@@ -39,12 +40,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringweave.llm.common import few, partitions, stage
-from ringweave.llm.parts import among, mixed, parted, per_part
+from ringweave.llm.parts import PART_ROWS, among, mixed, parted, per_part
 
 #: Bytes of text whose phrases one range unites, about.
 RANGE_BYTES = 256 << 20
@@ -86,6 +88,30 @@ class Words(NamedTuple):
             numbers.append(-1)
         return cls(np.array(numbers, np.int64), known, _word_hashes(known))
 
+    def stored(self) -> dict[str, object]:
+        """Columns of ``STORED``: words are numbered anew, the most frequent first, and numbers cut into byte planes."""
+        order = np.argsort(-self.counts(), kind="stable")
+        number = np.zeros(len(order) + 1, "<u4")  # the last for -1
+        number[order] = np.arange(1, len(order) + 1)
+        langs = sorted({lang for lang, _ in self.known})
+        place = {lang: i for i, lang in enumerate(langs)}
+        known = [self.known[i] for i in order.tolist()]
+        return {
+            "numbers": np.ascontiguousarray(number[self.numbers].view(np.uint8).reshape(-1, 4).T).tobytes(),
+            "words": b"\n".join(word for _, word in known),
+            "langs": langs,
+            "lang_of": np.array([place[lang] for lang, _ in known], "<u4").tobytes(),
+        }
+
+    @classmethod
+    def read(cls, rows: pa.Table) -> Words:
+        """The words of a part of ``STORED`` rows."""
+        numbers, words, langs, lang_of = (rows[c][0].as_py() for c in ("numbers", "words", "langs", "lang_of"))
+        planes = np.frombuffer(numbers, np.uint8).reshape(4, -1)
+        own = [langs[i] for i in np.frombuffer(lang_of, "<u4").tolist()]
+        known = list(zip(own, words.split(b"\n"), strict=True)) if own else []
+        return cls(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1, known, _word_hashes(known))
+
     def counts(self) -> np.ndarray:
         return np.bincount(self.numbers[self.numbers >= 0], minlength=len(self.known))
 
@@ -118,6 +144,25 @@ class Words(NamedTuple):
             yield Grams(before, word, hashes, counts)
 
 
+STORED = "size bigint, numbers binary, words binary, langs array<binary>, lang_of binary"
+
+
+def stored_words(rows: DataFrame) -> DataFrame:
+    """One row of ``STORED`` for at most ``PART_ROWS`` rows (lang, text) that one task reads: their text is split once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = pa.Table.from_batches([batch.slice(start, PART_ROWS)])
+                size = pc.sum(pc.binary_length(part["text"].cast(pa.binary()))).as_py() or 0
+                made = {"size": size} | Words.of(part).stored()
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+                columns = [pa.array([x], k) for x, k in zip(made.values(), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, list(made))
+
+    return rows.mapInArrow(run, STORED)
+
+
 class Grams(NamedTuple):
     """The distinct phrases of one length: each without its last word (a place among those of the
     length before), that word, a hash, and how often it stands in the part."""
@@ -468,9 +513,9 @@ def candidates(
     """Staged (lang, phrase, size, a, l, r, score) of all phrases with ``least`` occurrences, and
     (lang, n) with the words of every language."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    parts = parted(rows)
+    parts = parted(stored_words(rows), 1)
     spark = docs.sparkSession
-    size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = parts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(partitions(spark), -(-size // RANGE_BYTES))
     told = None
     for length in range(1, longest):
@@ -479,7 +524,7 @@ def candidates(
             if not rows.num_rows:
                 return _counted(0, None, n)
             known = _told(answers, length - 1) if answers is not None else []
-            return _counted(rows["_part"][0].as_py(), list(Words.of(rows).grams(known))[-1], n)
+            return _counted(rows["_part"][0].as_py(), list(Words.read(rows).grams(known))[-1], n)
 
         found = stage(_frequent(per_part(parts, ask, COUNTED, told), least, length), "frequent")
         told = found if told is None else told.union(found)
@@ -487,7 +532,7 @@ def candidates(
     def build(rows: pa.Table, answers: pa.Table) -> pa.Table:
         made = []
         if rows.num_rows:
-            made = list(_part_transducers(Words.of(rows), _told(answers, longest - 1), longest, n))
+            made = list(_part_transducers(Words.read(rows), _told(answers, longest - 1), longest, n))
         return pa.table({"range": pa.array([r for r, _ in made], pa.int32()), "blob": pa.array([b for _, b in made], pa.binary())})
 
     counted = per_part(parts, build, "range int, blob binary", told)

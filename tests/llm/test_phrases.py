@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ringweave.llm import phrases
@@ -117,3 +118,25 @@ def test_owner_follows_the_first_three_words():
     owners = phrases._owners(parts, 1 << 20)
     assert owners[3] == owners[4] and len(set(owners.tolist())) == 4
     assert np.array_equal(owners, [phrases._owners([p], 1 << 20)[0] for p in parts])
+
+
+def test_stored_words_are_the_words_of_the_texts():
+    texts = ["the cat, THE dog\tthe\n\nend", None, "", "dog dog dog é \x0b ü! 1", "the the the"]
+    rows = pa.table({"lang": ["en", "en", "und", "fr", "und"], "text": pa.array(texts, pa.string())})
+    for part in (rows, rows.slice(1, 2), rows.slice(0, 0)):
+        words = phrases.Words.of(part)
+        read = phrases.Words.read(pa.table({k: pa.array([v]) for k, v in words.stored().items()}))
+        named = lambda w: [w.known[i] if i >= 0 else None for i in w.numbers.tolist()]
+        assert named(read) == named(words) and sorted(read.known) == sorted(words.known)
+        assert (np.diff(read.counts()) <= 0).all()
+
+
+def test_texts_are_split_into_words_once(spark, monkeypatch):
+    kept = []
+    parted = phrases.parted
+    monkeypatch.setattr(phrases, "parted", lambda *args: kept.append(parted(*args)) or kept[-1])
+    docs = spark.createDataFrame([("one two three. one two", "en")] * 40, "text string, lang string").coalesce(1)
+    found, _ = phrases.candidates(docs)
+    assert {(r.phrase, r.a) for r in found.collect()} >= {("one two", 80), ("two three", 40), ("one two three", 40)}
+    # What every pass reads has words as numbers, and no text to split.
+    assert [(t.count(), "text" in t.columns, "numbers" in t.columns) for t in kept] == [(1, False, True)]
