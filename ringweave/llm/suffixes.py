@@ -8,7 +8,7 @@ windows need, and only anchors whose gram occurs twice at all.
 
 Every part of the input sorts its suffixes into a run with the common prefix of each with
 the one before. Runs are cut at sampled splitters, exchanged front-coded (a suffix without
-the prefix it shares with its predecessor), and merged by a loser tree that remembers how
+the prefix it shares with its predecessor) in small blocks, and merged by a loser tree that remembers how
 far each waiting suffix agrees with the last one put out, so no known prefix is compared
 again. In the merged order, windows are equal exactly if their suffixes agree to the
 window's end and the bytes before their anchors agree to its start: two arrays of common
@@ -26,6 +26,7 @@ through by ``cut``; those named ``_part``, ``_at`` or like what it adds are repl
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,6 +55,12 @@ GRAM = 64
 PIECE = 1 << 19
 #: Sampled suffixes per range that splitters are chosen from.
 SAMPLES = 20
+#: Bytes of a block of a front-coded run: what one row of a table or an exchange holds.
+BLOCK = 1 << 16
+#: Bytes of a Parquet row group of blocks, the most that a reader holds at once.
+ROW_GROUP = 4 << 20
+#: Bytes of front-coded suffixes that a range holds on average, if that makes more ranges than shuffle partitions.
+RANGE = 8 << 20
 _PLACE = np.uint64(21)  # bits of a position in a chunk of at most two pieces
 _ODD = 0x9E3779B97F4A7C15
 
@@ -97,6 +104,11 @@ def anchors(raw: np.ndarray, ends: np.ndarray, size: int) -> Anchors:
     return Anchors(grams[at[begin]], at[begin], start[begin], start[finish])
 
 
+def gram_keys(grams: np.ndarray) -> np.ndarray:
+    """What anchors are asked for by. Their hashes are least ones, and crowd the low end of the key space."""
+    return mixed(grams)
+
+
 class Chunk(NamedTuple):
     raw: np.ndarray
     ends: np.ndarray
@@ -188,6 +200,39 @@ def decode(blob: bytes) -> Run:
     return Run(suffix, common.tolist(), before, row, at)
 
 
+def blocks(run: Run, size: int) -> list[bytes]:
+    """A run front-coded in blocks of about ``size`` bytes."""
+    sent = [22 + len(s) - c + len(b) for s, c, b in zip(run.suffix, run.common, run.before, strict=True)]
+    cuts = np.flatnonzero(np.diff(np.cumsum(sent) // size)) + 1
+    cuts = [0, *cuts.tolist(), len(sent)]
+    return [encode(run, a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def joined(coded: list[bytes]) -> Run:
+    """The run of the blocks of one part, which come in any order."""
+    runs = sorted((decode(b) for b in coded), key=lambda r: (r.suffix[0], r.before[0]))
+    whole = Run([], [], [], np.concatenate([r.row for r in runs]), np.concatenate([r.at for r in runs]))
+    for r in runs:
+        first = _agree(whole.suffix[-1], r.suffix[0], 0) if whole.suffix else 0
+        whole.suffix.extend(r.suffix)
+        whole.common.extend([first, *r.common[1:]])
+        whole.before.extend(r.before)
+    return whole
+
+
+def sliced(blob: bytes, splitters: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of a block; one that no splitter cuts goes on as it is."""
+    run = decode(blob)
+    low, high = bisect_right(splitters, run.suffix[0]), bisect_right(splitters, run.suffix[-1])
+    if low == high:
+        yield low, blob
+        return
+    cuts = [0, *(bisect_left(run.suffix, s) for s in splitters[low:high]), len(run.suffix)]
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), low):
+        if b > a:
+            yield number, encode(run, a, b)
+
+
 def _agree(a: bytes, b: bytes, known: int) -> int:
     """Common prefix of two strings that agree in ``known`` bytes."""
     low, high = known, min(len(a), len(b))
@@ -317,12 +362,14 @@ def _repeats(run: Run, size: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
     """Merges the runs of each range; returns spans per part and open windows."""
-    by_range: dict[int, list[tuple[int, bytes]]] = {}
+    by_range: dict[int, dict[int, list[bytes]]] = {}
     for batch in batches:
         for number, part, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            by_range.setdefault(number, []).append((part, blob))
-    for number, sent in by_range.items():
-        runs = [decode(blob) for _, blob in sent]
+            by_range.setdefault(number, {}).setdefault(part, []).append(blob)
+    for number in list(by_range):
+        sent = by_range.pop(number)
+        parts = list(sent)
+        runs = [joined(sent.pop(p)) for p in parts]  # coded and decoded, a part is held once
         of, index, common = merge(runs)
         whole = Run(
             [runs[r].suffix[i] for r, i in zip(of, index, strict=True)],
@@ -331,7 +378,8 @@ def _merged(batches: Iterator[pa.RecordBatch], size: int, splitters: list[bytes]
             np.array([runs[r].row[i] for r, i in zip(of, index, strict=True)]),
             np.array([runs[r].at[i] for r, i in zip(of, index, strict=True)]),
         )
-        part = np.array([p for p, _ in sent])[of]
+        del runs
+        part = np.array(parts)[of]
         low = [splitters[number - 1]] if number else []
         high = splitters[number : number + 1]
         edge = np.zeros(len(of), np.int64)
@@ -403,7 +451,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
     if size <= GRAM:
         raise ValueError(f"windows need more than {GRAM} bytes")
     spark = docs.sparkSession
-    n = partitions(spark)
+    n, block, range_bytes = partitions(spark), BLOCK, RANGE
     docs = docs.drop("_part", "_at", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     parts = parted(docs)
 
@@ -413,7 +461,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
     def ask(rows: pa.Table) -> pa.Table:
         found = [anchors(c.raw, c.ends, size).gram for c in chunks(texts(rows), size)]
         part = rows["_part"][0].as_py()
-        return ask_repeated(part, np.concatenate([np.zeros(0, np.uint64), *found]), n)
+        return ask_repeated(part, gram_keys(np.concatenate([np.zeros(0, np.uint64), *found])), n)
 
     narrow = parts.select("_part", "_at", text_col)
     told = stage(answer_repeated(per_part(narrow, ask, ASKED), n), "grams")
@@ -425,7 +473,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
         part = rows["_part"][0].as_py() if rows.num_rows else 0
         for c in chunks(texts(rows), size) if len(twice) else ():
             a = anchors(c.raw, c.ends, size)
-            some = np.flatnonzero(among(a.gram, twice))
+            some = np.flatnonzero(among(gram_keys(a.gram), twice))
             raw = c.raw.tobytes()
             piece = np.searchsorted(c.begin, a.at[some], side="right") - 1
             shift = c.base[piece] - c.begin[piece]
@@ -442,42 +490,48 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
         every = max(1, len(run.suffix) // SAMPLES)
         sample = run.suffix[every // 2 :: every]
         spans = np.unique(np.array(again, np.int64).reshape(-1, 3), axis=0).T
-        blobs = [encode(run, i, min(i + 65536, len(run.suffix))) for i in range(0, len(run.suffix), 65536)]
-        kinds = [0] * len(blobs) + [1] * bool(spans.size) + [2] * len(sample)
-        values = blobs + [_spans(*spans)] * bool(spans.size) + sample
+        # What is read apart has columns of its own: samples and spans are read without the runs.
+        made_rows: list[tuple] = [(part, len(b), b, None, None) for b in blocks(run, block)]
+        if spans.size:
+            made_rows.append((part, None, None, _spans(*spans), None))
+        made_rows += [(part, None, None, None, s) for s in sample]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays(
-            [pa.array([part] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())],
-            ["_part", "kind", "value"],
+            [pa.array([r[k] for r in made_rows], kind) for k, kind in enumerate(kinds)],
+            ["_part", "n_bytes", "run", "spans", "sample"],
         )
 
-    made = stage(per_part(narrow, runs, "_part bigint, kind int, value binary", told), "runs")
+    made_columns = "_part bigint, n_bytes bigint, run binary, spans binary, sample binary"
+    made = stage(per_part(narrow, runs, made_columns, told), "runs", group_bytes=ROW_GROUP)
+    n_ranges = max(n, -(-(made.agg(F.sum("n_bytes")).first()[0] or 0) // range_bytes))
     # A fixed number of sampled suffixes per part, thinned to a bound that follows the number of ranges.
-    some = made.where("kind = 2").orderBy(F.xxhash64("value")).limit(SAMPLES * n * 10).select("value").collect()
-    sample = sorted(bytes(r["value"]) for r in some)
-    splitters = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    some = made.where("sample is not null").select("sample")
+    some = some.orderBy(F.xxhash64("sample")).limit(SAMPLES * n_ranges * 10).collect()
+    sample = sorted(bytes(r["sample"]) for r in some)
+    splitters = sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)}) if sample else []
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_left
+        kinds = [pa.int32(), pa.int64(), pa.binary()]
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["range", "_part", "run"])
+
+        held: list[tuple] = []
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                run = decode(blob)
-                cuts = [0, *(bisect_left(run.suffix, s) for s in splitters), len(run.suffix)]
-                for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b > a:
-                        for column, value in zip(out, (number, part, encode(run, a, b)), strict=True):
-                            column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "_part", "run"]
-            )
+            for part, blob in zip(batch.column(0), batch.column(1), strict=True):
+                held += [(number, part.as_py(), cut_off) for number, cut_off in sliced(blob.as_py(), splitters)]
+                if sum(len(r[2]) for r in held) >= 16 * block:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
 
     dealt = (
-        made.where("kind = 0")
-        .select("_part", "value")
+        made.where("run is not null")
+        .select("_part", "run")
         .mapInArrow(slices, "range int, _part bigint, run binary")
-        .repartitionById(n, F.col("range"))
+        .repartitionById(n_ranges, F.col("range"))
     )
     found = stage(
         dealt.mapInArrow(
@@ -495,7 +549,7 @@ def cut(docs: DataFrame, text_col: str = "text", size: int = 200) -> DataFrame:
     spans = (
         found.where("spans is not null")
         .select("_part", "spans")
-        .union(made.where("kind = 1").select("_part", "value"))
+        .union(made.where("spans is not null").select("_part", "spans"))
         .union(late)
     )
     columns = docs.columns

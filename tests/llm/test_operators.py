@@ -156,6 +156,56 @@ def test_runs_survive_front_coding_and_merge_in_order():
     assert common == suffixes._common(merged, 12).tolist()
 
 
+def suffix_run(n):
+    rng = random.Random(6)
+    items = {
+        ("".join(rng.choices("ab", k=rng.randint(1, 12))).encode(), "".join(rng.choices("xyz", k=rng.randint(0, 5))).encode())
+        for _ in range(n)
+    }
+    return suffixes._sorted_run([(s, b, i, 10 * i) for i, (s, b) in enumerate(sorted(items))], 12)
+
+
+def test_blocks_of_a_run_are_small_and_join_in_any_order():
+    run = suffix_run(5000)
+    blocks = suffixes.blocks(run, 500)
+    assert len(blocks) > 50
+    assert max(map(len, blocks)) < 500 + 100
+    random.Random(1).shuffle(blocks)
+    got = suffixes.joined(blocks)
+    assert (got.suffix, got.common, got.before) == (run.suffix, run.common, run.before)
+    assert got.row.tolist() == run.row.tolist() and got.at.tolist() == run.at.tolist()
+    assert suffixes.blocks(suffixes._sorted_run([], 12), 500) == []
+
+
+def test_blocks_are_sliced_at_splitters():
+    run = suffix_run(3000)
+    splitters = sorted({b"a", *run.suffix[100::700], b"bbab", b"c", b"d"})
+    by_range: dict[int, list[bytes]] = {}
+    for block in suffixes.blocks(run, 800):
+        for number, piece in suffixes.sliced(block, splitters):
+            by_range.setdefault(number, []).append(piece)
+    joined = [suffixes.joined(by_range[k]) for k in sorted(by_range)]
+    assert [s for r in joined for s in r.suffix] == run.suffix
+    edges = [b"", *splitters, b"\xff"]
+    for number, r in zip(sorted(by_range), joined, strict=True):
+        assert edges[number] <= r.suffix[0] and r.suffix[-1] < edges[number + 1]
+
+
+def test_suffix_cut_in_small_blocks_and_many_ranges(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    monkeypatch.setattr(suffixes, "RANGE", 4000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.cut(docs).collect()}
+    assert got == brute.byte_windows(rows)
+
+
+def test_anchors_are_asked_for_evenly_over_ranges():
+    text = "".join(random.Random(4).choices("abcdefgh ", k=200_000)).encode()
+    (chunk,) = suffixes.chunks([text], 200)
+    keys = np.unique(suffixes.gram_keys(suffixes.anchors(chunk.raw, chunk.ends, 200).gram))
+    sizes = np.diff(suffixes.split_keys(keys, 20))
+    assert sizes.sum() > 1000 and sizes.max() < 2 * sizes.mean()
+
+
 def test_substring_cut_matches_comparing_every_window(docs, rows):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.cut(docs).collect()}
     want = brute.word_windows(rows)
