@@ -57,7 +57,7 @@ PIECE = 1 << 19
 SAMPLES = 20
 #: Bytes of a block of a front-coded run: what one row of a table or an exchange holds.
 BLOCK = 1 << 16
-#: Bytes of a Parquet row group of blocks, the most that a reader holds at once.
+#: Bytes asked for a Parquet row group of blocks. Parquet looks every 100 rows, so it is 6.5 MB in fact.
 ROW_GROUP = 4 << 20
 #: Bytes of front-coded suffixes that a range holds on average, if that makes more ranges than shuffle partitions.
 RANGE = 8 << 20
