@@ -8,9 +8,10 @@ Counts live in count transducers: acyclic automata over words whose arcs carry w
 weight of the last arc of a phrase being its count. Every part of the input
 
 0. splits its texts into words once and keeps their numbers, which every pass reads.
-1. asks which of its words, then pairs, then triples are frequent in the corpus (sums of 48-bit
+1. asks which of its words, then pairs, then triples are frequent in the corpus (sums of 40-bit
    keys by range); a phrase with an infrequent one inside is infrequent, so these are left out
-   before longer ones are counted. Keys that collide only keep more than needed.
+   before longer ones are counted. Keys that collide only keep more than needed. The answer is
+   a bit for every key in the order asked, as a part finds the same keys again.
 2. sorts its phrases and builds transducers from them incrementally: when the next phrase
    leaves a path, the states behind are frozen, and equal ones become one state.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringweave.llm.common import few, partitions, stage
-from ringweave.llm.parts import PART_ROWS, among, mixed, parted, per_part
+from ringweave.llm.parts import PART_ROWS, mixed, parted, per_part
 
 #: Bytes of text whose phrases one range unites, about.
 RANGE_BYTES = 256 << 20
@@ -115,20 +116,21 @@ class Words(NamedTuple):
     def counts(self) -> np.ndarray:
         return np.bincount(self.numbers[self.numbers >= 0], minlength=len(self.known))
 
-    def grams(self, told: list[np.ndarray]) -> Iterator[Grams]:
-        """Phrases of one word, two, ...: one length more than ``told`` has sorted keys, each of
+    def grams(self, told: list[np.ndarray], n: int) -> Iterator[Grams]:
+        """Phrases of one word, two, ...: one length more than ``told`` has answers of ``n`` ranges, each of
         frequent phrases only in what is inside it (and the last of all lengths before)."""
-        good = np.append(among(_keys(self.hashes), told[0]), False)[self.numbers] if told else self.numbers >= 0
+        frequent = _answered(self.hashes, told[0], n) if told else np.ones(len(self.known), bool)
+        good = np.append(frequent, False)[self.numbers]
         place = np.flatnonzero(good)
         code = self.numbers[place]
         counts = np.bincount(code, minlength=len(self.known))
         every = np.flatnonzero(counts)
         rank = np.cumsum(counts > 0) - 1
         where, hashes = rank[code], self.hashes[every]
-        yield Grams(None, every, hashes, counts[every])
+        yield Grams(None, every, hashes, counts[every], frequent[every])
         for length in range(2, len(told) + 2):
             if length > 2:  # phrases of the last length whose key is frequent
-                kept = among(_keys(hashes), told[length - 2])[where]
+                kept = frequent[where]
                 good = np.zeros(len(self.numbers), bool)
                 good[place[kept]] = True
                 place, where = place[kept], where[kept]
@@ -141,7 +143,8 @@ class Words(NamedTuple):
                 codes, counts = np.unique(codes, return_counts=True)
             before, word = np.divmod(codes, max(1, len(self.known)))
             hashes = _extended(hashes[before], self.hashes[word])
-            yield Grams(before, word, hashes, counts)
+            frequent = _answered(hashes, told[length - 1], n) if length <= len(told) else np.ones(len(word), bool)
+            yield Grams(before, word, hashes, counts, frequent)
 
 
 STORED = "size bigint, numbers binary, words binary, langs array<binary>, lang_of binary"
@@ -165,12 +168,14 @@ def stored_words(rows: DataFrame) -> DataFrame:
 
 class Grams(NamedTuple):
     """The distinct phrases of one length: each without its last word (a place among those of the
-    length before), that word, a hash, and how often it stands in the part."""
+    length before), that word, a hash, how often it stands in the part, and whether it may be
+    frequent by what the part was told."""
 
     before: np.ndarray | None
     word: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
+    frequent: np.ndarray
 
 
 def _word_hashes(words: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -190,13 +195,33 @@ def _range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(edges, hashes, side="right")
 
 
-# --- counting which phrases are frequent, by 48-bit keys
+# --- counting which phrases are frequent, by 40-bit keys
 
 COUNTED = "range int, _part bigint, counted binary"
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(16)
+    return hashes >> np.uint64(24)
+
+
+def _in_ranges(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashes their order, and in that order their ranges, their keys, and where another key or range begins."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    numbers, keys = _range_of(ordered, n), _keys(ordered)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
+    return order, numbers, keys, new
+
+
+def _answered(hashes: np.ndarray, told: np.ndarray, n: int) -> np.ndarray:
+    """The answers, one for every key that ``_counted`` asked about, dealt out to the hashes."""
+    order, _, _, new = _in_ranges(hashes, n)
+    if np.count_nonzero(new) != len(told):
+        raise ValueError(f"{len(told)} answers to {np.count_nonzero(new)} keys")
+    out = np.empty(len(hashes), bool)
+    out[order] = told[np.cumsum(new) - 1]
+    return out
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -220,20 +245,19 @@ def _counted(part: int, grams: Grams | None, n: int) -> pa.Table:
     """What a part asks: sorted keys and their counts, cut into ``n`` ranges."""
     out: list[tuple[int, int, bytes]] = []
     if grams is not None and len(grams.word):
-        order = np.argsort(grams.hashes)
-        hashes, counts = grams.hashes[order], grams.counts[order]
-        numbers = _range_of(hashes, n)
+        order, numbers, keys, new = _in_ranges(grams.hashes, n)
+        starts = np.flatnonzero(new)
+        numbers, keys, sums = numbers[starts], keys[starts], np.add.reduceat(grams.counts[order], starts).astype(np.uint64)
         cuts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(numbers)], strict=True):
-            keys, starts = np.unique(_keys(hashes[a:b]), return_index=True)
-            blob, sums = _sorted_blob(keys), np.add.reduceat(counts[a:b], starts).astype(np.uint64)
-            out.append((int(numbers[a]), part, len(blob).to_bytes(8, "little") + blob + _planes(sums)))
+            blob = _sorted_blob(keys[a:b])
+            out.append((int(numbers[a]), part, len(blob).to_bytes(8, "little") + blob + _planes(sums[a:b])))
     kinds = {"range": pa.int32(), "_part": pa.int64(), "counted": pa.binary()}
     return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(kinds.items())})
 
 
 def _frequent(counted: DataFrame, least: int, kind: int) -> DataFrame:
-    """(_part, kind, keys): which of its keys are held ``least`` times by all parts together."""
+    """``TOLD``: of a part's keys in a range, in their order, whether all parts together hold them ``least`` times."""
 
     def judge(rows: pa.Table) -> pa.Table:
         lists, counts = [], []
@@ -245,20 +269,34 @@ def _frequent(counted: DataFrame, least: int, kind: int) -> DataFrame:
         sums = np.bincount(where, weights=np.concatenate(counts), minlength=len(every))
         good = (sums >= least)[where]
         ends = np.cumsum([len(k) for k in lists])[:-1]
-        told = [_sorted_blob(k[g]) for k, g in zip(lists, np.split(good, ends), strict=True)]
+        told = [_bits(g) for g in np.split(good, ends)]
         kinds = pa.array([kind] * len(told), pa.int32())
-        return pa.table({"_part": rows["_part"].combine_chunks(), "kind": kinds, "keys": pa.array(told, pa.binary())})
+        columns = [rows["_part"].combine_chunks(), kinds, rows["range"].combine_chunks(), pa.array(told, pa.binary())]
+        return pa.table(dict(zip(("_part", "kind", "range", "kept"), columns, strict=True)))
+
+    return counted.groupBy("range").applyInArrow(judge, TOLD)
+
+
+TOLD = "_part bigint, kind int, range int, kept binary"
 
-    return counted.groupBy("range").applyInArrow(judge, "_part bigint, kind int, keys binary")
+
+def _bits(kept: np.ndarray) -> bytes:
+    return len(kept).to_bytes(8, "little") + zlib.compress(np.packbits(kept).tobytes(), 1)
+
+
+def _from_bits(blob: bytes) -> np.ndarray:
+    packed = np.frombuffer(zlib.decompress(blob[8:]), np.uint8)
+    return np.unpackbits(packed, count=int.from_bytes(blob[:8], "little")).astype(bool)
 
 
 def _told(answers: pa.Table, lengths: int) -> list[np.ndarray]:
-    """Sorted frequent keys of a part for phrases of one word, two, ..."""
-    lists: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(lengths)]
+    """The answers to a part's keys for phrases of one word, two, ..., in the order of ``_in_ranges``."""
+    lists: list[list[np.ndarray]] = [[np.zeros(0, bool)] for _ in range(lengths)]
     if answers.num_rows:
-        for kind, blob in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), strict=True):
-            lists[kind - 1].append(_sorted_keys(blob))
-    return [np.sort(np.concatenate(x)) for x in lists]
+        columns = (answers[c].to_pylist() for c in ("kind", "range", "kept"))
+        for kind, _, blob in sorted(zip(*columns, strict=True), key=lambda row: row[:2]):
+            lists[kind - 1].append(_from_bits(blob))
+    return [np.concatenate(x) for x in lists]
 
 
 # --- transducers
@@ -425,7 +463,7 @@ def _owners(parts: list[tuple[bytes, ...]], n: int) -> np.ndarray:
 def _part_transducers(words: Words, told: list[np.ndarray], longest: int, n: int) -> Iterator[tuple[int, bytes]]:
     """(range, transducer) of the phrases of a part that may be frequent."""
     known = words.known
-    levels = list(words.grams(told))[:longest]
+    levels = list(words.grams(told, n))[:longest]
     order = sorted(levels[0].word.tolist(), key=known.__getitem__)
     langs = sorted({lang for lang, _ in known})
     # Labels sort as (language, word) do, and languages come first.
@@ -456,9 +494,7 @@ def _part_transducers(words: Words, told: list[np.ndarray], longest: int, n: int
         hashes.append(owner)
     rows, weight = np.concatenate(tables), np.concatenate(weights)
     # Of a length that was asked about, what is infrequent goes; it was needed to number longer ones.
-    kept = [np.ones(len(langs), bool)]
-    for k, level in enumerate(levels):
-        kept.append(among(_keys(level.hashes), told[k]) if k < len(told) else np.ones(len(level.word), bool))
+    kept = [np.ones(len(langs), bool), *(level.frequent for level in levels)]
     some = np.flatnonzero(np.concatenate(kept) & (weight > 0))
     rows, weight, ranges = rows[some], weight[some], _range_of(np.concatenate(hashes)[some], n)
     order = np.lexsort((*rows.T[::-1], ranges))
@@ -524,7 +560,7 @@ def candidates(
             if not rows.num_rows:
                 return _counted(0, None, n)
             known = _told(answers, length - 1) if answers is not None else []
-            return _counted(rows["_part"][0].as_py(), list(Words.read(rows).grams(known))[-1], n)
+            return _counted(rows["_part"][0].as_py(), list(Words.read(rows).grams(known, n))[-1], n)
 
         found = stage(_frequent(per_part(parts, ask, COUNTED, told), least, length), "frequent")
         told = found if told is None else told.union(found)

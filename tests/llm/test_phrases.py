@@ -140,3 +140,29 @@ def test_texts_are_split_into_words_once(spark, monkeypatch):
     assert {(r.phrase, r.a) for r in found.collect()} >= {("one two", 80), ("two three", 40), ("one two three", 40)}
     # What every pass reads has words as numbers, and no text to split.
     assert [(t.count(), "text" in t.columns, "numbers" in t.columns) for t in kept] == [(1, False, True)]
+
+
+def test_answers_are_a_bit_for_every_key_asked(spark):
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    asked = []
+    for part in range(3):
+        hashes = np.concatenate([shared, rng.integers(0, 1 << 63, 17000).astype(np.uint64) * np.uint64(2)])[rng.permutation(20000)]
+        hashes[1] = hashes[0] ^ np.uint64(1)  # one key
+        counts = rng.integers(1, 4, len(hashes))
+        asked.append(phrases.Grams(None, np.arange(len(hashes)), hashes, counts, np.ones(len(hashes), bool)))
+    rows = [r for part, grams in enumerate(asked) for r in phrases._counted(part, grams, 5).to_pylist()]
+    assert sum(len(r["counted"]) for r in rows) < 4.2 * 60000  # counts take some 0.3 bytes of it
+    table = spark.createDataFrame([(r["range"], r["_part"], r["counted"]) for r in rows], phrases.COUNTED)
+    told = phrases._frequent(table, 5, 1).toArrow()
+    assert sum(len(x) for x in told["kept"].to_pylist()) < 60000 / 4
+    sums = Counter()
+    for grams in asked:
+        for key, count in zip((grams.hashes >> np.uint64(24)).tolist(), grams.counts.tolist(), strict=True):
+            sums[key] += count
+    for part, grams in enumerate(asked):
+        own = told.filter(pa.array([p == part for p in told["_part"].to_pylist()]))
+        got = phrases._answered(grams.hashes, phrases._told(own, 1)[0], 5)
+        assert got.tolist() == [sums[key] >= 5 for key in (grams.hashes >> np.uint64(24)).tolist()]
+        with pytest.raises(ValueError):
+            phrases._answered(grams.hashes[:-5], phrases._told(own, 1)[0], 5)
